@@ -1,6 +1,15 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
-from tramline.llm import quality_rules
+from tramline.llm import line_dedup, quality_rules, simhash, substring_dedup
 
-QUERIES = {"op9_quality_rules": quality_rules.op9_quality_rules}
-ORACLE_SQL = {"op9_quality_rules": quality_rules.SQL}
+QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+}
+ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
+    "op9_quality_rules": quality_rules.SQL,
+}
