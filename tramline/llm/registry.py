@@ -1,14 +1,18 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
-from tramline.llm import line_dedup, quality_rules, simhash, substring_dedup
+from tramline.llm import line_dedup, packing, piece_codec, quality_rules, simhash, substring_dedup, token_files
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_token_files": token_files.op4_token_files,
+    "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLE_SQL = {
+    "op2_packing": packing.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
