@@ -6,9 +6,11 @@ two bits a cell, kept as two bit maps, in two rows of hash cells. Merging goes
 segment by segment through a shuffle, one dense segment in memory at a time. A
 sketch never underestimates, so a window estimated to occur once does so, and no
 repeat is lost. Pass 2 reads the documents again and sends on only the windows
-estimated repeated, one row per distinct window and batch: inside a batch the
-smallest document is already known. These rows are grouped exactly, by a 96-bit
-hash of the words, and every document but the smallest loses the words covered.
+estimated repeated, each distinct window once a chunk of texts: inside a chunk the
+smallest document is already known, so a passage that many documents share weighs
+little more than another. They are grouped exactly, by a 96-bit hash of the words,
+in buckets of a range of hashes each, and every document but the smallest loses
+the words covered. Windows travel packed, many to a row, which halves the shuffle.
 
 The sketch follows the input (1.5 cells a window at least) up to `max_cells` a
 row, 2^29 by default: 128 MB for the two rows that are broadcast, by that bound.
@@ -134,6 +136,22 @@ def _bytes(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return byte[starts], np.bitwise_or.reduceat((1 << (cells & 7)).astype(np.uint8), starts)
 
 
+def pack_cells(bitmap: np.ndarray) -> bytes:
+    """The set bits of a bit map as gaps of one byte each, 255 for "255 further and no bit yet"."""
+    gaps = np.diff(np.flatnonzero(np.unpackbits(bitmap, bitorder="little")), prepend=-1)
+    far = gaps // 255
+    out = np.full(len(gaps) + int(far.sum()), 255, np.uint8)
+    out[np.cumsum(far + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpack_cells(data: bytes, size: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    bits = np.zeros(size * 8, np.uint8)
+    bits[np.cumsum(gaps, dtype=np.int64)[gaps != 255] - 1] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def sketch_windows(docs: DataFrame, bits: int, width: int) -> list[tuple[int, bytes]]:
     """The merged `more` bit maps as (segment, compressed bytes), of both rows one after the other."""
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
@@ -155,17 +173,17 @@ def sketch_windows(docs: DataFrame, bits: int, width: int) -> list[tuple[int, by
             for k in range(per_row):
                 once, more = sketch.once[row, k * size : (k + 1) * size], sketch.more[row, k * size : (k + 1) * size]
                 if once.any():
-                    yield pa.RecordBatch.from_pydict({"segment": pa.array([row * per_row + k], pa.int32()), "once": [zlib.compress(once.tobytes(), 1)], "more": [zlib.compress(more.tobytes(), 1)]})
+                    yield pa.RecordBatch.from_pydict({"segment": pa.array([row * per_row + k], pa.int32()), "once": [pack_cells(once)], "more": [pack_cells(more)]})
 
     def merge(it):
         segment, once, more = None, None, None
         for b in it:
             for at, x, y in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
+                x, y = unpack_cells(x, size), unpack_cells(y, size)
                 if at != segment:
                     if segment is not None:
                         yield _merged(segment, more)
-                    segment, once, more = at, x.copy(), y.copy()
+                    segment, once, more = at, x, y
                 else:
                     more |= y | (once & x)
                     once |= x
@@ -197,7 +215,9 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
     bits = cell_bits(docs, max_bits)
     found = spark.sparkContext.broadcast(sketch_windows(docs, bits, width))
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
-    schema = "h1 long, h2 long, id long, mark long, starts array<int>, gone boolean"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket holds the windows of a range of hashes, about 2^21 before the filter.
+    bucket_bits = max(bits - 22, 4)
 
     def candidates(it):
         more = np.zeros(ROWS * (1 << (bits - 3)), np.uint8)
@@ -213,42 +233,116 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
                     passed &= (more[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
                 if passed.any():
                     own = np.array([NULL_ID if ids[i] is None else ids[i] for i in part], np.int64)
-                    marks = np.array([zlib.crc32((texts[i] or "").encode("utf-8", "surrogatepass")) for i in part], np.int64)
-                    yield from _rows(h1[passed], h2[passed], owner[passed], start[passed], own, marks, schema)
-
-    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(candidates, schema)
-    # An explicit shuffle by the window: its rows are one per batch and distinct window, so none is hot.
-    from pyspark.sql import Window
-
-    judged = sent.withColumn("least", F.min("id").over(Window.partitionBy("h1", "h2")))
-    lost = judged.filter("gone or id > least")
-    return lost.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def _rows(h1, h2, owner, start, own, marks, schema):
-    """Rows to send on: the smallest document of each window with its starts, and what is known to go already."""
+                    marks = np.array([zlib.crc32((texts[i] or "").encode("utf-8", "surrogatepass")) for i in part], np.uint32)
+                    yield from _send(h1[passed], h2[passed], owner[passed], start[passed], own, marks, bucket_bits, parts)
+
+    def judge(it):
+        for _, blobs in _runs(it):
+            open_ = [_unpack(x) for x in blobs if x["h1"] is not None]
+            yield from (_reply(x["part"], x["docs"]) for x in blobs if x["h1"] is None)
+            if open_:
+                h1, h2, ids, marks, starts = (np.concatenate(x) for x in zip(*open_, strict=True))
+                order = np.lexsort((ids, h2, h1))
+                h1, h2, ids, marks, starts = h1[order], h2[order], ids[order], marks[order], starts[order]
+                head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                lost = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
+                yield from _replies(ids[lost], marks[lost], starts[lost], parts)
+
+    def gather(it):
+        for _, blobs in _runs(it, "part"):
+            ids, marks, starts = (np.concatenate(x) for x in zip(*[_columns(x["docs"], "<i8", "<u4", "<u4") for x in blobs], strict=True))
+            order = np.lexsort((starts, marks, ids))
+            ids, marks, starts = ids[order], marks[order], starts[order]
+            heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), pa.array(starts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads].astype(np.int64)), lists], ["id", "mark", "starts"])
+
+    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(candidates, SENT)
+    judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "part int, docs binary")
+    return table(judged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, mark long, starts array<int>"), "repeated-windows")
+
+
+#: Rows between the tasks hold many windows each, as columns of bytes. Without h1: starts known to go, on their way to `part`.
+SENT = "bucket int, part int, h1 binary, h2 binary, refs binary, docs binary"
+
+
+def _send(h1, h2, owner, start, own, marks, bucket_bits, parts):
+    """Rows for one chunk: the occurrences in the smallest document of each window, and what is known to go already."""
     order = np.lexsort((start, owner, h2, h1))  # chunks come in ascending id order
     h1, h2, owner, start = h1[order], h2[order], owner[order], start[order]
     key = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    group = np.cumsum(key) - 1
-    least = own[owner[np.flatnonzero(key)]][group]
-    stays = own[owner] == least
-    h1, h2 = h1.view(np.int64), h2.astype(np.int64)
-
-    def batch(rows, gone, salt):
-        o, s = owner[rows], start[rows]
-        head = np.concatenate([[True], (o[1:] != o[:-1]) | (group[rows][1:] != group[rows][:-1] if not gone else False)])
-        heads = np.flatnonzero(head)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(o)).astype(np.int32)), pa.array(s.astype(np.int32)))
-        first = rows[heads]
-        a, b = (marks[owner[first]], own[owner[first]]) if salt else (h1[first], h2[first])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(own[owner[first]]), pa.array(marks[owner[first]]), lists, pa.array(np.full(len(first), gone))], ["h1", "h2", "id", "mark", "starts", "gone"])
-
-    rows = np.flatnonzero(stays)
-    yield batch(rows, False, False)
-    rows = np.flatnonzero(~stays)
-    if len(rows):
-        yield batch(rows[np.argsort(owner[rows], kind="stable")], True, True)
+    stays = own[owner] == own[owner[np.flatnonzero(key)]][np.cumsum(key) - 1]
+    gone = ~stays
+    for b in _replies(own[owner[gone]], marks[owner[gone]], start[gone], parts):
+        part = b.column(0)
+        empty = pa.nulls(len(part), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(part.to_numpy() % (1 << bucket_bits), pa.int32()), part, empty, empty, empty, b.column(1)], schema=_SENT)
+    h1, h2, owner, start = h1[stays], h2[stays], owner[stays], start[stays]
+    bucket = (h1 >> np.uint64(64 - bucket_bits)).astype(np.int32)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    rows = [[], [], [], [], []]
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        used, ref = np.unique(owner[a:z], return_inverse=True)
+        rows[0].append(int(bucket[a]))
+        rows[1].append(h1[a:z].astype("<u8").tobytes())
+        rows[2].append(h2[a:z].astype("<u4").tobytes())
+        rows[3].append(_pack(ref.astype("<u4"), start[a:z].astype("<u4")))
+        rows[4].append(_pack(np.diff(own[used], prepend=np.int64(0)).astype("<i8"), marks[used].astype("<u4")))
+    if rows[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.nulls(len(rows[0]), pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], schema=_SENT)
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("refs", pa.binary()), ("docs", pa.binary())])
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Arrays of equal length, their bytes turned so that like ones stand together, compressed."""
+    return zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+
+
+def _columns(data: bytes, *types: str) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zlib.decompress(data), np.uint8), 0, []
+    n = len(raw) // sum(np.dtype(t).itemsize for t in types)
+    for t in map(np.dtype, types):
+        out.append(np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).reshape(n))
+        at += n * t.itemsize
+    return out
+
+
+def _unpack(x: dict):
+    h1, h2 = np.frombuffer(x["h1"], "<u8"), np.frombuffer(x["h2"], "<u4")
+    ref, start = _columns(x["refs"], "<u4", "<u4")
+    ids, marks = _columns(x["docs"], "<i8", "<u4")
+    return h1, h2, np.cumsum(ids)[ref], marks[ref], start
+
+
+def _reply(part: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "docs"])
+
+
+def _replies(ids, marks, starts, parts):
+    """Starts that go, packed for the partition that will gather each document's."""
+    if len(ids):
+        part = (ids % parts).astype(np.int32)
+        order = np.lexsort((starts, ids, part))
+        ids, marks, starts, part = ids[order], marks[order], starts[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        data = [_pack(ids[a:z].astype("<i8"), marks[a:z].astype("<u4"), starts[a:z].astype("<u4")) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(data, pa.binary())], ["part", "docs"])
+
+
+def _runs(it, key: str = "bucket"):
+    """(key, rows) for each run of equal keys in sorted batches, one run in memory at a time."""
+    now, held = None, []
+    for b in it:
+        for row in b.to_pylist():
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held
 
 
 def cut(text: str | None, starts: list[int] | None, width: int) -> tuple[str, int, int]:
