@@ -1,11 +1,12 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
-from tramline.llm import line_dedup, packing, piece_codec, quality_rules, simhash, substring_dedup, token_files
+from tramline.llm import ann, line_dedup, packing, piece_codec, quality_rules, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_files": token_files.op4_token_files,
+    "op5_ann": ann.op5_ann,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
