@@ -1,8 +1,9 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
-from tramline.llm import ann, line_dedup, packing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_files
+from tramline.llm import ann, line_dedup, packing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
