@@ -1,8 +1,10 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
+import corpus_pipeline
 from tramline.llm import ann, line_dedup, packing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op2_packing": packing.op2_packing,
@@ -20,3 +22,5 @@ ORACLE_SQL = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

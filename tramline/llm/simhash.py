@@ -16,6 +16,16 @@ Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and links like any other; a null doc_id never becomes a
 component id unless the whole component has none; repeated rows share their
 component; an empty table gives an empty table.
+
+`similar_groups` groups by the exact Jaccard similarity of shingle sets instead. Two
+bits of 64 only reach very close copies (a similarity of 0.8 is about 10 bits away,
+where a bound by segment counts excludes nothing), so it links, beside the
+fingerprints above, the fingerprints of samples: each of `VIEWS` samples holds the
+`SAMPLE` shingles that come first in an order of its own, and is itself a SimHash.
+Two texts with similarity s share a given one with probability of about s^SAMPLE, at
+least one of 24 with 0.9999 at 0.8. Every candidate pair is then verified exactly
+over the whole texts. Members of a candidate group meet its smallest document
+and that of a salted part of it, so a group of any size costs two pairs a member.
 """
 
 from __future__ import annotations
@@ -27,11 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import read_documents, table
+from tramline.llm.substring_dedup import WordHashes, windows
 from tramline.operators.components import connected_components
 
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 18
+VIEWS, SAMPLE, SALTS = 24, 5, 16
+_TURNS = np.random.default_rng(8).integers(1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -93,6 +106,84 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return prints.join(components(prints).hint("merge"), "fp").select("id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, known: WordHashes, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, A-Z lower-cased; fewer words than width make one shingle."""
+    low = (text or "").encode("utf-8", "surrogatepass").lower()
+    n = min(width, len(low.split()))
+    return np.unique(windows([low.decode("utf-8", "surrogatepass")], known, n)[0]) if n else np.zeros(0, np.uint64)
+
+
+def view_prints(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of each sample of a shingle set."""
+    if not len(shingles):
+        return np.zeros(VIEWS, np.int64)
+    turned = shingles[None, :] * _TURNS[:, None]
+    turned ^= turned >> np.uint64(29)
+    n = min(SAMPLE, len(shingles))
+    least = np.partition(turned, n - 1, axis=1)[:, :n] * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.unpackbits(np.ascontiguousarray(least).view(np.uint8).reshape(VIEWS, n, 8), axis=2).sum(axis=1)
+    return np.packbits(bits * 2 > n, axis=1).view("<i8").reshape(VIEWS)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id): documents linked by texts whose shingle sets have at least that Jaccard similarity.
+
+    group_id is the smallest id of the group. Rows sharing an id are one document; rows without an id are left out.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+
+    def sketch(it):
+        known = WordHashes()
+        for b in it:
+            texts = b.column(1).to_pylist()
+            same = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split())) for x in texts]
+            views = [view_prints(shingle_set(x, known, width)) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([fingerprint(x, width) for x in texts], pa.int64()), pa.array([v.tolist() for v in views], pa.list_(pa.int64()))], ["id", "same", "fp", "views"])
+
+    rows = table(plain.mapInArrow(sketch, "id long, same binary, fp long, views array<long>"), "simhash-sketches")
+    # Texts of equal words form a class, which goes on as its smallest document.
+    classes = table(rows.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("views").alias("views")), "simhash-classes")
+    keyed = classes.select("rep", F.posexplode("views").alias("view", "key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    salted = keyed.groupBy("view", "key", "salt").agg(F.min("rep").alias("near"))
+    least = keyed.groupBy("view", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").select("view", "key", "least")
+    met = keyed.join(least.hint("merge"), ["view", "key"]).join(salted.hint("merge"), ["view", "key", "salt"])
+    pairs = met.select("rep", F.explode(F.array("near", "least")).alias("other"))
+    first = table(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-first")
+    close = linked(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("rep")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("other")), "b").select("rep", "other")
+    alike = classes.join(first.withColumnRenamed("rep", "other").hint("merge"), "fp").select("rep", "other")
+    pairs = pairs.unionByName(close).unionByName(alike).filter("rep <> other").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+    pairs = table(pairs, "simhash-pairs")
+
+    texts = plain.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = table(texts, "simhash-texts")
+
+    def verify(it):
+        known = WordHashes()
+        for b in it:
+            a, z, x, y = (b.column(i).to_pylist() for i in range(4))
+            kept = []
+            for i in range(b.num_rows):
+                p, q = shingle_set(x[i], known, width), shingle_set(y[i], known, width)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= similarity * (len(p) + len(q) - both):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([z[i] for i in kept], pa.int64())], ["a", "b"])
+
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    keep = lambda df: table(df, "simhash-links")
+    edges = keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    # A document may stand in several rows: its classes are linked through its id.
+    own = classes.select("same", "rep").join(rows.select("same", "id").hint("merge"), "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    roots = connected_components(edges.unionByName(own.filter("a <> b")), keep=keep)
+    return rows.select("id").distinct().join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near-duplicates: of each group the document with the smallest id stays."""
+    gone = table(similar_groups(docs, width, similarity, id_col, text_col).filter("id <> group_id").select(F.col("id").alias("_gone")), "simhash-gone")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_documents(spark, sf_dir, "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
