@@ -5,12 +5,13 @@ Manhattan distance of two such vectors never exceeds the Hamming distance of the
 fingerprints, so fingerprints at most 2 bits apart lie at most 2 steps apart on
 the grid, and then both lie within one step of a common cell. Each distinct
 fingerprint is therefore put into its own cell and the cells one step away (33 at
-most); a cell with two fingerprints makes both candidates. Candidates are
-verified exactly and without forming pairs: two fingerprints differ in 2 bits or
-fewer if and only if some 64-bit value differs from each in 1 bit or fewer.
-Such a value has at most 65 fingerprints about it, whatever the data, and they
-all link to the smallest of them. The work is linear in the number of distinct
-fingerprints; exact copies share one fingerprint and cost one row.
+most); fingerprints that share a cell are candidates. In a cell of up to
+SMALL_CELL fingerprints every pair is verified exactly. A fuller cell forms no
+pairs: two fingerprints differ in 2 bits or fewer if and only if some 64-bit
+value differs from each in 1 bit or fewer. Such a value has at most 65
+fingerprints about it, whatever the data, and they all link to the smallest of
+them. So no group, however large, costs more than a fixed number of rows a
+fingerprint, and exact copies share one fingerprint.
 
 Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and links like any other; a null doc_id never becomes a
@@ -43,6 +44,8 @@ from tramline.operators.components import connected_components
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 18
+#: Fingerprints of a cell up to which its pairs are compared.
+SMALL_CELL = 8
 VIEWS, SAMPLE, SALTS = 24, 5, 16
 _TURNS = np.random.default_rng(8).integers(1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,12 +85,19 @@ def linked(distinct: DataFrame) -> DataFrame:
       transform(filter(sequence(0, 15), j -> (shiftrightunsigned(x, 4 * j) & 15) < 4), j -> x + shiftleft(1L, 4 * j)),
       transform(filter(sequence(0, 15), j -> (shiftrightunsigned(x, 4 * j) & 15) > 0), j -> x - shiftleft(1L, 4 * j)))"""
     cells = cell.select("fp", F.explode(F.expr(near)).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
-    candidates = table(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct(), "simhash-candidates")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = table(cells.join(shared.hint("merge"), "cell"), "simhash-cells")
+    # Few fingerprints in a cell: each pair is compared there.
+    lists = crowded.filter(F.col("n") <= SMALL_CELL).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    pairs = "flatten(transform(fps, a -> transform(fps, b -> named_struct('b', least(a, b), 'a', greatest(a, b), 'far', bit_count(a ^ b)))))"
+    few = lists.select(F.expr(f"filter({pairs}, p -> p.a <> p.b and p.far <= 2)").alias("near")).filter("size(near) > 0").select(F.inline("near")).select("b", "a")
+    # Many: no pairs are formed.
+    candidates = table(crowded.filter(F.col("n") > SMALL_CELL).select("fp").distinct(), "simhash-candidates")
     about = candidates.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("z"))
     # At most 65 distinct fingerprints are within one bit of z, so the list is bounded.
     groups = about.groupBy("z").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
-    return groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a <> b").distinct()
+    many = groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a <> b")
+    return few.unionByName(many).distinct()
 
 
 def components(prints: DataFrame) -> DataFrame:
