@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.operators.lineage import cut
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges; root is the smallest node it reaches.
@@ -12,10 +14,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None
     Each round links every node's larger neighbours to its smallest one (large
     star) and then its smaller neighbours likewise (small star); the depth of the
     trees falls by about half each time. keep(df) materialises a round's edges
-    and cuts lineage; checkpoint() is used where it is missing. Rows with a null
+    and cuts lineage; a checkpoint is used where it is missing. Rows with a null
     end are ignored, loops keep their node as its own root.
     """
-    keep = keep or (lambda df: df.checkpoint())
+    keep = keep or cut
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     nodes = edges.select("u").union(edges.select("v")).distinct()
     links = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

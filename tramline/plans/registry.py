@@ -1,4 +1,8 @@
 """Queries of the library for the driver, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tramline.plans import timetable_queries
+
+_MODULES = (timetable_queries,)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: text for m in _MODULES for name, text in m.ORACLE_SQL.items()}
