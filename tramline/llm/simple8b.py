@@ -17,6 +17,16 @@ ESCAPE = 15
 _COUNTS = np.array([n for n, _ in SELECTORS] + [1], np.int64)
 
 
+def _all_of(fits: np.ndarray, count: int) -> np.ndarray:
+    """For each place of a row, whether it and the count - 1 places after it are all true."""
+    out, width = fits, 1
+    while width < count:
+        more = min(width, count - width)
+        out = out[:, : out.shape[1] - more] & out[:, more:]
+        width += more
+    return out
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): the words of all blocks, and the first word of each block and the end."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -25,27 +35,26 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     starts = np.arange(0, n, BLOCK)
     ends = np.minimum(starts + BLOCK, n)
-    at = np.arange(n)
     end = np.repeat(ends, ends - starts)
-    chosen = np.full(n, ESCAPE, np.int8)
+    chosen = np.full((len(starts), BLOCK), ESCAPE, np.int8)
+    held = np.zeros(chosen.size, np.uint64)
+    held[:n] = values
+    # What lies beyond a block's end fits any selector.
+    fits = np.ones((len(starts), BLOCK + SELECTORS[0][0]), bool)
     for s in range(len(SELECTORS) - 1, -1, -1):  # selectors that hold more win, so they are set last
         count, bits = SELECTORS[s]
-        fits = values < np.uint64(1 << bits)
-        if fits.any():
-            # The next value that is too wide, at the block's end at the latest.
-            stop = np.minimum.accumulate(np.where(fits, n, at)[::-1])[::-1]
-            chosen[fits & (np.minimum(stop, end) >= np.minimum(at + count, end))] = s
-    step = np.minimum(at + _COUNTS[chosen], end)
-    heads, place = [], starts.copy()
-    blocks = np.arange(len(starts))
+        fits[:, :BLOCK] = held.reshape(-1, BLOCK) < np.uint64(1 << bits)
+        if fits[:, :BLOCK].any():
+            chosen[_all_of(fits, count)[:, :BLOCK]] = s
+    chosen = chosen.reshape(-1)[:n]
+    step = np.minimum(np.arange(n) + _COUNTS[chosen], end)
+    heads, place = [], starts
     while len(place):  # all blocks go forward together, a word each time
-        heads.append((blocks, place))
-        place = step[place]
-        going = place < ends[blocks]
-        blocks, place = blocks[going], place[going]
-    order = np.lexsort((np.concatenate([p for _, p in heads]), np.concatenate([b for b, _ in heads])))
-    head = np.concatenate([p for _, p in heads])[order]
-    block = np.concatenate([b for b, _ in heads])[order]
+        heads.append(place)
+        after = step[place]
+        place = after[after < end[place]]
+    head = np.sort(np.concatenate(heads))
+    block = head // BLOCK
     selector = chosen[head].astype(np.int64)
     size = 1 + (selector == ESCAPE)
     slot = np.cumsum(size) - size
