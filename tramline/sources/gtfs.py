@@ -60,6 +60,8 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
             columns.append(F.lit("").cast(f.dataType).alias(f.name))
         elif isinstance(f.dataType, T.BooleanType) and isinstance(df.schema[f.name].dataType, T.StringType):
             columns.append((F.trim(f.name) == "1").alias(f.name))
+        elif isinstance(f.dataType, T.StringType):  # an empty field is '', as readers of CSV give null for it
+            columns.append(F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name))
         else:
             columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
     return df.select(*columns)
