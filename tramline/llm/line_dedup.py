@@ -97,12 +97,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
         lines = lines.filter(F.length("key") >= min_chars)
         # Two seeds of the same hash: the second starts from the hash of a constant.
         lines = lines.select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-        owner = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id"))
-        keys = lines.groupBy(*KEY).agg(owner.alias("owner"), (F.max(F.struct(F.col("id").isNotNull().alias("has"), "id")) != owner).alias("shared"))
+        # The owner is the smallest id, or the document without one; plain numbers keep the aggregation hashed.
+        keys = lines.groupBy(*KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless"))
         known = runs.add(keys)
-        again = known.filter(F.col("seen") | F.col("shared")).select(*KEY, F.when(~F.col("seen"), F.col("owner")).alias("owner"))
-        here = F.struct(F.col("id").isNotNull().alias("has"), "id")
-        lost = lines.join(again.hint("merge"), KEY).filter(F.col("owner").isNull() | (here != F.col("owner")))
+        shared = F.coalesce(F.col("first") < F.col("last"), F.lit(False)) | (F.col("nameless") & F.col("first").isNotNull())
+        again = known.filter(F.col("seen") | shared).select(*KEY, "seen", "nameless", "first")
+        other = F.when(F.col("nameless"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))
+        lost = lines.join(again.hint("merge"), KEY).filter(F.col("seen") | other)
         gone.append(table(lost.groupBy("id").agg(F.collect_set("pos").alias("gone")), "line-drops"))
         if i < len(cuts):
             runs.compact()
