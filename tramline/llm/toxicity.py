@@ -49,23 +49,34 @@ def errors_allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
+class Node:
+    __slots__ = ("below", "errors", "next", "term")
+
+    def __init__(self):
+        self.below, self.errors, self.next, self.term = 0, 0, {}, None
+
+
 class Trie:
+    """The lexicon. Sets of terms are bits of a number: bit i for the i-th term."""
+
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.root = terms, {}
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
+        self.terms, self.root = terms, Node()
+        for i, term in enumerate(terms):
+            node, k = self.root, errors_allowed(len(term))
+            for c in [*term, None]:
+                node.errors, node.below = max(node.errors, k), node.below | 1 << i  # what the terms from here on allow
+                node = node.next.setdefault(c, Node()) if c else node
+            node.term = term
         # A word within k errors of a term holds one of the term's k + 1 parts unchanged, moved by k at most.
-        self.parts, plan = set(), {}
-        for term in terms:
+        self.parts, plan = {}, {}
+        for i, term in enumerate(terms):
             k, n = errors_allowed(len(term)), len(term)
-            cuts = [i * n // (k + 1) for i in range(k + 2)]
+            cuts = [j * n // (k + 1) for j in range(k + 2)]
             for a, z in zip(cuts, cuts[1:], strict=False):
                 for size in range(n - k, n + k + 1):
                     for at in range(max(0, a - k), min(a + k, size - (z - a)) + 1):
-                        self.parts.add((term[a:z], at, size))
+                        key = (term[a:z], at, size)
+                        self.parts[key] = self.parts.get(key, 0) | 1 << i
                         plan.setdefault(size, set()).add((at, at + z - a))
         self.plan = {n: sorted(x) for n, x in plan.items()}
 
@@ -73,32 +84,36 @@ class Trie:
         """The nearest term and its number of errors; among equals the one with the larger weight, then the first."""
         if word in self.terms:
             return word, 0
-        n, parts = len(word), self.parts
-        if not any((word[a:z], a, n) in parts for a, z in self.plan.get(n, ())):
+        n, get, likely = len(word), self.parts.get, 0
+        for a, z in self.plan.get(n, ()):
+            likely |= get((word[a:z], a, n), 0)
+        if not likely:
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        most, goal, found = 2, 1 << n, []
-        start = tuple((1 << (e + 1)) - 1 for e in range(most + 1))
-        todo = [(self.root, start)]
+        goal, found = 1 << n, []
+        whole = goal * 2 - 1
+        # state[e]: the places of the word that are reached with e errors, as bits; no more errors than a node allows.
+        todo = [(self.root, tuple((1 << (e + 1)) - 1 for e in range(self.root.errors + 1)))]
         while todo:
             node, state = todo.pop()
-            for c, child in node.items():
-                if c == "":
-                    errors = next((e for e, places in enumerate(state) if places & goal), None)
-                    if errors is not None and errors <= errors_allowed(len(child)):
-                        found.append((errors, -self.terms[child], child))
-                else:
-                    mask, after, last = masks.get(c, 0), [], 0
-                    for e, places in enumerate(state):
-                        now = (places & mask) << 1
-                        if e:  # a letter more in the term, another letter, a letter more in the word
-                            now |= state[e - 1] | state[e - 1] << 1 | last << 1
-                        last = now & (goal * 2 - 1)
-                        after.append(last)
-                    if after[-1]:
-                        todo.append((child, tuple(after)))
+            if node.term is not None:
+                errors = next((e for e, places in enumerate(state) if places & goal), None)
+                if errors is not None and errors <= errors_allowed(len(node.term)):
+                    found.append((errors, -self.terms[node.term], node.term))
+            for c, child in node.next.items():
+                if not child.below & likely:  # only where a term shares a part with the word
+                    continue
+                mask, after, last = masks.get(c, 0), [], 0
+                for e in range(child.errors + 1):
+                    now = (state[e] & mask) << 1
+                    if e:  # a letter more in the term, another letter, a letter more in the word
+                        now |= state[e - 1] | state[e - 1] << 1 | last << 1
+                    last = now & whole
+                    after.append(last)
+                if after[-1]:
+                    todo.append((child, tuple(after)))
         return (min(found)[2], min(found)[0]) if found else None
 
 
