@@ -63,30 +63,40 @@ class Shard:
         self.ids, self.vectors = ids[order], vectors[order]
         rest = np.sqrt(np.maximum(longest**2 - (self.vectors**2).sum(1), 0))
         points = np.hstack([self.vectors, rest[:, None]]) @ lines
-        self.order = np.argsort(points, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(points, self.order, axis=0)
-
-    def search(self, query_id: int, query: np.ndarray, at: np.ndarray, k: int, width: float, share: float = VERIFIED, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best found for one query; at: its projections."""
-        n, m = self.order.shape
-        need = min(n, max(LEAST * k, int(share * n)))
-        counts, radius = np.zeros(n, np.int32), width
-        left = right = None
-        while True:
-            new_left = np.array([np.searchsorted(self.sorted[:, j], at[j] - radius, "left") for j in range(m)])
-            new_right = np.array([np.searchsorted(self.sorted[:, j], at[j] + radius, "right") for j in range(m)])
-            # Only the parts by which the windows grew are counted.
-            grown = [self.order[new_left[j] : new_right[j], j] for j in range(m)] if left is None else [self.order[a:b, j] for j in range(m) for a, b in ((new_left[j], left[j]), (right[j], new_right[j]))]
-            counts += np.bincount(np.concatenate(grown), minlength=n).astype(np.int32)
-            left, right = new_left, new_right
-            hits = np.flatnonzero(counts >= threshold * m)
-            if len(hits) >= need or (left == 0).all() and (right == n).all():
-                break
-            radius *= GROWTH
-        hits = hits[self.ids[hits] != query_id]
-        scores = self.vectors[hits] @ query
-        best = np.lexsort((self.ids[hits], -scores))[:k]
-        return hits[best], scores[best]
+        points = np.ascontiguousarray(points.T)  # an array for each line
+        self.order = np.argsort(points, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(points, self.order, axis=1)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int, width: float, share: float = VERIFIED, threshold: float = THRESHOLD):
+        """(positions, scores) of the k best found, query by query; at: the queries' projections."""
+        m, n = self.order.shape
+        need, bounds = min(n, max(LEAST * k, int(share * n))), []
+
+        def windows(i: int):
+            """The windows of all queries at the i-th radius."""
+            while len(bounds) <= i:
+                radius = width * GROWTH ** len(bounds)
+                bounds.append([np.stack([np.searchsorted(self.sorted[j], at[:, j] + sign * radius, side) for j in range(m)], axis=1) for sign, side in ((-1, "left"), (1, "right"))])
+            return bounds[i]
+
+        for q, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
+            counts, left, right, i = np.zeros(n, np.int64), None, None, 0
+            while True:
+                new_left, new_right = (x[q].tolist() for x in windows(i))
+                # Only the parts by which the windows grew are counted.
+                if left is None:
+                    grown = [self.order[j, new_left[j] : new_right[j]] for j in range(m)]
+                else:
+                    grown = [self.order[j, a:b] for j in range(m) for a, b in ((new_left[j], left[j]), (right[j], new_right[j]))]
+                counts += np.bincount(np.concatenate(grown), minlength=n)
+                left, right, i = new_left, new_right, i + 1
+                hits = np.flatnonzero(counts >= threshold * m)
+                if len(hits) >= need or max(left) == 0 and min(right) == n:
+                    break
+            hits = hits[self.ids[hits] != query_id]
+            scores = self.vectors[hits] @ query
+            best = np.lexsort((self.ids[hits], -scores))[:k]
+            yield hits[best], scores[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int = PROJECTIONS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -117,8 +127,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int
         if len(rows) and len(asked):
             shard = Shard(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), longest, lines)
             points = np.hstack([np.stack(asked["v"].to_numpy()), np.zeros((len(asked), 1))])
-            for q, p, at in zip(asked["id"].tolist(), points, points @ lines, strict=True):
-                hits, scores = shard.search(q, p[:-1], at, k, width)
+            ids = asked["id"].to_numpy()
+            for q, (hits, scores) in zip(ids.tolist(), shard.search(ids, points[:, :-1], points @ lines, k, width), strict=True):
                 found.append(pd.DataFrame({"query_id": q, "vec_id": shard.ids[hits], "score": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
