@@ -67,17 +67,19 @@ class Trie:
                 node.errors, node.below = max(node.errors, k), node.below | 1 << i  # what the terms from here on allow
                 node = node.next.setdefault(c, Node()) if c else node
             node.term = term
-        # A word within k errors of a term holds one of the term's k + 1 parts unchanged, moved by k at most.
+        # A word within k errors of a term holds one of the term's k + 1 parts unchanged. It is moved by the letters
+        # added or left out before it, and the word's length also tells those after it; both are k at most.
         self.parts, plan = {}, {}
         for i, term in enumerate(terms):
             k, n = errors_allowed(len(term)), len(term)
             cuts = [j * n // (k + 1) for j in range(k + 2)]
             for a, z in zip(cuts, cuts[1:], strict=False):
-                for size in range(n - k, n + k + 1):
-                    for at in range(max(0, a - k), min(a + k, size - (z - a)) + 1):
-                        key = (term[a:z], at, size)
+                for before in range(-k, k + 1) if a else [0]:
+                    room = k - abs(before)
+                    for after in range(-room, room + 1) if z < n else [0]:
+                        key = (term[a:z], a + before, n + before + after)
                         self.parts[key] = self.parts.get(key, 0) | 1 << i
-                        plan.setdefault(size, set()).add((at, at + z - a))
+                        plan.setdefault(key[2], set()).add((a + before, z + before))
         self.plan = {n: sorted(x) for n, x in plan.items()}
 
     def near(self, word: str) -> tuple[str, int] | None:
@@ -92,28 +94,26 @@ class Trie:
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        goal, found = 1 << n, []
-        whole = goal * 2 - 1
-        # state[e]: the places of the word that are reached with e errors, as bits; no more errors than a node allows.
-        todo = [(self.root, tuple((1 << (e + 1)) - 1 for e in range(self.root.errors + 1)))]
+        goal, found, none = 1 << n, [], 0
+        whole, get = goal * 2 - 1, masks.get
+        # r0, r1, r2: the places of the word that are reached with 0, 1 and 2 errors, as bits.
+        todo = [(self.root, 1, 3, 7)]
         while todo:
-            node, state = todo.pop()
+            node, r0, r1, r2 = todo.pop()
             if node.term is not None:
-                errors = next((e for e, places in enumerate(state) if places & goal), None)
-                if errors is not None and errors <= errors_allowed(len(node.term)):
+                errors = 0 if r0 & goal else 1 if r1 & goal else 2 if r2 & goal else 3
+                if errors <= errors_allowed(len(node.term)):
                     found.append((errors, -self.terms[node.term], node.term))
             for c, child in node.next.items():
                 if not child.below & likely:  # only where a term shares a part with the word
                     continue
-                mask, after, last = masks.get(c, 0), [], 0
-                for e in range(child.errors + 1):
-                    now = (state[e] & mask) << 1
-                    if e:  # a letter more in the term, another letter, a letter more in the word
-                        now |= state[e - 1] | state[e - 1] << 1 | last << 1
-                    last = now & whole
-                    after.append(last)
-                if after[-1]:
-                    todo.append((child, tuple(after)))
+                mask, most = get(c, none), child.errors
+                # Beside the letter itself: one more in the term, another one, one more in the word.
+                a = (r0 & mask) << 1 & whole
+                b = ((r1 & mask) << 1 | r0 | r0 << 1 | a << 1) & whole if most else 0
+                d = ((r2 & mask) << 1 | r1 | r1 << 1 | b << 1) & whole if most > 1 else 0
+                if a or b or d:
+                    todo.append((child, a, b, d))
         return (min(found)[2], min(found)[0]) if found else None
 
 
@@ -170,10 +170,13 @@ class Model:
     """Terms, dropped forms and the logistic weights: what a task needs, bounded by the constants above."""
 
     def __init__(self, terms, clean_forms=frozenset(), weights=None, base=0.5):
-        self.terms, self.clean_forms, self.weights, self.base = terms, clean_forms, weights, base
+        self.terms, self.clean_forms, self.weights, self.base, self.kept = terms, clean_forms, weights, base, None
 
     def matcher(self) -> Matcher:
-        return Matcher(self.terms, self.clean_forms)
+        """The matcher of a Python worker; as part of a broadcast it serves all of the worker's tasks."""
+        if self.kept is None:
+            self.kept = Matcher(self.terms, self.clean_forms)
+        return self.kept
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -217,18 +220,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3
     top = words.filter((F.col("bad") >= MIN_ROWS) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("bad"), "word").limit(MAX_TERMS).collect()
     terms = {r["word"]: float(r["odds"]) for r in top}
 
-    def misspelled(text, kept=[]):  # noqa: B006  one matcher per task
-        if not kept:
-            kept.append(Matcher(terms))
-        _, found = kept[0].hits(text)
-        return {kept[0].entries[i][0] for i in set(found[found > 0].tolist()) if kept[0].entries[i][2]}
+    spark = docs.sparkSession
+    draft = spark.sparkContext.broadcast(Model(terms))
+
+    def misspelled(text):
+        matcher = draft.value.matcher()
+        _, found = matcher.hits(text)
+        return {matcher.entries[i][0] for i in set(found[found > 0].tolist()) if matcher.entries[i][2]}
 
     forms = by_class(misspelled).withColumn("odds", odds)
     clean = frozenset(r["word"] for r in forms.filter((F.col("good") > 0) & (F.col("odds") < MIN_ODDS)).orderBy(F.desc("good"), "word").limit(MAX_CLEAN_FORMS).collect())
     model = Model(terms, clean)
+    second = spark.sparkContext.broadcast(model)
 
     def features(it):
-        matcher = model.matcher()
+        matcher = second.value.matcher()
         for b in it:
             found = [matcher.features(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
