@@ -64,35 +64,46 @@ class Shard:
         rest = np.sqrt(np.maximum(longest**2 - (self.vectors**2).sum(1), 0))
         points = np.hstack([self.vectors, rest[:, None]]) @ lines
         points = np.ascontiguousarray(points.T)  # an array for each line
-        self.order = np.argsort(points, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(points, self.order, axis=1)
+        order = np.argsort(points, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(points, order, axis=1)
+        # ranks[j, i]: the place of vector i in the j-th sorted array.
+        self.ranks = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=self.ranks.dtype)[None, :], axis=1)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int, width: float, share: float = VERIFIED, threshold: float = THRESHOLD):
         """(positions, scores) of the k best found, query by query; at: the queries' projections."""
-        m, n = self.order.shape
+        m, n = self.ranks.shape
         need, bounds = min(n, max(LEAST * k, int(share * n))), []
+        moved, inside, kind = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool), np.uint8 if m < 256 else np.uint16
 
         def windows(i: int):
-            """The windows of all queries at the i-th radius."""
+            """Begin and length of the windows of all queries at the i-th radius."""
             while len(bounds) <= i:
                 radius = width * GROWTH ** len(bounds)
-                bounds.append([np.stack([np.searchsorted(self.sorted[j], at[:, j] + sign * radius, side) for j in range(m)], axis=1) for sign, side in ((-1, "left"), (1, "right"))])
+                left, right = (np.stack([np.searchsorted(self.sorted[j], at[:, j] + sign * radius, side) for j in range(m)], axis=1) for sign, side in ((-1, "left"), (1, "right")))
+                bounds.append((left.astype(self.ranks.dtype), (right - left).astype(self.ranks.dtype), (left.max(axis=1) == 0) & (right.min(axis=1) == n)))
             return bounds[i]
 
+        def colliding(q: int, i: int) -> tuple[np.ndarray, bool]:
+            """The vectors in enough of the query's windows at the i-th radius, and whether that is enough of them."""
+            left, size, everything = windows(i)
+            np.subtract(self.ranks, left[q][:, None], out=moved)
+            np.less(moved, size[q][:, None], out=inside)
+            hits = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=kind) >= threshold * m)
+            return hits, len(hits) >= need or bool(everything[q])
+
+        i = 0
         for q, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
-            counts, left, right, i = np.zeros(n, np.int64), None, None, 0
-            while True:
-                new_left, new_right = (x[q].tolist() for x in windows(i))
-                # Only the parts by which the windows grew are counted.
-                if left is None:
-                    grown = [self.order[j, new_left[j] : new_right[j]] for j in range(m)]
-                else:
-                    grown = [self.order[j, a:b] for j in range(m) for a, b in ((new_left[j], left[j]), (right[j], new_right[j]))]
-                counts += np.bincount(np.concatenate(grown), minlength=n)
-                left, right, i = new_left, new_right, i + 1
-                hits = np.flatnonzero(counts >= threshold * m)
-                if len(hits) >= need or max(left) == 0 and min(right) == n:
+            # Collisions only grow with the radius, so the least radius that does is found from the last query's.
+            hits, enough = colliding(q, i)
+            while not enough:
+                i += 1
+                hits, enough = colliding(q, i)
+            while i:
+                fewer, enough = colliding(q, i - 1)
+                if not enough:
                     break
+                hits, i = fewer, i - 1
             hits = hits[self.ids[hits] != query_id]
             scores = self.vectors[hits] @ query
             best = np.lexsort((self.ids[hits], -scores))[:k]
