@@ -202,6 +202,29 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["equal", "lognormal", "one long"])
+def test_ann_recall_of_a_whole_shard(spark, kind):
+    rng, n = np.random.default_rng(12), ann.SHARD_ROWS
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"equal": np.ones(n), "lognormal": rng.lognormal(0, 0.5, n), "one long": np.where(np.arange(n) == 5, 3.0, 1.0)}[kind][:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    found = _grouped(ann.nearest(v, v.filter("id % 410 = 0")).collect(), lambda r: r.query_id)
+    assert sorted(found) == list(range(0, n, 410))
+    hits = 0
+    for q, rows in found.items():
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(set(np.argsort(-exact)[:20].tolist()) & {r.vec_id for r in rows})
+    assert hits >= 0.95 * 20 * len(found)
+
+
+def test_ann_lengths_beyond_squares(spark):
+    x = np.random.default_rng(13).standard_normal((600, 8)) * np.repeat([1e-200, 1.0], 300)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    assert ann.nearest(v, v.filter("id % 300 = 1")).count() == 40
+
+
 # --- 6 sentence pieces
 
 

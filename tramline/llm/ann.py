@@ -5,12 +5,15 @@ kept as a sorted array of its own (no compound hashes). A query's window on each
 array is centred on its own projection and grows by virtual rehashing: radius
 1, c, c^2, ... times the base width. A vector inside the query's window on at
 least `threshold` arrays has collided often enough and is verified with its exact
-inner product. A query stops growing once it has a share of the shard to verify
+inner product. A query stops growing once it has a share of the band to verify
 (VERIFIED; a share, so recall does not fall as tables grow), or when its windows
-cover the shard. The README has the recall measured against brute force.
+cover the band. The README has the recall measured against brute force.
 
 The largest inner product becomes the smallest distance by one more coordinate,
-sqrt(M^2 - |x|^2), with M the largest length in the table; queries have 0 there.
+sqrt(M^2 - |x|^2); queries have 0 there and are brought to the length M. That
+coordinate must not outweigh the others, so the vectors of a shard are cut by length
+into bands (BAND), and M is the largest length of the band. Bands are asked from the
+longest on; one whose bound |q| M can't beat the k-th score found is left out.
 
 The index is dealt over shards by a hash of the id, so each shard holds about
 `shard_rows` vectors whatever the table's size; the stated query set meets every
@@ -38,9 +41,11 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 1_024
 #: Share of the arrays on which a vector must collide.
 THRESHOLD = 0.6
-#: Growth of the radius.
-GROWTH = 1.25
-#: Share of a shard that is verified before a query may stop, and k times this at least.
+#: Base width of a window, in lengths of the band, and growth of the radius.
+WIDTH, GROWTH = 0.4, 1.25
+#: The longest vector of a band is at most so many times longer than the shortest.
+BAND = 1.1
+#: Share of a band that is verified before a query may stop, and k times this at least.
 VERIFIED = 0.15
 #: Vectors that are verified at least, times k.
 LEAST = 10
@@ -55,31 +60,35 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return plain.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-class Shard:
-    """The sorted arrays of one shard."""
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """The length of each row, also where squares leave the range of doubles."""
+    top = np.maximum(np.abs(vectors).max(axis=1), np.finfo(float).tiny)
+    return top * np.sqrt(((vectors / top[:, None]) ** 2).sum(axis=1))
+
+
+class Band:
+    """The sorted arrays of the vectors of similar length in one shard, in units of the longest."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, lines: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        rest = np.sqrt(np.maximum(longest**2 - (self.vectors**2).sum(1), 0))
-        points = np.hstack([self.vectors, rest[:, None]]) @ lines
+    def __init__(self, vectors: np.ndarray, lines: np.ndarray):
+        rest = np.sqrt(np.maximum(1 - (vectors**2).sum(1), 0))
+        points = np.hstack([vectors, rest[:, None]]) @ lines
         points = np.ascontiguousarray(points.T)  # an array for each line
         order = np.argsort(points, axis=1, kind="stable")
         self.sorted = np.take_along_axis(points, order, axis=1)
         # ranks[j, i]: the place of vector i in the j-th sorted array.
-        self.ranks = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=self.ranks.dtype)[None, :], axis=1)
+        self.ranks = np.empty(order.shape, np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(len(vectors), dtype=self.ranks.dtype)[None, :], axis=1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int, width: float, share: float = VERIFIED, threshold: float = THRESHOLD):
-        """(positions, scores) of the k best found, query by query; at: the queries' projections."""
+    def candidates(self, at: np.ndarray, need: int, threshold: float):
+        """Positions of the vectors to verify, query by query; at: the projections of the queries, brought to length 1."""
         m, n = self.ranks.shape
-        need, bounds = min(n, max(LEAST * k, int(share * n))), []
+        bounds = []
         moved, inside, kind = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool), np.uint8 if m < 256 else np.uint16
 
         def windows(i: int):
             """Begin and length of the windows of all queries at the i-th radius."""
             while len(bounds) <= i:
-                radius = width * GROWTH ** len(bounds)
+                radius = WIDTH * GROWTH ** len(bounds)
                 left, right = (np.stack([np.searchsorted(self.sorted[j], at[:, j] + sign * radius, side) for j in range(m)], axis=1) for sign, side in ((-1, "left"), (1, "right")))
                 bounds.append((left.astype(self.ranks.dtype), (right - left).astype(self.ranks.dtype), (left.max(axis=1) == 0) & (right.min(axis=1) == n)))
             return bounds[i]
@@ -93,7 +102,7 @@ class Shard:
             return hits, len(hits) >= need or bool(everything[q])
 
         i = 0
-        for q, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
+        for q in range(len(at)):
             # Collisions only grow with the radius, so the least radius that does is found from the last query's.
             hits, enough = colliding(q, i)
             while not enough:
@@ -104,28 +113,61 @@ class Shard:
                 if not enough:
                     break
                 hits, i = fewer, i - 1
-            hits = hits[self.ids[hits] != query_id]
-            scores = self.vectors[hits] @ query
-            best = np.lexsort((self.ids[hits], -scores))[:k]
-            yield hits[best], scores[best]
+            yield hits
+
+
+class Shard:
+    """The vectors of one shard, the longest first, cut into bands of similar length."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: np.ndarray):
+        lengths = lengths_of(vectors)
+        order = np.lexsort((ids, -lengths))
+        self.ids, self.vectors, self.lengths, self.lines = ids[order], vectors[order], lengths[order], lines
+        self.cuts = [0]
+        while self.cuts[-1] < len(ids):
+            self.cuts.append(int(np.searchsorted(-self.lengths, -self.lengths[self.cuts[-1]] / BAND, "right")))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float = VERIFIED, threshold: float = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(positions, scores) of the k best found, query by query."""
+        size = lengths_of(queries)
+        # The order of inner products does not depend on the query's length, and windows tell most at the length of the band.
+        at = (queries / size[:, None]) @ self.lines[:-1]
+        found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in query_ids]
+        for low, high in zip(self.cuts, self.cuts[1:], strict=False):
+            longest, need = self.lengths[low], min(high - low, max(LEAST * k, int(share * (high - low))))
+            # No vector of the band can beat k found ones that are past its bound.
+            asked = [q for q, (hits, scores) in enumerate(found) if len(hits) < k or scores[-1] <= size[q] * longest * (1 + 1e-9)]
+            if not asked:
+                continue
+            if need == high - low:
+                tried = (np.arange(need) for _ in asked)
+            else:
+                tried = Band(self.vectors[low:high] / longest, self.lines).candidates(at[asked], need, threshold)
+            for q, hits in zip(asked, tried, strict=True):
+                hits = low + hits
+                hits = hits[self.ids[hits] != query_ids[q]]
+                scores = np.concatenate([found[q][1], self.vectors[hits] @ queries[q]])
+                hits = np.concatenate([found[q][0], hits])
+                best = np.lexsort((self.ids[hits], -scores))[:k]
+                found[q] = hits[best], scores[best]
+        return found
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int = PROJECTIONS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query. vectors and queries: (id, v)."""
     vectors = table(vectors, "ann-vectors")
-    facts = vectors.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("longest"), F.mode(F.size("v")).alias("size")).first()
+    facts = vectors.agg(F.count("*").alias("n"), F.mode(F.size("v")).alias("size")).first()
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, longest = facts["size"], float(np.sqrt(facts["longest"]))
+    size = facts["size"]
     vectors = vectors.filter(F.size("v") == size)
     queries = queries.filter(F.size("v") == size)
     shards, blocks = -(-facts["n"] // shard_rows), -(-queries.count() // query_rows)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lines = np.random.default_rng(SEED).standard_normal((size + 1, projections))
-    width = 0.4 * longest
 
     def place(df, n, label):
         return df.withColumn(label, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
@@ -136,10 +178,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(asked):
-            shard = Shard(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), longest, lines)
-            points = np.hstack([np.stack(asked["v"].to_numpy()), np.zeros((len(asked), 1))])
+            shard = Shard(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), lines)
             ids = asked["id"].to_numpy()
-            for q, (hits, scores) in zip(ids.tolist(), shard.search(ids, points[:, :-1], points @ lines, k, width), strict=True):
+            for q, (hits, scores) in zip(ids.tolist(), shard.search(ids, np.stack(asked["v"].to_numpy()), k), strict=True):
                 found.append(pd.DataFrame({"query_id": q, "vec_id": shard.ids[hits], "score": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
