@@ -24,9 +24,16 @@ where a bound by segment counts excludes nothing), so it links, beside the
 fingerprints above, the fingerprints of samples: each of `VIEWS` samples holds the
 `SAMPLE` shingles that come first in an order of its own, and is itself a SimHash.
 Two texts with similarity s share a given one with probability of about s^SAMPLE, at
-least one of 24 with 0.9999 at 0.8. Every candidate pair is then verified exactly
-over the whole texts. Members of a candidate group meet its smallest document
-and that of a salted part of it, so a group of any size costs two pairs a member.
+least one of 24 with 0.9999 at 0.8. A sample of few shingles says nothing about
+texts that short, so texts of up to SMALL_SET shingles are also candidates by each
+shingle of their prefixes: of the |x| shingles of a text, the rarest first, the first
+|x| - ceil(s |x|) + 1; two texts that are similar enough share one of those for certain.
+
+Every candidate pair is verified exactly over the whole texts. Members of a candidate
+group meet its smallest document and that of a salted part of it. After that, members
+of a group that are not yet connected with most of it meet all members they are not
+connected with, so no link inside a candidate group is lost; a group of copies, however
+large, costs two pairs a member.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm.common import read_documents, table
@@ -47,6 +54,8 @@ BLOCK = 1 << 18
 #: Fingerprints of a cell up to which its pairs are compared.
 SMALL_CELL = 8
 VIEWS, SAMPLE, SALTS = 24, 5, 16
+#: Shingles up to which a text is found by its rarest shingles.
+SMALL_SET = 64
 _TURNS = np.random.default_rng(8).integers(1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -135,6 +144,31 @@ def view_prints(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits * 2 > n, axis=1).view("<i8").reshape(VIEWS)
 
 
+def prefixes(classes: DataFrame, similarity: float) -> DataFrame:
+    """(rep, size, view, key): the shingles of small sets by which they meet each similar small set."""
+    small = classes.select("rep", "size", F.explode("small").alias("key"))
+    counted = small.join(small.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key")
+    # The order has to be the same for all sets; shingles of one set only take their place in it but meet none.
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "key"))
+    first = counted.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
+    return first.filter("n > 1").select("rep", "size", F.lit(VIEWS).alias("view"), "key")
+
+
+def unlinked(keyed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of one key that no links connect yet and whose sizes allow the similarity."""
+    group = ["view", "key"]
+    members = keyed.select("rep", "size", *group).join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
+    members = table(members.withColumn("root", F.coalesce("root", "rep")), "simhash-members")
+    parts = members.groupBy(*group, "root").agg(F.count("*").alias("n"))
+    # Pairs of two were verified already.
+    mixed = parts.groupBy(*group).agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 and n > 2").select(*group, "most")
+    mixed = table(members.join(mixed.hint("merge"), group), "simhash-mixed")
+    few = mixed.filter("root <> most").select(*group, F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
+    met = few.join(mixed.hint("merge"), group).filter("root <> x_root and (root = most or x_root < root)")
+    met = met.filter(F.least("size", "x_size") >= similarity * F.greatest("size", "x_size") - 1e-9)
+    return met.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group_id): documents linked by texts whose shingle sets have at least that Jaccard similarity.
 
@@ -147,13 +181,17 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         for b in it:
             texts = b.column(1).to_pylist()
             same = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split())) for x in texts]
-            views = [view_prints(shingle_set(x, known, width)) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([fingerprint(x, width) for x in texts], pa.int64()), pa.array([v.tolist() for v in views], pa.list_(pa.int64()))], ["id", "same", "fp", "views"])
+            sets = [shingle_set(x, known, width) for x in texts]
+            views = [view_prints(x).tolist() for x in sets]
+            small = [x.view(np.int64).tolist() if len(x) <= SMALL_SET else [] for x in sets]
+            columns = [pa.array(same, pa.binary()), pa.array([fingerprint(x, width) for x in texts], pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "same", "fp", "views", "small", "size"])
 
-    rows = table(plain.mapInArrow(sketch, "id long, same binary, fp long, views array<long>"), "simhash-sketches")
+    rows = table(plain.mapInArrow(sketch, "id long, same binary, fp long, views array<long>, small array<long>, size long"), "simhash-sketches")
     # Texts of equal words form a class, which goes on as its smallest document.
-    classes = table(rows.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("views").alias("views")), "simhash-classes")
-    keyed = classes.select("rep", F.posexplode("views").alias("view", "key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    classes = table(rows.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("views").alias("views"), F.min("small").alias("small"), F.min("size").alias("size")), "simhash-classes")
+    sampled = classes.select("rep", "size", F.posexplode("views").alias("view", "key"))
+    keyed = table(sampled.unionByName(prefixes(classes, similarity)), "simhash-keys").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
     salted = keyed.groupBy("view", "key", "salt").agg(F.min("rep").alias("near"))
     least = keyed.groupBy("view", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").select("view", "key", "least")
     met = keyed.join(least.hint("merge"), ["view", "key"]).join(salted.hint("merge"), ["view", "key", "salt"])
@@ -164,9 +202,6 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     pairs = pairs.unionByName(close).unionByName(alike).filter("rep <> other").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
     pairs = table(pairs, "simhash-pairs")
 
-    texts = plain.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = table(texts, "simhash-texts")
-
     def verify(it):
         known = WordHashes()
         for b in it:
@@ -179,12 +214,21 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([z[i] for i in kept], pa.int64())], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
     keep = lambda df: table(df, "simhash-links")
-    edges = keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = plain.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
+        texts = table(texts, "simhash-texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+        return keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
     # A document may stand in several rows: its classes are linked through its id.
     own = classes.select("same", "rep").join(rows.select("same", "id").hint("merge"), "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = connected_components(edges.unionByName(own.filter("a <> b")), keep=keep)
+    edges = verified(pairs).unionByName(own.filter("a <> b"))
+    roots = connected_components(edges, keep=keep)
+    left = table(unlinked(keyed, roots, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "simhash-left")
+    if not left.isEmpty():
+        roots = connected_components(keep(edges.unionByName(verified(left))), keep=keep)
     return rows.select("id").distinct().join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
 
 
