@@ -12,9 +12,10 @@ little more than another. They are grouped exactly, by a 96-bit hash of the word
 in buckets of a range of hashes each, and every document but the smallest loses
 the words covered. Windows travel packed, many to a row, which halves the shuffle.
 
-The sketch follows the input (1.5 cells a window at least) up to `max_cells` a
-row, 2^29 by default: 128 MB for the two rows that are broadcast, by that bound.
-Beyond it more single windows pass the filter; results stay the same.
+The sketch follows the input (1.5 cells a window at least) up to 2^`max_bits` cells
+a row, 2^29 by default: 128 MB for the two rows that are broadcast, by that bound.
+For more windows both passes run once for each of 2, 4, 8, ... ranges of hashes, each
+with a sketch of its own, so the filter and the buckets are as good at any size.
 
 Defined results: a null text has no words; texts with fewer words than a window
 lose none; a null doc_id counts as smaller than any other; rows sharing a doc_id
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import read_documents, table
+from tramline.llm.common import read_documents, shared_dir, table
 
 WINDOW = 13
 ROWS = 2
@@ -88,6 +89,15 @@ def windows(texts: list[str | None], known: WordHashes, width: int) -> tuple[np.
     return _mix(sums[0][whole]), _mix(sums[1][whole]) & np.uint64(0xFFFFFFFF), owner[:n][whole], start[:n][whole]
 
 
+def windows_of_range(texts: list[str | None], known: WordHashes, width: int, at: int, range_bits: int):
+    """The windows whose h1 begins with the range_bits bits of `at`; those bits, equal in all of them, are shifted out."""
+    h1, h2, owner, start = windows(texts, known, width)
+    if range_bits:
+        here = h1 >> np.uint64(64 - range_bits) == np.uint64(at)
+        h1, h2, owner, start = h1[here] << np.uint64(range_bits), h2[here], owner[here], start[here]
+    return h1, h2, owner, start
+
+
 def chunks(ids: list, texts: list[str | None]):
     """Runs of rows of about CHUNK characters, in ascending id order, so that equal windows meet early."""
     order = sorted(range(len(ids)), key=lambda i: NULL_ID if ids[i] is None else ids[i])
@@ -152,8 +162,8 @@ def unpack_cells(data: bytes, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def sketch_windows(docs: DataFrame, bits: int, width: int) -> list[tuple[int, bytes]]:
-    """The merged `more` bit maps as (segment, compressed bytes), of both rows one after the other."""
+def sketch_windows(docs: DataFrame, bits: int, width: int, at: int = 0, range_bits: int = 0) -> list[tuple[int, bytes]]:
+    """The merged `more` bit maps of a range as (segment, compressed bytes), of both rows one after the other."""
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
     per_row = (1 << (bits - 3)) // size
 
@@ -162,7 +172,7 @@ def sketch_windows(docs: DataFrame, bits: int, width: int) -> list[tuple[int, by
         for b in it:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for part in chunks(ids, texts):
-                h1, h2, owner, _ = windows([texts[i] for i in part], known, width)
+                h1, h2, owner, _ = windows_of_range([texts[i] for i in part], known, width, at, range_bits)
                 if len(h1):
                     order = np.argsort(h1, kind="stable")
                     h1, h2, owner = h1[order], h2[order], owner[order]
@@ -178,12 +188,12 @@ def sketch_windows(docs: DataFrame, bits: int, width: int) -> list[tuple[int, by
     def merge(it):
         segment, once, more = None, None, None
         for b in it:
-            for at, x, y in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+            for k, x, y in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 x, y = unpack_cells(x, size), unpack_cells(y, size)
-                if at != segment:
+                if k != segment:
                     if segment is not None:
                         yield _merged(segment, more)
-                    segment, once, more = at, x, y
+                    segment, once, more = k, x, y
                 else:
                     more |= y | (once & x)
                     once |= x
@@ -200,22 +210,18 @@ def _merged(segment: int, more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "more": [zlib.compress(more.tobytes(), 1)]})
 
 
-def cell_bits(docs: DataFrame, max_bits: int) -> int:
-    """Cells a row: the power of two over 1.5 cells for each window that the texts can hold."""
+def cell_bits(docs: DataFrame, max_bits: int) -> tuple[int, int]:
+    """(bits of the cells a row, bits of the ranges): together the power of two over 1.5 cells for each window that the texts can hold."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return int(min(max(np.ceil(np.log2(max(1.5 * chars / 6, 1))), 16), max_bits))
-
+    need = int(max(np.ceil(np.log2(max(1.5 * chars / 6, 1))), 16))
+    return min(need, max_bits), max(need - max_bits, 0)
 
-def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> DataFrame:
-    """(id, mark, starts): starts of windows whose words also start in a document with a smaller id.
 
-    docs: (id long, text). mark is the crc32 of the text, which tells rows apart that share an id.
-    """
+def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: int, parts: int) -> DataFrame | str:
+    """(part, docs): starts that go among the windows of one range of hashes; of one range of several, the folder that holds them."""
     spark = docs.sparkSession
-    bits = cell_bits(docs, max_bits)
-    found = spark.sparkContext.broadcast(sketch_windows(docs, bits, width))
+    found = spark.sparkContext.broadcast(sketch_windows(docs, bits, width, at, range_bits))
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A bucket holds the windows of a range of hashes, about 2^21 before the filter.
     bucket_bits = max(bits - 22, 4)
 
@@ -227,7 +233,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
         for b in it:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for part in chunks(ids, texts):
-                h1, h2, owner, start = windows([texts[i] for i in part], known, width)
+                h1, h2, owner, start = windows_of_range([texts[i] for i in part], known, width, at, range_bits)
                 passed = np.ones(len(h1), bool)
                 for row, cells in enumerate(cells_of(h1, h2, bits)):
                     passed &= (more[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
@@ -248,6 +254,27 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
                 lost = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
                 yield from _replies(ids[lost], marks[lost], starts[lost], parts)
 
+    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(candidates, SENT)
+    judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(judge, REPLY)
+    if not range_bits:
+        return judged
+    path = shared_dir(spark, "judged-windows")
+    judged.write.parquet(path)
+    found.destroy()
+    return path
+
+
+def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -> DataFrame:
+    """(id, mark, starts): starts of windows whose words also start in a document with a smaller id.
+
+    docs: (id long, text). mark is the crc32 of the text, which tells rows apart that share an id.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits, range_bits = cell_bits(docs, max_bits)
+    judged = [judged_range(docs, width, bits, at, range_bits, parts) for at in range(1 << range_bits)]
+    # One range: straight on. More: each is written, so that its sketch can go before the next.
+    replies = judged[0] if len(judged) == 1 else docs.sparkSession.read.schema(REPLY).parquet(*judged)
+
     def gather(it):
         for _, blobs in _runs(it, "part"):
             ids, marks, starts = (np.concatenate(x) for x in zip(*[_columns(x["docs"], "<i8", "<u4", "<u4") for x in blobs], strict=True))
@@ -257,11 +284,10 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
             lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), pa.array(starts.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads].astype(np.int64)), lists], ["id", "mark", "starts"])
 
-    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(candidates, SENT)
-    judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "part int, docs binary")
-    return table(judged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, mark long, starts array<int>"), "repeated-windows")
+    return table(replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, mark long, starts array<int>"), "repeated-windows")
 
 
+REPLY = "part int, docs binary"
 #: Rows between the tasks hold many windows each, as columns of bytes. Without h1: starts known to go, on their way to `part`.
 SENT = "bucket int, part int, h1 binary, h2 binary, refs binary, docs binary"
 
