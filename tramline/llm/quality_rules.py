@@ -1,8 +1,10 @@
 """Operator 9, quality rules: base rules plus thresholds adapted per language and source.
 
 The thresholds come from quantile sketches that merge exactly: a sketch is a
-histogram over fixed bins (`BINS` bins of one unit, values beyond go to the last
-bin), one per (lang, source, metric). Partial counts add up on the map side, a
+histogram over fixed bins (`BINS` bins of one unit, beyond them 64 bins a doubling,
+without end), one per (lang, source, metric). A quartile beyond `BINS` counts as the
+edge of its bin that rejects less. The SQL keeps values beyond in its last bin, so it
+gives the same thresholds where the upper quartile is below that. Partial counts add up on the map side, a
 language's sketch is the sum of its sources' sketches, the global one the sum of
 all. A group with fewer than `min_rows` documents uses its language's sketch, and
 a language with fewer uses the global one. Verdicts are then joined back by
@@ -89,13 +91,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return kept.mapInArrow(batches, schema)
 
 
+def bin_of(value: str) -> Column:
+    """The lower edge of a value's bin: the value itself below BINS, its seven leading binary digits from there on."""
+    return F.expr(f"if(({value}) < {BINS}, ({value}), shiftleft(shiftright(({value}), length(bin({value})) - 7), length(bin({value})) - 7))")
+
+
+def top_of(edge: str) -> Column:
+    """The largest value of the bin with that lower edge."""
+    return F.expr(f"if({edge} < {BINS}, {edge}, {edge} + shiftleft(1L, length(bin({edge})) - 7) - 1)")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
 def thresholds(measured: DataFrame, min_rows: int = 200, lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per (lang, source) with low and high limits of every ratio, from documents that pass the base rules."""
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(f"cast(least({e}, {BINS - 1}) as int)").alias("bin")) for k, (e, _, _) in RATIOS.items()]))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bin_of(e).alias("bin")) for k, (e, _, _) in RATIOS.items()]))
     cells = (
         measured.filter(~base_failed())
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), values.alias("v"))
@@ -121,7 +133,7 @@ def _fences(cells: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
     by = Window.partitionBy(*keys, "metric")
     seen = cells.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
     at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    quartiles = seen.filter(F.col("total") >= min_rows).groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"))
+    quartiles = seen.filter(F.col("total") >= min_rows).groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3")).withColumn("q3", top_of("q3"))
     columns = []
     for k, (_, slack, both) in RATIOS.items():
         here = F.when(F.col("metric") == k, F.col("q1") - 3 * (F.col("q3") - F.col("q1")) - slack if both else F.lit(-1))
