@@ -8,22 +8,55 @@ from pyspark.sql import functions as F
 from tramline.functions import columns as C
 from tramline.operators.steps import minimal_cover
 
+#: Seconds of a day that a task sorts at once for one pair of stops.
+SPAN = 3 * 3600
 
-def asof_next(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False) -> DataFrame:
+
+def asof_next(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, span: int | None = None) -> DataFrame:
     """left with columns of the first right row of equal keys at or after (strict: after) its time; null if none.
 
-    Both sides are laid together and sorted by (keys, time), so a key's rows are
-    read once; there is no range join and no product.
+    Both sides are laid together and sorted by (keys, time) backwards, so that the
+    window only looks at rows it has passed: a key's rows are read once, and there is
+    no range join and no product. Of right rows at the same time the one that is least
+    in columns counts. Rows with a null key or time find nothing.
+
+    span cuts the times of a key into pieces of so many units, each sorted by a task
+    of its own, so that one key with most of the rows is split; the first right row of
+    every piece goes on to the pieces before it.
     """
     payload = F.struct(F.col(right_time), *[F.col(c) for c in columns])
     kept = [c for c in left.columns if c not in keys]
     a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 if strict else 0).alias("_k"), F.struct(*kept).alias("_l"), F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType).alias("_r"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0 if strict else 1).alias("_k"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_k", F.col(f"_r.{columns[0]}").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = a.unionByName(b).withColumn("_next", F.first("_r", ignorenulls=True).over(order)).filter("_l is not null")
+    both, piece = a.unionByName(b), []
+    if span:
+        piece = ["_piece"]
+        both = both.withColumn("_piece", F.floor(F.col("_t") / span).cast("long"))
+        both = both.unionByName(_carried(both, keys, columns))
+    back = Window.partitionBy(*keys, *piece).orderBy(F.col("_t").desc_nulls_last(), F.desc("_k"), *[F.col(f"_r.{c}").desc_nulls_last() for c in columns])
+    seen = both.withColumn("_next", F.when(F.col("_t").isNotNull(), F.last("_r", ignorenulls=True).over(back))).filter("_l is not null")
     return seen.select(*keys, "_l.*", F.col(f"_next.{right_time}").alias(f"next_{right_time}"), *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
+def _carried(both: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """For each piece of a key's times the first right row of the pieces after it, as a row at its end: one a piece."""
+    first = both.groupBy(*keys, "_piece").agg(F.min(F.when(F.col("_r").isNotNull(), F.struct("_t", *[F.col(f"_r.{c}").alias(f"_{i}") for i, c in enumerate(columns)], "_r"))).alias("_f"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_piece").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    held = first.withColumn("_r", F.last("_f._r", ignorenulls=True).over(later)).filter("_r is not null and _piece is not null")
+    kinds = dict(zip(both.columns, both.schema.fields, strict=True))
+    # After every other row of the piece: the row's own time is that of a later one.
+    return held.select(*keys, F.col("_r").getField(both.schema["_r"].dataType.fieldNames()[0]).cast(kinds["_t"].dataType).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kinds["_l"].dataType).alias("_l"), "_r", "_piece")
+
+
+def asof_last(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str) -> DataFrame:
+    """left with last_<right_time>: the latest time of a right row of equal keys at or before its own; null if none."""
+    a = left.withColumn("_t", F.col(left_time)).withColumn("_k", F.lit(1)).withColumn("_r", F.lit(None).cast(right.schema[right_time].dataType))
+    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.col(right_time).alias("_r"))
+    order = Window.partitionBy(*keys).orderBy("_t", "_k")
+    seen = a.unionByName(b, allowMissingColumns=True).withColumn(f"last_{right_time}", F.last("_r", ignorenulls=True).over(order))
+    return seen.filter("_k = 1").select(*left.columns, f"last_{right_time}")
+
+
 def connections(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = (), cover: bool = True) -> DataFrame:
     """Steps o -> d over one change: each step of first with the best step of second that leaves its end.
 
@@ -40,7 +73,7 @@ def connections(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = (),
     ends = second.select(F.col("o").alias("via"), "d").distinct()
     # Each arrival is looked up once for every stop that can be reached from there.
     looked = asof_next(
-        a.join(ends, "via"), ride2.select(F.col("o").alias("via"), "d", F.col("dep").alias("leave"), "arr", "trip_id"), ["via", "d"], "at", "leave", ["arr", "trip_id"]
+        a.join(ends, "via"), ride2.select(F.col("o").alias("via"), "d", F.col("dep").alias("leave"), "arr", "trip_id"), ["via", "d"], "at", "leave", ["arr", "trip_id"], span=SPAN
     ).filter("next_leave is not null")
     rides = looked.select(*keys, "o", "via", "d", "dep", F.col("next_arr").alias("arr"), "first_trip", F.col("next_trip_id").alias("second_trip"), F.lit(False).alias("is_flex"))
 
@@ -59,7 +92,7 @@ def next_departures(queries: DataFrame, rides: DataFrame) -> DataFrame:
     """queries (query_id, stop, at) with, for each stop reached from there, the first ride at or after that time."""
     ends = rides.select(F.col("o").alias("stop"), "d").distinct()
     right = rides.select(F.col("o").alias("stop"), "d", F.col("dep").alias("leave"), "arr", "trip_id")
-    found = asof_next(queries.join(ends, "stop"), right, ["stop", "d"], "at", "leave", ["arr", "trip_id"]).filter("next_leave is not null")
+    found = asof_next(queries.join(ends, "stop"), right, ["stop", "d"], "at", "leave", ["arr", "trip_id"], span=SPAN).filter("next_leave is not null")
     return found.select("query_id", "stop", "at", "d", F.col("next_leave").alias("dep"), F.col("next_arr").alias("arr"), F.col("next_trip_id").alias("trip_id"))
 
 

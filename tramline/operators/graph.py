@@ -94,7 +94,7 @@ def transfer_edges(steps: DataFrame) -> DataFrame:
     steps: o, d, dep, arr, is_flex, part. A state that is reached on foot may be
     left at any time, so the shortest step counts there.
     """
-    from tramline.operators.asof import asof_next
+    from tramline.operators.asof import asof_last
 
     into = arrivals(steps)
     flexible = into.groupBy("stop", "part").agg(F.max("flex").alias("flex"))
@@ -103,10 +103,11 @@ def transfer_edges(steps: DataFrame) -> DataFrame:
     reach = flexible.join(shortest, "stop")
     any_time = reach.select("stop", "part", "d", "d_part", F.when(F.col("flex"), F.col("w")).otherwise(F.col("walk")).alias("w")).filter("w is not null")
     fixed = into.join(flexible.filter("not flex").select("stop", "part"), ["stop", "part"]).select("stop", "part", "t")
-    ends = out.filter("not is_flex").select("stop", "d", "d_part").distinct()
-    rides = out.filter("not is_flex").select("stop", "d", "d_part", "dep", "arr")
-    waited = asof_next(fixed.join(ends, "stop"), rides, ["stop", "d", "d_part"], "t", "dep", ["arr"]).filter("next_dep is not null")
-    waited = waited.select("stop", "part", "d", "d_part", (F.col("next_arr") - F.col("t")).alias("w"))
+    rides = out.filter("not is_flex").groupBy("stop", "d", "d_part", "dep").agg(F.min("arr").alias("arr"))
+    # Of the arrivals before a departure only the latest can give the least time, so each (state, time of departure) asks once.
+    asked = rides.select("stop", "dep").distinct().join(fixed.select("stop", "part").distinct(), "stop")
+    last = asof_last(asked, fixed, ["stop", "part"], "dep", "t").filter("last_t is not null")
+    waited = last.join(rides, ["stop", "dep"]).select("stop", "part", "d", "d_part", (F.col("arr") - F.col("last_t")).alias("w"))
     every = any_time.unionByName(waited).groupBy("stop", "part", "d", "d_part").agg(F.min("w").alias("w"))
     return every.select(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part", "w")
 

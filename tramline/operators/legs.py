@@ -31,7 +31,7 @@ def walks_in_sequence(legs: DataFrame, key: str = "path_id") -> DataFrame:
     long = F.when(F.col("is_flex"), F.col("arr") - F.col("dep")).otherwise(0)
     seen = legs.withColumn("_sum", F.sum(long).over(by)).withColumn("_len", long)
     ride_arr = F.last(F.when(~F.col("is_flex"), F.struct("arr", "_sum")), ignorenulls=True).over(by)
-    ahead = F.first(F.when(~F.col("is_flex"), F.struct("dep", "_sum")), ignorenulls=True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.last(F.when(~F.col("is_flex"), F.struct("dep", "_sum")), ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("pos")))
     seen = seen.withColumn("_back", ride_arr).withColumn("_ahead", ahead)
     begin = F.when(F.col("_back").isNotNull(), F.col("_back.arr") + F.col("_sum") - F.col("_back._sum") - F.col("_len")).when(F.col("_ahead").isNotNull(), F.col("_ahead.dep") - (F.col("_ahead._sum") - F.col("_sum")) - F.col("_len")).otherwise(F.col("_sum") - F.col("_len"))
     dep = F.when(F.col("is_flex"), begin).otherwise(F.col("dep")).cast("int")

@@ -55,13 +55,13 @@ def minimal_cover(steps: DataFrame, keys: tuple[str, ...] = ("o", "d"), tie: tup
     Of walks the last shortest stays. A ride stays if no later one arrives as early
     and no walk is as short. tie makes the order of equal rides total: the last stays.
     """
-    by = Window.partitionBy(*keys)
-    order = by.orderBy("dep", F.desc("arr"), *tie)
-    walk = F.min(F.when(F.col("is_flex"), F.col("arr") - F.col("dep"))).over(by)
-    ride_arr = F.when(~F.col("is_flex"), F.col("arr"))
-    seen = steps.withColumn("_walk", walk).withColumn("_later", F.min(ride_arr).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    seen = seen.withColumn("_rank", F.row_number().over(by.orderBy(F.desc("is_flex"), F.col("arr") - F.col("dep"), *[F.desc(t) for t in tie])))
-    ride = ~F.col("is_flex") & (F.col("_later").isNull() | (F.col("arr") < F.col("_later"))) & (F.col("_walk").isNull() | (F.col("arr") - F.col("dep") < F.col("_walk")))
+    # Walks come first, the shortest before others, then rides from the last to the first: one sort, and
+    # each row only needs rows before it.
+    long = F.col("arr") - F.col("dep")
+    order = Window.partitionBy(*keys).orderBy(F.desc("is_flex"), F.when(F.col("is_flex"), long), F.desc("dep"), "arr", *[F.desc(t) for t in tie])
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    seen = steps.withColumn("_walk", F.min(F.when(F.col("is_flex"), long)).over(before)).withColumn("_later", F.min(F.when(~F.col("is_flex"), F.col("arr"))).over(before)).withColumn("_rank", F.row_number().over(order))
+    ride = ~F.col("is_flex") & (F.col("_later").isNull() | (F.col("arr") < F.col("_later"))) & (F.col("_walk").isNull() | (long < F.col("_walk")))
     return seen.filter(ride | (F.col("is_flex") & (F.col("_rank") == 1))).drop("_walk", "_later", "_rank")
 
 
