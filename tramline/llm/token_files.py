@@ -7,9 +7,10 @@ header, the documents' ids and lengths, the word offset of every block of 4,096
 ids, and the words. Readers decode all blocks of a file together, or only those
 that a document needs.
 
-White space always separates tokens of the tokenizers this serves, so each
-distinct run of other characters is tokenised once by the tokenizers library and
-its ids are joined by position; the table of a Python worker is bounded.
+Where white space always separates tokens, which the tokenizer's own description
+tells, each distinct run of other characters is tokenised once by the tokenizers
+library and its ids are joined by position; the table of a Python worker is bounded
+by bytes and begun anew when it is full. Other tokenizers encode whole texts.
 
 Defined results: a null or empty text has the end id only; null ids come first;
 rows of equal id are ordered by their text and stay apart; an empty table gives
@@ -18,7 +19,9 @@ no file and an empty table; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -39,11 +42,45 @@ HEADER = struct.Struct("<8sQQQ")
 FILE_IDS = 16 << 20
 #: Ids coded together.
 GROUP = 64 * simple8b.BLOCK
-CHUNKS_KEPT = 1_000_000
+#: Bytes up to which the table of a Python worker grows, and what an entry takes besides its own bytes.
+TABLE_BYTES, ENTRY_BYTES = 160 << 20, 160
+#: Characters whose chunks are looked up together.
+TOGETHER = 1 << 20
+# Fixed value: the word pattern of the tokenizers this serves. No alternative matches white space, and what none matches goes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Letters that are composed and whose lower case depends on no other one, then marks.
+LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def steps_of(spec: dict) -> tuple[list[dict], list[dict]]:
+    """The normalizers and pre-tokenizers of a tokenizer's JSON, in order."""
+    flat = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    return flat(spec["normalizer"], "normalizers"), flat(spec["pre_tokenizer"], "pretokenizers")
+
+
+def apart(spec: dict) -> bool:
+    """Whether runs of characters between ASCII white space can be encoded one by one.
+
+    They can if texts are only composed, lower-cased and have white space replaced by a
+    space, if words are then found by WORDS and everything else goes, and if no added
+    token looks at its neighbours or holds white space.
+    """
+    normalizers, pretokenizers = steps_of(spec)
+    space = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    plain = all(x == space or x in ({"type": "NFC"}, {"type": "Lowercase"}) for x in normalizers)
+    bytes_ = len(pretokenizers) == 2 and pretokenizers[1]["type"] == "ByteLevel" and not pretokenizers[1]["add_prefix_space"] and not pretokenizers[1]["use_regex"]
+    added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) and x["content"].split() == [x["content"]] for x in spec["added_tokens"])
+    return plain and bytes_ and pretokenizers[0] == split and added and spec["post_processor"] is None
 
 
 class ChunkIds(dict):
-    """Run of characters without white space, as bytes -> its ids as little-endian 32-bit bytes."""
+    """Run of characters without white space, as bytes -> its ids as little-endian 32-bit bytes.
+
+    Tokenizers that don't work run by run (see `apart`) encode whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,31 +89,90 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        probe = "it's a\tb \n x"
-        apart = [i for x in probe.split() for i in self._of([x])[0]]
-        if self._of([probe])[0] != apart:
-            raise ValueError("tokens of this tokenizer depend on white space; chunks can't be encoded alone")
-
-    def _of(self, texts: list[str]) -> list[list[int]]:
+        spec = json.loads(self.tokenizer.to_str())
+        self.apart, self.held = apart(spec), 0
+        if self.apart:
+            normalizers, pretokenizers = steps_of(spec)
+            # White space inside a chunk goes with or without the replacement, which is slow.
+            kept = [x for x in normalizers if x["type"] != "Replace"]
+            self.composed = Tokenizer.from_str(json.dumps(spec | {"normalizer": {"type": "Sequence", "normalizers": kept}}))
+            # Printable ASCII is composed already and stands for itself at byte level.
+            self.ascii = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": pretokenizers[0]}))
+            self.lower = any(x["type"] == "Lowercase" for x in normalizers)
+            # Letters and then marks are two words, unless an added token could stand there.
+            self.two_words = not any(LETTERS_MARKS.fullmatch(x["content"]) for x in spec["added_tokens"])
+            self.words, self.words_held = {}, 0
+
+    @staticmethod
+    def _of(tokenizer, texts: list[str]) -> list[list[int]]:
         # The fast form leaves out offsets, which aren't used.
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return [x.ids for x in encode(texts, add_special_tokens=False)]
 
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks that the table doesn't have; those of letters and marks by way of a table of such words."""
+        if self.held > TABLE_BYTES:
+            self.clear()
+            self.held = 0
+        if self.words_held > TABLE_BYTES // 2:
+            self.words.clear()
+            self.words_held = 0
+        pairs, rest, words = [], [], self.words
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "surrogatepass")
+            found = LETTERS_MARKS.fullmatch(text) if self.two_words else None
+            if found:
+                letters, marks = found.groups()
+                pairs.append((chunk, letters.lower() if self.lower else letters, marks))
+            else:
+                rest.append((chunk, text))
+        new = {x for _, letters, marks in pairs for x in (letters, marks)}.difference(words)
+        plain = [x for x in new if x.isascii()]
+        accented = [x for x in new if not x.isascii()]
+        for tokenizer, mine in ((self.ascii, plain), (self.composed, accented)):
+            for word, ids in zip(mine, self._of(tokenizer, mine), strict=True):
+                data = words[word] = np.array(ids, "<u4").tobytes()
+                self.words_held += len(word) + len(data) + ENTRY_BYTES
+        made = [(c, words[letters] + words[marks]) for c, letters, marks in pairs]
+        made += [(c, np.array(ids, "<u4").tobytes()) for (c, _), ids in zip(rest, self._of(self.composed, [x for _, x in rest]), strict=True)]
+        self.update(made)
+        self.held += sum(len(c) + len(data) + ENTRY_BYTES for c, data in made)
+
     def encode_all(self, texts: list[str | None], end_id: int):
         """The ids of each whole text and the end id, as bytes."""
-        end, get = np.array([end_id], "<u4").tobytes(), self.get
-        for text in texts:
-            chunks = (text or "").encode("utf-8", "surrogatepass").split()  # the six ASCII white characters
-            found = list(map(get, chunks))
-            if None in found:
-                if len(self) > CHUNKS_KEPT:
-                    self.clear()
-                new = list({c for c, x in zip(chunks, found, strict=True) if x is None})
-                made = {c: np.asarray(ids, "<u4").tobytes() for c, ids in zip(new, self._of([x.decode("utf-8", "surrogatepass") for x in new]), strict=True)}
-                self.update(made)
-                found = [made[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-            found.append(end)
-            yield b"".join(found)
+        end = np.array([end_id], "<u4").tobytes()
+        if not self.apart:
+            for text in texts:
+                yield np.array(self._of(self.tokenizer, [text or ""])[0], "<u4").tobytes() + end
+            return
+        for at, until in self._runs(texts):
+            get, new, run = self.get, set(), []
+            for text in texts[at:until]:
+                chunks = (text or "").encode("utf-8", "surrogatepass").split()  # the six ASCII white characters
+                found = list(map(get, chunks))
+                try:
+                    run.append((b"".join(found), found, ()))
+                except TypeError:  # chunks that the table doesn't have
+                    missing = [(i, c) for i, (c, x) in enumerate(zip(chunks, found, strict=True)) if x is None]
+                    new.update(c for _, c in missing)
+                    run.append((None, found, missing))
+            self.learn(list(new))
+            for data, found, missing in run:
+                for i, chunk in missing:
+                    found[i] = self[chunk]
+                yield (b"".join(found) if data is None else data) + end
+
+    @staticmethod
+    def _runs(texts: list[str | None]):
+        """Bounds of runs of texts of about TOGETHER characters."""
+        at, chars = 0, 0
+        for i, text in enumerate(texts):
+            chars += len(text or "")
+            if chars >= TOGETHER:
+                yield at, i + 1
+                at, chars = i + 1, 0
+        if at < len(texts):
+            yield at, len(texts)
 
 
 @lru_cache(1)
