@@ -16,6 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """The names, each with underscores added until it equals none of the taken ones in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

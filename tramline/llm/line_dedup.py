@@ -1,22 +1,25 @@
 """Operator 3, line dedup: levelled sorted runs of line hashes, DataFrame functions only.
 
-Documents arrive in batches of ascending ids. Each batch groups its line keys to
-one row each (128-bit hash, first and last document), merge-anti-joins the runs
-of earlier batches and adds the keys not seen before as a new run. A run is a
-Parquet table bucketed and sorted by the hash, so the joins with it neither
-shuffle nor sort the run's side. When a level holds `fanout` runs they are
-compacted into one run of the next level. As ids ascend, a key's owner never
-changes: it is the smallest document of the batch that first held it.
-
-Lines whose key has another owner are dropped. One row per key and task leaves
-the map side, so a line that stands in a third of all documents weighs no more
-than any other; the join that finds its copies is split by the adaptive skew
-join, as one side has a single row per key.
+Each text is split once: the hash of every line's key, with its row and position,
+goes to a table laid out by batch. Batches have ascending ids. Each groups its keys
+to one row each (128-bit hash, first and last document, lines), merge-anti-joins the
+runs of earlier batches and adds the keys not seen before as a new run. A run is a
+Parquet table bucketed and sorted by the hash, so that joins don't shuffle the run's
+side; Spark sorts the files of a bucket again, as it doesn't trust their order. When a
+level holds `fanout` runs they are compacted into one run of the next level. As ids
+ascend, a key's owner never changes: it is the smallest document of the batch that
+first held it.
+
+Lines whose key has another owner are dropped. One row per key and task leaves the
+map side of the grouping. The join that finds a key's lines is split in two: the few
+keys with a great share of a batch's lines are broadcast (fewer than HEAVY by
+arithmetic), so their lines stay where they are; the others are shuffled.
 
 Defined results: a null or empty text is one empty line; keys shorter than
 `min_chars` code points are never dropped; rows sharing a doc_id count as parts
-of one document (copies inside one document stay); a null doc_id is a document
-of its own that comes first; an empty table gives an empty table.
+of one document (copies inside one document stay), and each loses only its own
+lines; a null doc_id is a document of its own that comes first; ids are numbers; an
+empty table gives an empty table; other columns ride along, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import WHITE, read_documents, shared_dir, table
+from tramline.llm.common import WHITE, fresh, read_documents, shared_dir, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+#: Keys of more than a HEAVY-th of a batch's lines, and of LIGHT lines at least, are joined without a shuffle of their lines.
+HEAVY, LIGHT = 2_000, 64
 
 
 def split_lines(text: Column) -> Column:
@@ -37,7 +42,13 @@ def split_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+    """line stripped, with A-Z lower-cased. Where all characters are ASCII, lower() is the same and faster."""
+    bare = F.btrim(line, F.lit(WHITE))
+    return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+
+
+def row_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 class LineRuns:
@@ -79,32 +90,51 @@ class LineRuns:
                 self.levels[at] = []
 
 
+def line_rows(docs: DataFrame, cuts: list, min_chars: int) -> DataFrame:
+    """(batch, id, mark, pos, h1, h2): every line that counts, written once and laid out by batch.
+
+    docs: (id, text). mark is a hash of the text, which tells rows apart that share an id.
+    """
+    spark = docs.sparkSession
+    batch = F.lit(0)
+    for c in cuts:
+        batch = batch + F.when(F.col("id") > c, 1).otherwise(0)
+    marked = docs.select(batch.alias("batch"), "id", row_mark(F.col("text")).alias("mark"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = marked.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
+    # Two seeds of the same hash: the second starts from the hash of a constant.
+    lines = lines.select("batch", "id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    path = shared_dir(spark, "line-rows")
+    lines.write.partitionBy("batch").parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+def lost_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, mark, pos): the lines of a batch whose key another document owns; known: its keys, as LineRuns.add returns them."""
+    shared = F.coalesce(F.col("first") < F.col("last"), F.lit(False)) | (F.col("nameless") & F.col("first").isNotNull())
+    again = known.filter(F.col("seen") | shared).select(*KEY, "seen", "nameless", "first", "n")
+    # Keys with more than one line in HEAVY of the batch: there are fewer than HEAVY of them, whatever the data.
+    limit = max((known.agg(F.sum("n")).first()[0] or 0) // HEAVY, LIGHT)
+    heavy, light = F.broadcast(again.filter(F.col("n") > limit)), again.filter(F.col("n") <= limit)
+    found = lines.join(heavy, KEY).unionByName(lines.join(F.broadcast(again.filter(F.col("n") > limit).select(*KEY)), KEY, "left_anti").join(light.hint("merge"), KEY))
+    other = F.when(F.col("nameless"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))
+    return found.filter(F.col("seen") | other).select("id", "mark", "pos")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): the positions of the lines to drop, for documents that lose any. id is null-safe."""
+    """(id, mark, gone): the positions of the lines to drop, for rows that lose any. id is null-safe and numeric."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cuts = docs.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    cuts = docs.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    every = line_rows(docs, cuts, min_chars)
     runs, gone = LineRuns(spark, buckets, fanout), []
     for i in range(len(cuts) + 1):
-        part = docs
-        if i < len(cuts):
-            part = part.filter((F.col("id") <= cuts[i]) | F.col("id").isNull() if i == 0 else F.col("id") <= cuts[i])
-        if i:
-            part = part.filter(F.col("id") > cuts[i - 1])
-        lines = part.select("id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-        lines = lines.filter(F.length("key") >= min_chars)
-        # Two seeds of the same hash: the second starts from the hash of a constant.
-        lines = lines.select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        lines = every.filter(F.col("batch") == i).drop("batch")
         # The owner is the smallest id, or the document without one; plain numbers keep the aggregation hashed.
-        keys = lines.groupBy(*KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless"))
-        known = runs.add(keys)
-        shared = F.coalesce(F.col("first") < F.col("last"), F.lit(False)) | (F.col("nameless") & F.col("first").isNotNull())
-        again = known.filter(F.col("seen") | shared).select(*KEY, "seen", "nameless", "first")
-        other = F.when(F.col("nameless"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))
-        lost = lines.join(again.hint("merge"), KEY).filter(F.col("seen") | other)
-        gone.append(table(lost.groupBy("id").agg(F.collect_set("pos").alias("gone")), "line-drops"))
+        keys = lines.groupBy(*KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless"), F.count("*").alias("n"))
+        lost = lost_lines(lines, runs.add(keys))
+        gone.append(table(lost.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone")), "line-drops"))
         if i < len(cuts):
             runs.compact()
     found = gone[0]
@@ -115,16 +145,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text left after line dedup, and n_lines and n_dropped (replaced if docs has such columns)."""
-    gone = dropped_lines(docs, min_chars, batches, fanout, id_col, text_col).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
     docs = docs.drop("n_lines", "n_dropped")
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_id"]), "left")
-    lines = split_lines(F.col(f"`{text_col}`"))
+    own_id, own_mark, other_id, other_mark, gone, lines, kept = fresh([*docs.columns, "n_lines", "n_dropped"], "own_id", "own_mark", "other_id", "other_mark", "gone", "lines", "kept")
+    drops = dropped_lines(docs, min_chars, batches, fanout, id_col, text_col).select(F.col("id").alias(other_id), F.col("mark").alias(other_mark), F.col("gone").alias(gone))
+    text = F.col(f"`{text_col}`")
+    marked = docs.withColumn(own_id, F.col(f"`{id_col}`")).withColumn(own_mark, row_mark(text))
+    joined = marked.join(drops.hint("merge"), F.col(own_id).eqNullSafe(F.col(other_id)) & (F.col(own_mark) == F.col(other_mark)), "left")
     # Positions are kept by a hashed set difference, so that long documents stay linear.
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    out = joined.withColumn("_lines", lines).withColumn("_kept", kept)
-    columns = [F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    rest = F.when(F.col(gone).isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    out = joined.withColumn(lines, split_lines(text)).withColumn(kept, rest)
+    columns = [F.col(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
