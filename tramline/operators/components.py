@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tramline.operators.lineage import cut
 
+#: A node with more than a HEAVY-th of the link ends, and more than LIGHT, is a hub; there are fewer than HEAVY of them.
+HEAVY, LIGHT = 2_000, 64
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges; root is the smallest node it reaches.
@@ -21,26 +24,35 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     nodes = edges.select("u").union(edges.select("v")).distinct()
     links = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        links = keep(_small_star(_large_star(links)))
+    before = links.agg(F.count("*").alias("n"), F.lit(None).cast("decimal(38,0)").alias("h")).first()
+    for _ in range(rounds if before["n"] else 0):
+        links = keep(_small_star(_large_star(links, before["n"]), before["n"]))
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before or now["n"] == 0:
+        if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
+        if before["n"]:
+            raise RuntimeError(f"no fixed point after {rounds} rounds")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.withColumnRenamed("u", "node").join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """links joined with least (u, m, n) by u. Hubs with more than one link in HEAVY are broadcast, so that their links stay apart."""
+    limit = max(2 * n // HEAVY, LIGHT)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", "m"))
+    rest = least.filter(F.col("n") <= limit).select("u", "m")
+    return links.join(hubs, "u").unionByName(links.join(hubs.select("u"), "u", "left_anti").join(rest.hint("merge"), "u"))
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    below = links.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(links: DataFrame, n: int) -> DataFrame:
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    below = _with_least(links, least, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
