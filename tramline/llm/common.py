@@ -64,5 +64,29 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def tidy(f):
+    """f for mapInArrow, giving back what memory its task freed: Spark keeps Python workers from stage to stage."""
+
+    def run(it):
+        yield from f(it)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
+def slices(it, rows: int = 1_000):
+    """The batches of it in pieces of a bounded number of rows."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def same_columns(docs: DataFrame, columns) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -1,13 +1,14 @@
 """Operator 8, SimHash near-dedup: a grid over segment popcounts finds candidates, exact checks link them.
 
-A 64-bit fingerprint becomes 16 counts of set bits, one per 4-bit segment. The
+A 64-bit fingerprint becomes 32 counts of set bits, one per 2-bit segment. The
 Manhattan distance of two such vectors never exceeds the Hamming distance of the
 fingerprints, so fingerprints at most 2 bits apart lie at most 2 steps apart on
 the grid, and then both lie within one step of a common cell. Each distinct
-fingerprint is therefore put into its own cell and the cells one step away (33 at
-most); fingerprints that share a cell are candidates. In a cell of up to
-SMALL_CELL fingerprints every pair is verified exactly. A fuller cell forms no
-pairs: two fingerprints differ in 2 bits or fewer if and only if some 64-bit
+fingerprint is therefore put into its own cell and the cells one step away (65 at
+most, about 49); fingerprints that share a cell are candidates. Segments of two bits make
+some 2^48 cells, so that chance rarely fills one even with 10^9 fingerprints. In a cell of up
+to SMALL_CELL fingerprints every pair is verified exactly. A fuller cell, as groups of
+close copies make them, forms no pairs, so that it doesn't grow with their square: two fingerprints differ in 2 bits or fewer if and only if some 64-bit
 value differs from each in 1 bit or fewer. Such a value has at most 65
 fingerprints about it, whatever the data, and they all link to the smallest of
 them. So no group, however large, costs more than a fixed number of rows a
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import read_documents, table
+from tramline.llm.common import fresh, read_documents, slices, table, tidy
 from tramline.llm.substring_dedup import WordHashes, windows
 from tramline.operators.components import connected_components
 
@@ -80,19 +81,21 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x, width) for x in b.column(1).to_pylist()], pa.int64())], ["id", "fp"])
 
-    return plain.mapInArrow(batches, f"id {plain.schema['id'].dataType.simpleString()}, fp long")
+    return plain.mapInArrow(tidy(batches), f"id {plain.schema['id'].dataType.simpleString()}, fp long")
 
 
 def linked(distinct: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that connect all fingerprints (column fp, distinct) at most 2 bits apart."""
-    # The count of each nibble, in its own nibble: four sums of one bit each, 4 at most.
-    cell = distinct.withColumn("x", F.expr(" + ".join(f"(shiftrightunsigned(fp, {i}) & {0x1111111111111111}L)" for i in range(4))))
-    near = """concat(array(x),
-      transform(filter(sequence(0, 15), j -> (shiftrightunsigned(x, 4 * j) & 15) < 4), j -> x + shiftleft(1L, 4 * j)),
-      transform(filter(sequence(0, 15), j -> (shiftrightunsigned(x, 4 * j) & 15) > 0), j -> x - shiftleft(1L, 4 * j)))"""
+    # The count of each pair of bits, in those two bits; steps turn bits, so that nothing is carried over.
+    low, high = f"(fp & {0x5555555555555555}L)", f"(shiftrightunsigned(fp, 1) & {0x5555555555555555}L)"
+    cell = distinct.withColumn("x", F.expr(f"({low} ^ {high}) | shiftleft({low} & {high}, 1)"))
+    count = "(shiftrightunsigned(x, 2 * j) & 3)"
+    near = f"""concat(array(x),
+      transform(filter(sequence(0, 31), j -> {count} < 2), j -> x ^ shiftleft(if({count} = 0, 1L, 3L), 2 * j)),
+      transform(filter(sequence(0, 31), j -> {count} > 0), j -> x ^ shiftleft(if({count} = 1, 1L, 3L), 2 * j)))"""
     cells = cell.select("fp", F.explode(F.expr(near)).alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = table(cells.join(shared.hint("merge"), "cell"), "simhash-cells")
@@ -136,10 +139,13 @@ def view_prints(shingles: np.ndarray) -> np.ndarray:
     """The SimHash of each sample of a shingle set."""
     if not len(shingles):
         return np.zeros(VIEWS, np.int64)
-    turned = shingles[None, :] * _TURNS[:, None]
-    turned ^= turned >> np.uint64(29)
-    n = min(SAMPLE, len(shingles))
-    least = np.partition(turned, n - 1, axis=1)[:, :n] * np.uint64(0x9E3779B97F4A7C15)
+    n, least = min(SAMPLE, len(shingles)), np.zeros((VIEWS, 0), np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        turned = shingles[None, at : at + BLOCK] * _TURNS[:, None]
+        turned ^= turned >> np.uint64(29)
+        least = np.hstack([least, turned])
+        least = np.partition(least, n - 1, axis=1)[:, :n] if least.shape[1] > n else least
+    least = least * np.uint64(0x9E3779B97F4A7C15)
     bits = np.unpackbits(np.ascontiguousarray(least).view(np.uint8).reshape(VIEWS, n, 8), axis=2).sum(axis=1)
     return np.packbits(bits * 2 > n, axis=1).view("<i8").reshape(VIEWS)
 
@@ -178,18 +184,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     def sketch(it):
         known = WordHashes()
-        for b in it:
-            texts = b.column(1).to_pylist()
+        for b in slices(it):
+            texts = b.column(2).to_pylist()
             same = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split())) for x in texts]
             sets = [shingle_set(x, known, width) for x in texts]
             views = [view_prints(x).tolist() for x in sets]
             small = [x.view(np.int64).tolist() if len(x) <= SMALL_SET else [] for x in sets]
             columns = [pa.array(same, pa.binary()), pa.array([fingerprint(x, width) for x in texts], pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "same", "fp", "views", "small", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "mark", "same", "fp", "views", "small", "size"])
 
-    rows = table(plain.mapInArrow(sketch, "id long, same binary, fp long, views array<long>, small array<long>, size long"), "simhash-sketches")
+    plain = plain.withColumn("mark", F.xxhash64("text"))
+    rows = table(plain.select("id", "mark", "text").mapInArrow(tidy(sketch), "id long, mark long, same binary, fp long, views array<long>, small array<long>, size long"), "simhash-sketches")
     # Texts of equal words form a class, which goes on as its smallest document.
-    classes = table(rows.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("views").alias("views"), F.min("small").alias("small"), F.min("size").alias("size")), "simhash-classes")
+    first_row = F.min(F.struct("id", "mark"))
+    classes = table(rows.groupBy("same").agg(first_row["id"].alias("rep"), first_row["mark"].alias("mark"), F.min("fp").alias("fp"), F.min("views").alias("views"), F.min("small").alias("small"), F.min("size").alias("size")), "simhash-classes")
     sampled = classes.select("rep", "size", F.posexplode("views").alias("view", "key"))
     keyed = table(sampled.unionByName(prefixes(classes, similarity)), "simhash-keys").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
     salted = keyed.groupBy("view", "key", "salt").agg(F.min("rep").alias("near"))
@@ -197,14 +205,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     met = keyed.join(least.hint("merge"), ["view", "key"]).join(salted.hint("merge"), ["view", "key", "salt"])
     pairs = met.select("rep", F.explode(F.array("near", "least")).alias("other"))
     first = table(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-first")
-    close = linked(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("rep")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("other")), "b").select("rep", "other")
+    links = table(linked(first.select("fp")), "simhash-links")
+    close = links.join(first.select(F.col("fp").alias("a"), F.col("rep")).hint("merge"), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("other")).hint("merge"), "b").select("rep", "other")
     alike = classes.join(first.withColumnRenamed("rep", "other").hint("merge"), "fp").select("rep", "other")
     pairs = pairs.unionByName(close).unionByName(alike).filter("rep <> other").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
     pairs = table(pairs, "simhash-pairs")
 
     def verify(it):
         known = WordHashes()
-        for b in it:
+        for b in slices(it, 200):
             a, z, x, y = (b.column(i).to_pylist() for i in range(4))
             kept = []
             for i in range(b.num_rows):
@@ -217,10 +226,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     keep = lambda df: table(df, "simhash-links")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = plain.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
-        texts = table(texts, "simhash-texts")
+        # Each class goes by its own text, as rows that share an id may belong to several.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        own_text = classes.select(F.col("rep").alias("id"), "mark").distinct().join(wanted.hint("merge"), "id")
+        texts = table(plain.join(own_text.hint("merge"), ["id", "mark"]).groupBy("id", "mark").agg(F.min("text").alias("text")).select("id", "text"), "simhash-texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
-        return keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+        return keep(both.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long"))
 
     # A document may stand in several rows: its classes are linked through its id.
     own = classes.select("same", "rep").join(rows.select("same", "id").hint("merge"), "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -234,8 +245,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near-duplicates: of each group the document with the smallest id stays."""
-    gone = table(similar_groups(docs, width, similarity, id_col, text_col).filter("id <> group_id").select(F.col("id").alias("_gone")), "simhash-gone")
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    [name] = fresh(docs.columns, "gone")
+    gone = table(similar_groups(docs, width, similarity, id_col, text_col).filter("id <> group_id").select(F.col("id").alias(name)), "simhash-gone")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

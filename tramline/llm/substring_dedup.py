@@ -35,16 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import read_documents, shared_dir, table
+from tramline.llm.common import fresh, read_documents, shared_dir, slices, table, tidy
 
 WINDOW = 13
 ROWS = 2
-#: Bits of the cell number inside a segment: 2 MB a segment and bit map.
-SEGMENT_BITS = 24
-#: Distinct words whose hashes a task keeps at most.
-WORDS_KEPT = 500_000
+#: Bits of the cell number inside a segment: 512 KB a segment and bit map.
+SEGMENT_BITS = 22
+#: Bytes up to which a task's table of word hashes grows, and what an entry takes besides the word.
+WORD_BYTES, ENTRY_BYTES = 24 << 20, 160
 #: Characters hashed together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 NULL_ID = -(1 << 63)
 #: Odd multipliers, one per word of a window, drawn once from a fixed seed.
 _DRAW = np.random.default_rng(7)
@@ -52,11 +52,15 @@ MULTIPLIERS = _DRAW.integers(1, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2
 
 
 class WordHashes(dict):
-    """XXH64 of each distinct word, computed once while the table is not full."""
+    """XXH64 of each distinct word, computed once until the table is full and begins anew."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
+        if self.held >= WORD_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(word) + ENTRY_BYTES
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
@@ -200,8 +204,8 @@ def sketch_windows(docs: DataFrame, bits: int, width: int, at: int = 0, range_bi
         if segment is not None:
             yield _merged(segment, more)
 
-    parts = docs.mapInArrow(count, "segment int, once binary, more binary")
-    merged = parts.repartition(ROWS * per_row, "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, more binary")
+    parts = docs.mapInArrow(tidy(count), "segment int, once binary, more binary")
+    merged = parts.repartition(ROWS * per_row, "segment").sortWithinPartitions("segment").mapInArrow(tidy(merge), "segment int, more binary")
     # Bounded by the sketch: ROWS * 2^bits / 8 bytes in all.
     return [(r["segment"], bytes(r["more"])) for r in merged.collect()]
 
@@ -222,8 +226,8 @@ def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: in
     spark = docs.sparkSession
     found = spark.sparkContext.broadcast(sketch_windows(docs, bits, width, at, range_bits))
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
-    # A bucket holds the windows of a range of hashes, about 2^21 before the filter.
-    bucket_bits = max(bits - 22, 4)
+    # A bucket holds the windows of a range of hashes, about 2^20 before the filter.
+    bucket_bits = max(bits - 21, 4)
 
     def candidates(it):
         more = np.zeros(ROWS * (1 << (bits - 3)), np.uint8)
@@ -254,8 +258,8 @@ def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: in
                 lost = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
                 yield from _replies(ids[lost], marks[lost], starts[lost], parts)
 
-    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(candidates, SENT)
-    judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(judge, REPLY)
+    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(tidy(candidates), SENT)
+    judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(judge), REPLY)
     if not range_bits:
         return judged
     path = shared_dir(spark, "judged-windows")
@@ -284,7 +288,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
             lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), pa.array(starts.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads].astype(np.int64)), lists], ["id", "mark", "starts"])
 
-    return table(replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, mark long, starts array<int>"), "repeated-windows")
+    return table(replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(gather), "id long, mark long, starts array<int>"), "repeated-windows")
 
 
 REPLY = "part int, docs binary"
@@ -371,10 +375,10 @@ def _runs(it, key: str = "bucket"):
         yield now, held
 
 
-def cut(text: str | None, starts: list[int] | None, width: int) -> tuple[str, int, int]:
+def cut(text: str | None, starts, width: int) -> tuple[str, int, int]:
     """(kept words joined by one space, words, words removed) of one text."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not starts:
+    if starts is None or not len(starts):
         return b" ".join(words).decode("utf-8", "surrogatepass"), len(words), 0
     edges = np.zeros(len(words) + 1, np.int64)
     at = np.unique(np.asarray(starts, np.int64))
@@ -388,20 +392,22 @@ def cut(text: str | None, starts: list[int] | None, width: int) -> tuple[str, in
 def removed(docs: DataFrame, width: int = WINDOW, max_bits: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept_text, n_words and n_removed (replaced if docs has such columns)."""
     docs = docs.drop("kept_text", "n_words", "n_removed")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lost = repeated_windows(plain, width, max_bits).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
-    marked = docs.withColumn("_own", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    joined = marked.join(lost.hint("merge"), (F.col("_own") == F.col("_id")) & (F.col("_crc") == F.col("_mark")), "left").select(*[f"`{c}`" for c in docs.columns], "_starts")
+    own, crc, other, mark, starts_of = fresh([*docs.columns, "kept_text", "n_words", "n_removed"], "own", "crc", "other", "mark", "starts")
+    at = docs.columns.index(text_col)
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    lost = repeated_windows(plain, width, max_bits).select(F.col("id").alias(other), F.col("mark").alias(mark), F.col("starts").alias(starts_of))
+    marked = docs.withColumn(own, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))).withColumn(crc, F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    joined = marked.join(lost.hint("merge"), (F.col(own) == F.col(other)) & (F.col(crc) == F.col(mark)), "left").select(*[f"`{c}`" for c in docs.columns], starts_of)
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def apply(it):
-        for b in it:
-            texts, starts = b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        for b in slices(it):
+            texts, starts = b.column(at).to_pylist(), [None if not x.is_valid else x.values.to_numpy() for x in b.column(b.num_columns - 1)]
             done = [cut(x, s, width) for x, s in zip(texts, starts, strict=True)]
             new = [pa.array([x[0] for x in done], pa.string()), *[pa.array([x[i] for x in done], pa.int64()) for i in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "kept_text", "n_words", "n_removed"])
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidy(apply), schema)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
