@@ -88,6 +88,41 @@ def path_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select("o", "d", status.alias("status"), "only_a", "only_b")
 
 
+def first_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(o, d, dep): for pairs whose paths (o, d, dep, arr) differ in two sets, the first departure at which they do."""
+    key = ["o", "d", "dep", "arr"]
+    n = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    return n(a, "na").join(n(b, "nb"), key, "full").filter(~F.col("na").eqNullSafe(F.col("nb"))).groupBy("o", "d").agg(F.min("dep").alias("dep"))
+
+
+def specs_of_source(specs: DataFrame, targets: DataFrame, source: str) -> DataFrame:
+    """Specs (spec_id, target_id) whose target set (target_id, source, ...) comes from a source."""
+    return specs.join(targets.filter(F.col("source") == source), "target_id")
+
+
+def prepared(specs: DataFrame, active: DataFrame, trips: DataFrame) -> DataFrame:
+    """(spec_id, date, trips): how many trips each spec (spec_id, prefix) has on each date: active (date, service_id).
+
+    Trips are counted by service and prefix first, so that their number doesn't grow by specs and dates.
+    """
+    counted = trips.groupBy("service_id", F.substring_index("trip_id", ":", 1).alias("prefix")).agg(F.count("*").alias("n"))
+    found = counted.join(active, "service_id").groupBy("prefix", "date").agg(F.sum("n").alias("trips"))
+    return specs.join(found, "prefix").select("spec_id", "date", "trips")
+
+
+def copied_from(instances: DataFrame, source: DataFrame) -> DataFrame:
+    """instances (spec_id, dup, duration, ...): duplicates take the duration of their spec's solved day: source (spec_id, duration)."""
+    have = source.select("spec_id", F.col("duration").alias("_copied"))
+    return instances.join(have, "spec_id", "left").withColumn("duration", F.when(F.col("dup"), F.col("_copied")).otherwise(F.col("duration"))).select(*instances.columns)
+
+
+def with_cascade(actions: DataFrame, owned: DataFrame, key: str) -> DataFrame:
+    """actions with instances: how many rows of owned (key) go stale because what they belong to changes or goes."""
+    n = owned.groupBy(key).agg(F.count("*").alias("_n"))
+    stale = F.when(F.col("action").isin("updated", "deleted"), F.coalesce("_n", F.lit(0))).otherwise(0).cast("long")
+    return actions.join(n, key, "left").select(*actions.columns, stale.alias("instances"))
+
+
 def span_positions(spans: DataFrame) -> DataFrame:
     """Spans (run_id, start, duration) with left and width as percent of their run's whole length."""
     by = Window.partitionBy("run_id")
@@ -101,14 +136,19 @@ def shifted_spans(spans: DataFrame, parents: DataFrame) -> DataFrame:
     return spans.join(parents, "run_id").withColumn("start", F.col("start") + F.col("parent_start")).drop("parent_start")
 
 
-def flattened_trace(documents: DataFrame, depth: int = 6) -> DataFrame:
-    """(run_id, path, depth, name, start, duration) of nested spans {name, start, duration, children} in a JSON text, depth first."""
+def flattened_trace(documents: DataFrame, depth: int = 64) -> DataFrame:
+    """(run_id, path, depth, name, start, duration) of nested spans {name, start, duration, children} in a JSON text.
+
+    Level by level, until no span has children; more than depth levels raise. path orders them depth first.
+    """
     kind = "struct<name:string,start:double,duration:double,children:string>"
     now = documents.select("run_id", F.lit("").alias("path"), F.from_json("document", kind).alias("s"))
     rows = None
     for level in range(depth):
         here = now.select("run_id", "path", F.lit(level).alias("depth"), "s.name", "s.start", "s.duration")
         rows = here if rows is None else rows.unionByName(here)
+        if now.filter("s.children is not null").isEmpty():
+            return rows
         inner = now.filter("s.children is not null").select("run_id", "path", F.posexplode(F.from_json("s.children", f"array<{kind}>")).alias("i", "s"))
         now = inner.select("run_id", F.concat("path", F.lit("/"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), "s")
-    return rows
+    raise RuntimeError(f"spans are nested deeper than {depth} levels")

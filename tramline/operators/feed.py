@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
-from tramline.operators.lineage import cut
+from tramline.operators.lineage import cut, small
 from tramline.sources.gtfs import WEEKDAYS, GtfsFeed
 
 KEYS = {"stops": ["stop_id"], "trips": ["trip_id"], "stop_times": ["trip_id", "stop_sequence"], "routes": ["route_id"], "directions": ["route_id", "direction_id"]}
@@ -161,8 +161,21 @@ def world(feed: GtfsFeed, date: str, prefixes: list[str] = (), subsequent: int =
 
 def trip_descriptions(day: GtfsFeed) -> DataFrame:
     """(trip_id, description): short name and direction of a trip's route, or the trip's id."""
-    found = day.trips.join(F.broadcast(day.routes.select("route_id", "route_short_name")), "route_id", "left").join(F.broadcast(day.directions), ["route_id", "direction_id"], "left")
-    return found.select("trip_id", C.route_description(F.col("route_short_name"), F.col("direction"), F.col("trip_id")).alias("description"))
+    return trip_routes(day).select("trip_id", C.route_description(F.col("route_short_name"), F.col("direction"), F.col("trip_id")).alias("description"))
+
+
+def trip_routes(feed: GtfsFeed) -> DataFrame:
+    """Each trip with its route and direction; null where the feed hasn't got them."""
+    named = feed.trips.join(small(feed.routes.select("route_id", "route_short_name", "route_long_name")), "route_id", "left")
+    return named.join(small(feed.directions), ["route_id", "direction_id"], "left")
+
+
+def repeated(day: GtfsFeed, days: int) -> GtfsFeed:
+    """A day run on so many days in a row: times later by 24 hours a day, trip ids with their service day."""
+    later = lambda df: df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    name = lambda df: df.withColumn("trip_id", C.with_service_day(F.col("trip_id"), F.col("_k")))
+    times = later(day.stop_times).withColumn("arrival", F.col("arrival") + F.col("_k") * C.DAY).withColumn("departure", F.col("departure") + F.col("_k") * C.DAY)
+    return day.with_(trips=name(later(day.trips)).drop("_k"), stop_times=name(times).drop("_k"))
 
 
 def summary(feed: GtfsFeed) -> DataFrame:

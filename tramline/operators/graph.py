@@ -32,9 +32,9 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataF
         old = best.withColumnRenamed("dist", "old")
         front = cut(reached.join(old, ["src", "stop"], "left").filter("old is null or dist < old").select("src", "stop", "dist"))
         if front.isEmpty():
-            break
+            return best
         best = cut(best.unionByName(front).groupBy("src", "stop").agg(F.min("dist").alias("dist")))
-    return best
+    raise RuntimeError(f"distances still improve after {rounds} rounds")
 
 
 def set_distances(dist: DataFrame, members: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def spanning_tree(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Boruvka's rounds: every component takes its least edge to another one.
     """
     edges = cut(edges)
-    nodes = edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
+    nodes = cut(edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct())
     label, tree = cut(nodes.withColumn("comp", F.col("node"))), None
     for _ in range(rounds):
         a, b = label.select(F.col("node").alias("lo"), F.col("comp").alias("ca")), label.select(F.col("node").alias("hi"), F.col("comp").alias("cb"))
@@ -70,11 +70,11 @@ def spanning_tree(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ends = between.select("lo", "hi", "w", F.explode(F.array("ca", "cb")).alias("comp"))
         picked = cut(ends.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("e.*").distinct())
         if picked.isEmpty():
-            break
+            return edges.limit(0) if tree is None else tree.select("lo", "hi", "w")
         tree = cut(picked if tree is None else tree.unionByName(picked))
         roots = connected_components(tree, "lo", "hi")
         label = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
-    return edges.limit(0) if tree is None else tree.select("lo", "hi", "w")
+    raise RuntimeError(f"components still merge after {rounds} rounds")
 
 
 def tree_leaves(tree: DataFrame) -> DataFrame:
@@ -88,28 +88,43 @@ def arrivals(steps: DataFrame, part: str = "part") -> DataFrame:
     return rows.distinct()
 
 
+def _departures(steps: DataFrame) -> DataFrame:
+    return steps.select(F.col("o").alias("stop"), "d", F.col("part").alias("d_part"), "dep", "arr", "is_flex")
+
+
+def last_arrivals(steps: DataFrame) -> DataFrame:
+    """(stop, part, dep, last_t): for each time at which rides leave a stop, the latest arrival there before, by partition.
+
+    Only of states that aren't reached on foot. Of the arrivals before a departure
+    only the latest can give the least time, so each state asks once a time of departure.
+    """
+    from tramline.operators.asof import asof_last
+
+    into = arrivals(steps)
+    fixed = into.join(into.groupBy("stop", "part").agg(F.max("flex").alias("flex")).filter("not flex").select("stop", "part"), ["stop", "part"]).select("stop", "part", "t")
+    asked = _departures(steps).filter("not is_flex").select("stop", "dep").distinct().join(fixed.select("stop", "part").distinct(), "stop")
+    return asof_last(asked, fixed, ["stop", "part"], "dep", "t").filter("last_t is not null").select("stop", "part", "dep", "last_t")
+
+
+def waiting_edges(steps: DataFrame) -> DataFrame:
+    """(o, o_part, d, d_part, w): least time from an arrival at a state to the next arrival by a ride, waiting included."""
+    rides = _departures(steps).filter("not is_flex").groupBy("stop", "d", "d_part", "dep").agg(F.min("arr").alias("arr"))
+    waited = last_arrivals(steps).join(rides, ["stop", "dep"])
+    return waited.groupBy(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part").agg(F.min(F.col("arr") - F.col("last_t")).alias("w"))
+
+
 def transfer_edges(steps: DataFrame) -> DataFrame:
     """(o, o_part, d, d_part, w): least time from an arrival at a state to the arrival at the next, waiting included.
 
     steps: o, d, dep, arr, is_flex, part. A state that is reached on foot may be
     left at any time, so the shortest step counts there.
     """
-    from tramline.operators.asof import asof_last
-
-    into = arrivals(steps)
-    flexible = into.groupBy("stop", "part").agg(F.max("flex").alias("flex"))
-    out = steps.select(F.col("o").alias("stop"), "d", F.col("part").alias("d_part"), "dep", "arr", "is_flex")
-    shortest = out.groupBy("stop", "d", "d_part").agg(F.min(F.col("arr") - F.col("dep")).alias("w"), F.min(F.when(F.col("is_flex"), F.col("arr") - F.col("dep"))).alias("walk"))
-    reach = flexible.join(shortest, "stop")
-    any_time = reach.select("stop", "part", "d", "d_part", F.when(F.col("flex"), F.col("w")).otherwise(F.col("walk")).alias("w")).filter("w is not null")
-    fixed = into.join(flexible.filter("not flex").select("stop", "part"), ["stop", "part"]).select("stop", "part", "t")
-    rides = out.filter("not is_flex").groupBy("stop", "d", "d_part", "dep").agg(F.min("arr").alias("arr"))
-    # Of the arrivals before a departure only the latest can give the least time, so each (state, time of departure) asks once.
-    asked = rides.select("stop", "dep").distinct().join(fixed.select("stop", "part").distinct(), "stop")
-    last = asof_last(asked, fixed, ["stop", "part"], "dep", "t").filter("last_t is not null")
-    waited = last.join(rides, ["stop", "dep"]).select("stop", "part", "d", "d_part", (F.col("arr") - F.col("last_t")).alias("w"))
-    every = any_time.unionByName(waited).groupBy("stop", "part", "d", "d_part").agg(F.min("w").alias("w"))
-    return every.select(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part", "w")
+    flexible = arrivals(steps).groupBy("stop", "part").agg(F.max("flex").alias("flex"))
+    long = F.col("arr") - F.col("dep")
+    shortest = _departures(steps).groupBy("stop", "d", "d_part").agg(F.min(long).alias("w"), F.min(F.when(F.col("is_flex"), long)).alias("walk"))
+    any_time = flexible.join(shortest, "stop").select(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part", F.when(F.col("flex"), F.col("w")).otherwise(F.col("walk")).alias("w"))
+    every = any_time.filter("w is not null").unionByName(waiting_edges(steps))
+    return every.groupBy("o", "o_part", "d", "d_part").agg(F.min("w").alias("w"))
 
 
 def signatures(edges: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,6 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df for the right side of a join: broadcast if it has at most so many rows, which are counted, else merged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def until_stable(start: DataFrame, step, rounds: int) -> DataFrame:
     """step(all rows so far, rows new in the last round) -> all rows; repeated until no row is new, rounds times at most.
 
@@ -33,5 +40,15 @@ def until_stable(start: DataFrame, step, rounds: int) -> DataFrame:
         new = cut(after.exceptAll(now))
         now = after
         if new.isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"rows still change after {rounds} rounds")
+
+
+def shared_folder(spark, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.getCheckpointDir():
+            cut(spark.range(1))  # sets the folder of a local session, or raises
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
 from tramline.operators.asof import asof_next
-from tramline.operators.lineage import cut
+from tramline.operators.lineage import cut, small
 from tramline.operators.steps import minimal_cover
 
 
@@ -47,9 +47,9 @@ def earliest_arrivals(queries: DataFrame, steps: DataFrame, rounds: int = 1000)
         old = best.withColumnRenamed("at", "old")
         front = cut(reached.join(old, ["query_id", "stop"], "left").filter("old is null or at < old").select("query_id", "stop", "at"))
         if front.isEmpty():
-            break
+            return best
         best = cut(best.unionByName(front).groupBy("query_id", "stop").agg(F.min("at").alias("at")))
-    return best
+    raise RuntimeError(f"arrivals still improve after {rounds} rounds")
 
 
 def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
@@ -63,7 +63,7 @@ def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFr
     leg = F.struct("o", "d", "dep", "arr", "trip_id", "is_flex")
     edges = cut(minimal_cover(steps.filter("o <> d").select("o", "d", "dep", "arr", "trip_id", "is_flex")))
     start = edges if origins is None else edges.join(origins.select(F.col("stop_id").alias("o")).distinct(), "o", "left_semi")
-    stops = None if required is None else required.select(F.col("stop_id").alias("via"), F.lit(True).alias("req")).distinct()
+    stops = None if required is None else small(cut(required.select(F.col("stop_id").alias("via"), F.lit(True).alias("req")).distinct()))
     start = start.withColumn("legs", F.array(leg)).withColumn("thru", F.lit(False)).drop("trip_id")
     now = cut(start)
     new = now
@@ -86,7 +86,7 @@ def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFr
 
         more = caught.unionByName(product(walks, every2)).unionByName(product(rides, walk2)).filter("o <> to")
         if stops is not None:
-            more = more.join(F.broadcast(stops) if stops.limit(10_001).count() <= 10_000 else stops, "via", "left").withColumn("thru", F.col("thru") | F.coalesce("req", F.lit(False)))
+            more = more.join(stops, "via", "left").withColumn("thru", F.col("thru") | F.coalesce("req", F.lit(False)))
         more = more.select("o", F.col("to").alias("d"), "dep", "arr", "is_flex", F.concat("legs", F.array("leg")).alias("legs"), "thru")
         both = now.select(*shape, F.lit(0).alias("old")).unionByName(more.select(*shape, F.lit(1).alias("old")))
         # Equal paths: one through a required stop stays, else the one known longest.
@@ -95,8 +95,8 @@ def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFr
         new = after.filter("old = 1").select(*shape)
         now = after.select(*shape)
         if new.isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"paths still improve after {rounds} rounds")
 
 
 def reduced(steps: DataFrame, required: DataFrame, until: int = 36 * 3600, complete: bool = False, rounds: int = 1000) -> DataFrame:
@@ -142,11 +142,11 @@ def run_times(legs):
     return dep.alias("dep"), arr.alias("arr"), flex.alias("is_flex")
 
 
-def fewer_edges(paths: DataFrame, rounds: int = 20) -> DataFrame:
+def fewer_edges(paths: DataFrame) -> DataFrame:
     """paths split at the best stop again and again, while that has a positive goodness and lowers the number of edges."""
     now = cut(paths.select("o", "d", "dep", "arr", "is_flex", "legs"))
     edges = now.select("o", "d").distinct().count()
-    for _ in range(rounds):
+    while True:  # each round has fewer edges
         best = stop_goodness(now).orderBy(F.desc("goodness"), "stop").first()
         if best is None or best["goodness"] <= 0:
             break

@@ -23,9 +23,26 @@ def config_errors(required: DataFrame, groups: DataFrame, stops: DataFrame) -> D
     """(stop_id, problem): required (stop_id), groups (group_id, stop_id) and the stops that exist."""
     unknown = required.join(stops, "stop_id", "left_anti").select("stop_id", F.lit("unknown stop").alias("problem"))
     twice = required.groupBy("stop_id").count().filter("count > 1").select("stop_id", F.lit("listed twice").alias("problem"))
+    return unknown.unionByName(twice).unionByName(group_errors(required, groups))
+
+
+def group_errors(required: DataFrame, groups: DataFrame) -> DataFrame:
+    """(stop_id, problem): members of groups (group_id, stop_id) that aren't required (stop_id), or stand in several groups."""
     stray = groups.join(required, "stop_id", "left_anti").select("stop_id", F.lit("grouped but not required").alias("problem")).distinct()
     many = groups.groupBy("stop_id").agg(F.countDistinct("group_id").alias("n")).filter("n > 1").select("stop_id", F.lit("in several groups").alias("problem"))
-    return unknown.unionByName(twice).unionByName(stray).unionByName(many)
+    return stray.unionByName(many)
+
+
+def only_groups_of(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """groups of which any member is wanted (stop_id), with all their members."""
+    reps = groups.join(wanted.select("stop_id").distinct(), "stop_id", "left_semi").select("rep").distinct()
+    return groups.join(reps, "rep", "left_semi").select("stop_id", "rep")
+
+
+def groups_missing(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep) of groups no member of which is an end of any edge (o, d)."""
+    ends = edges.select(F.explode(F.array("o", "d")).alias("stop_id")).distinct()
+    return groups.select("rep").distinct().join(groups.join(ends.hint("merge"), "stop_id", "left_semi").select("rep").distinct(), "rep", "left_anti")
 
 
 def deep_representatives(groups: DataFrame) -> DataFrame:

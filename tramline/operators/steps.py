@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
+from tramline.operators.lineage import cut
 
 STEP = ["o", "d", "dep", "arr", "trip_id", "is_flex"]
 
@@ -26,8 +27,8 @@ def positions(stops: DataFrame, latitude: float = C.REFERENCE_LATITUDE) -> DataF
     return stops.select("stop_id", C.metres_x(F.col("stop_lon"), latitude).alias("x"), C.metres_y(F.col("stop_lat")).alias("y"))
 
 
-def near_pairs(points: DataFrame, limit: float) -> DataFrame:
-    """(o, d, metres): pairs of different points at most limit apart, in both directions.
+def near_pairs(points: DataFrame, limit: float, others: DataFrame | None = None) -> DataFrame:
+    """(o, d, metres): pairs of different points at most limit apart, in both directions; d from others, if given.
 
     Points meet through cells of the limit's size: each point is put in its cell,
     the other one in the nine cells about its own.
@@ -35,7 +36,7 @@ def near_pairs(points: DataFrame, limit: float) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / limit).cast("long")
     left = points.select(F.col("stop_id").alias("o"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = points.select(F.col("stop_id").alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
+    right = (points if others is None else others).select(F.col("stop_id").alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
     right = right.select("d", "x2", "y2", (F.floor(F.col("x2") / limit).cast("long") + F.col("i")).alias("cx"), (F.floor(F.col("y2") / limit).cast("long") + F.col("j")).alias("cy"))
     metres = C.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return left.join(right.hint("merge"), ["cx", "cy"]).filter(F.col("o") != F.col("d")).withColumn("metres", metres).filter(F.col("metres") <= limit).select("o", "d", "metres")
@@ -65,6 +66,22 @@ def minimal_cover(steps: DataFrame, keys: tuple[str, ...] = ("o", "d"), tie: tup
     return seen.filter(ride | (F.col("is_flex") & (F.col("_rank") == 1))).drop("_walk", "_later", "_rank")
 
 
+def with_later_arrival(rides: DataFrame, keys: tuple[str, ...] = ("o", "d"), tie: tuple[str, ...] = ("trip_id",)) -> DataFrame:
+    """rides with later: the earliest arrival of those after them in the order of a cover; null for the last."""
+    back = Window.partitionBy(*keys).orderBy(F.desc("dep"), "arr", *[F.desc(t) for t in tie])
+    return rides.withColumn("later", F.min("arr").over(back.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def in_order(steps: DataFrame) -> DataFrame:
+    """steps with place: their order in a pair, walks first, then by departure, the latest arrival before others."""
+    return steps.withColumn("place", F.row_number().over(Window.partitionBy("o", "d").orderBy(F.desc("is_flex"), "dep", F.desc("arr"), "trip_id")))
+
+
+def unrepresentable(steps: DataFrame, width: int = 120, low: int = -32_768, high: int = 32_767) -> DataFrame:
+    """steps whose departure has no bucket of width seconds in 16 bits."""
+    return steps.filter(~F.floor(F.col("dep") / width).between(low, high))
+
+
 def dominated(rides: DataFrame) -> DataFrame:
     """Rides that another one of the same stops replaces, by the definition; quadratic in a pair's rides, for tests."""
     a, b = rides.alias("a"), rides.alias("b")
@@ -80,8 +97,16 @@ def boundary(stops: DataFrame, start: str = "START", end: str = "END") -> DataFr
 
 
 def nearest_stop(stops: DataFrame, limit: float = 2000.0) -> DataFrame:
-    """(stop_id, metres): the distance to the nearest other stop within limit."""
-    return near_pairs(positions(stops), limit).groupBy("o").agg(F.min("metres").alias("metres")).withColumnRenamed("o", "stop_id")
+    """(stop_id, metres): the distance to the nearest other stop. Stops without one within limit look twice as far, until all have one."""
+    points = cut(positions(stops))
+    if points.limit(2).count() < 2:
+        return points.select("stop_id", F.lit(0.0).alias("metres")).limit(0)
+    nearest = lambda left: near_pairs(left, limit, points).groupBy("o").agg(F.min("metres").alias("metres")).withColumnRenamed("o", "stop_id")
+    found = cut(nearest(points))
+    while not (rest := points.join(found, "stop_id", "left_anti")).isEmpty():
+        limit *= 2
+        found = cut(found.unionByName(nearest(rest)))
+    return found
 
 
 def out_of_order(cover: DataFrame) -> DataFrame:

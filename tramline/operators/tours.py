@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
 from tramline.operators.asof import asof_next
-from tramline.operators.lineage import cut
+from tramline.operators.lineage import cut, small
 from tramline.operators.steps import minimal_cover
 
 ROW = ["tour_id", "o", "d", "dep", "arr", "is_flex"]
@@ -95,7 +95,8 @@ def groups_visited(tours: DataFrame, groups: DataFrame) -> DataFrame:
 def unvisited(tours: DataFrame, groups: DataFrame) -> DataFrame:
     """(tour_id, rep): groups that a tour doesn't visit."""
     on = tours.select("tour_id", F.explode("stops").alias("stop_id")).join(groups, "stop_id").select("tour_id", "rep")
-    return tours.select("tour_id").crossJoin(F.broadcast(groups.select("rep").distinct().limit(10_000))).join(on, ["tour_id", "rep"], "left_anti")
+    # What a tour lacks is the rest of all groups, so every pair of tour and group is either in the result or in on.
+    return tours.select("tour_id").crossJoin(small(groups.select("rep").distinct())).join(on, ["tour_id", "rep"], "left_anti")
 
 
 def orders(spark, stops: list[str], start: str | None = None, end: str | None = None) -> DataFrame:

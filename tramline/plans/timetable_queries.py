@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
 from tramline.operators import asof, feed, graph, profiles, steps
-from tramline.operators.lineage import cut
+from tramline.operators.lineage import cut, small
 from tramline.plans import demo
 from tramline.plans.demo import DATE, sql
 
@@ -182,7 +182,7 @@ def _(spark, g):
 @query("b22_partition_labels", "SELECT n_nationkey AS part, coalesce(r.r_name, concat('unnamed(', CAST(n_nationkey AS STRING), ')')) AS label FROM nation LEFT JOIN region r ON r.r_regionkey = n_nationkey")
 def _(spark, g):
     n, r = spark.table("nation"), spark.table("region")
-    return n.join(F.broadcast(r), r["r_regionkey"] == n["n_nationkey"], "left").select(F.col("n_nationkey").alias("part"), C.partition_label(F.col("r_name"), F.col("n_nationkey")).alias("label"))
+    return n.join(small(r), r["r_regionkey"] == n["n_nationkey"], "left").select(F.col("n_nationkey").alias("part"), C.partition_label(F.col("r_name"), F.col("n_nationkey")).alias("label"))
 
 
 @query("b24_id_checks", "SELECT DISTINCT route_id, regexp_full_match(lower(route_id), '[a-z0-9]+(-[a-z0-9]+)*') AS slug, regexp_full_match(concat('2025071', substr(route_id, 2, 1)), '[0-9]{8}') AS dated FROM g_trips")
@@ -334,7 +334,7 @@ def _(spark, g):
 @query("d3_named_stop_times", "SELECT trip_id, stop_sequence, stop_name FROM nst JOIN g_stops USING (stop_id)")
 def _(spark, g):
     day = feed.normalized(day_of(g))
-    return day.stop_times.join(F.broadcast(day.stops.select("stop_id", "stop_name")), "stop_id").select("trip_id", "stop_sequence", "stop_name")
+    return day.stop_times.join(small(day.stops.select("stop_id", "stop_name")), "stop_id").select("trip_id", "stop_sequence", "stop_name")
 
 
 # --- steps
