@@ -123,6 +123,30 @@ def with_cascade(actions: DataFrame, owned: DataFrame, key: str) -> DataFrame:
     return actions.join(n, key, "left").select(*actions.columns, stale.alias("instances"))
 
 
+CATALOGUE = ["sources", "targets", "specs", "instances", "runs"]
+
+
+def save_catalogue(tables: dict[str, DataFrame], folder: str, mode: str = "append") -> None:
+    """Write the five tables of a catalogue; rows are added to what is there unless mode says otherwise."""
+    for name in CATALOGUE:
+        tables[name].write.mode(mode).parquet(f"{folder}/{name}")
+
+
+def load_catalogue(spark, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in CATALOGUE}
+
+
+def append_partial(solutions: DataFrame, folder: str) -> None:
+    """Add partial solutions (run_id, iteration, ...) to a table laid out by iteration."""
+    solutions.write.mode("append").partitionBy("iteration").parquet(folder)
+
+
+def loaded_reductions(spark, a: str, b: str) -> DataFrame:
+    """(o, d, a, b): how many paths two saved reductions (o, d, ...) have for each pair."""
+    both = spark.read.parquet(a).select("o", "d", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(spark.read.parquet(b).select("o", "d", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.groupBy("o", "d").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def span_positions(spans: DataFrame) -> DataFrame:
     """Spans (run_id, start, duration) with left and width as percent of their run's whole length."""
     by = Window.partitionBy("run_id")

@@ -178,6 +178,13 @@ def repeated(day: GtfsFeed, days: int) -> GtfsFeed:
     return day.with_(trips=name(later(day.trips)).drop("_k"), stop_times=name(times).drop("_k"))
 
 
+def day_problems(trips: DataFrame, days: int) -> DataFrame:
+    """(trip_id, problem): trips without a service day in their id, or with one at or after the end of a span of so many days."""
+    day = C.service_day(F.col("trip_id"), strict=False)
+    problem = F.when(day.isNull(), "malformed").when(day >= days, "beyond the span")
+    return trips.select("trip_id", problem.alias("problem")).filter("problem is not null")
+
+
 def summary(feed: GtfsFeed) -> DataFrame:
     """(name, rows) of each table."""
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, t in feed.tables().items()])

@@ -45,6 +45,12 @@ def groups_missing(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return groups.select("rep").distinct().join(groups.join(ends.hint("merge"), "stop_id", "left_semi").select("rep").distinct(), "rep", "left_anti")
 
 
+def subsets(required: DataFrame) -> DataFrame:
+    """(iteration, rep, stop_ids, n): of each iteration's required stops (iteration, stop_id, rep) the groups of more than one, sorted."""
+    rows = required.distinct().groupBy("iteration", "rep").agg(F.array_join(F.array_sort(F.collect_list("stop_id")), ",").alias("stop_ids"), F.count("*").alias("n"))
+    return rows.filter("n > 1")
+
+
 def deep_representatives(groups: DataFrame) -> DataFrame:
     """Rows whose representative has another representative itself, or is missing."""
     own = groups.filter("stop_id = rep").select(F.col("stop_id").alias("rep"))

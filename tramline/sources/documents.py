@@ -69,6 +69,21 @@ def with_rest(documents: DataFrame, known: str) -> DataFrame:
     return documents.select("id", F.from_json("document", known).alias("f"), "document").select("id", "f.*", "document")
 
 
+def named_and_rest(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """rows (id, map) with the named entries as columns and the rest as JSON in `data`, keys sorted."""
+    rest = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(column, lambda k, v: ~k.isin(names)))))
+    return rows.select("id", *[F.col(column)[n].alias(n) for n in names], F.to_json(rest).alias("data"))
+
+
+def pairs_of_map(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a map as a JSON array of {key, value}, whose keys need not be texts."""
+    return rows.withColumn(column, F.to_json(F.map_entries(column)))
+
+
+def map_of_pairs(rows: DataFrame, column: str, kind: str = "array<struct<key:string,value:int>>") -> DataFrame:
+    return rows.withColumn(column, F.map_from_entries(F.from_json(column, kind)))
+
+
 def network_documents(steps: DataFrame) -> DataFrame:
     """(stop, document): the steps that leave each stop, as a JSON array in order."""
     rows = F.array_sort(F.collect_list(F.struct("d", "dep", "arr", "trip_id", "is_flex")))
