@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tramline.operators.lineage import cut
 
 #: A node with more than a HEAVY-th of the link ends, and more than LIGHT, is a hub; there are fewer than HEAVY of them.
-HEAVY, LIGHT = 2_000, 64
+HEAVY, LIGHT, SALTS = 2_000, 64, 1_024
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None, rounds: int = 60) -> DataFrame:
@@ -39,11 +39,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep=None
 
 
 def _with_least(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """links joined with least (u, m, n) by u. Hubs with more than one link in HEAVY are broadcast, so that their links stay apart."""
+    """links joined with least (u, m, n) by u.
+
+    Hubs with more than one link in HEAVY, if there are any, are broadcast; their
+    links are dealt out by a salt in the join of the rest, so that they stay apart.
+    """
     limit = max(2 * n // HEAVY, LIGHT)
-    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", "m"))
-    rest = least.filter(F.col("n") <= limit).select("u", "m")
-    return links.join(hubs, "u").unionByName(links.join(hubs.select("u"), "u", "left_anti").join(rest.hint("merge"), "u"))
+    if least.filter(F.col("n") > limit).isEmpty():
+        return links.join(least.select("u", "m").hint("merge"), "u")
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", F.col("m").alias("hub_m")))
+    rest = least.filter(F.col("n") <= limit).select("u", F.lit(-1).alias("salt"), "m").hint("merge")
+    salted = links.join(hubs, "u", "left").withColumn("salt", F.when(F.col("hub_m").isNull(), -1).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")))
+    return salted.join(rest, ["u", "salt"], "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(links: DataFrame, n: int) -> DataFrame:
