@@ -1,13 +1,15 @@
 """Operator 1, toxicity: a lexicon trie meets Levenshtein automata, and context windows weigh each hit.
 
 The lexicon is learned: terms whose document frequency among rows labelled 1
-exceeds that among rows labelled 0 by `MIN_ODDS` (log odds), at most `MAX_TERMS`
-of them, from at most `SAMPLE` labelled rows with the smallest hash of their id.
+exceeds that among rows labelled 0 by `MIN_ODDS` (log odds) and that `MIN_ROWS` of
+the former hold, all of them, from at most `SAMPLE` labelled rows with the smallest
+hash of their id. That sample bounds the lexicon; one of more than `LEXICON_MOST`
+terms is an error, as it would not fit a broadcast.
 It is a trie. For each distinct word of a task a Levenshtein automaton (bit masks
 of the places reached with 0, 1, ... errors) walks down the trie, so misspelled
 terms are found too: one error from 4 letters on, two from 9. Misspelled forms
 that clean labelled rows use are dropped. Every hit is then weighed by its
-context: inside quotation marks or beside a word of reporting it counts less,
+context: inside quotation marks, however far apart in a paragraph, or beside a word of reporting it counts less,
 beside another hit or an address in the second person more. A logistic model over
 the document's sums gives the score. No label, language, source or id enters it.
 
@@ -27,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import read_documents
+from tramline.llm.common import read_documents, slices, table, tidy
 from tramline.llm.quality_classifier import held_out
 
 SAMPLE = 20_000
-MAX_TERMS = 3000
+LEXICON_MOST = 200_000
 MIN_ROWS = 4
 MIN_ODDS = 2.5
-MAX_CLEAN_FORMS = 5000
 WORDS_KEPT = 600_000
 WINDOW = 8
 CUT = 0.7
@@ -42,7 +43,24 @@ CUT = 0.7
 REPORTING = frozenset("said says wrote writes quoted quote called calls reported word term sagte schrieb nannte zitierte wort dit écrit appelé cité mot dijo escribió llamó citó palabra".split())
 ADDRESS = frozenset("you your you're du dein dich ihr euch tu ton vous votre toi te ti usted tus".split())
 _TOKEN = re.compile(r"[^\W_]+")
-_QUOTED = re.compile("[\"“„«][^\"“”„«»\n]{1,400}[\"”“»]")
+#: Marks that open a quotation, with those that close it; a blank line ends what is still open.
+QUOTES = {'"': '"', "“": '”"', "„": '“”"', "«": "»", "‘": "’"}
+_MARK = re.compile('["“”„«»‘’]|\n[ \t\r]*\n')
+
+
+def quoted_spans(text: str) -> np.ndarray:
+    """(begin, end) of the quotations of a text, in order and apart; marks that nothing closes in their paragraph quote nothing."""
+    spans, at, closers = [], -1, ""
+    for m in _MARK.finditer(text):
+        mark = m.group()
+        if mark[0] == "\n":
+            at = -1
+        elif at >= 0 and mark in closers:
+            spans.append((at, m.start()))
+            at = -1
+        elif at < 0 and mark in QUOTES:
+            at, closers = m.start(), QUOTES[mark]
+    return np.array(spans, np.int64).reshape(-1, 2)
 
 
 def errors_allowed(length: int) -> int:
@@ -148,11 +166,13 @@ class Matcher(dict):
         if not len(at):
             return [0.0] * 5
         quoted = np.zeros(len(words), bool)
-        if any(q in text for q in "\"“„«"):
+        if any(q in text for q in QUOTES):
             low = text.lower()
-            spans = [m.span() for m in _QUOTED.finditer(low)]
-            for i, m in enumerate(_TOKEN.finditer(low)):
-                quoted[i] = any(a <= m.start() < z for a, z in spans)
+            spans = quoted_spans(low)
+            if len(spans):
+                starts = np.fromiter((m.start() for m in _TOKEN.finditer(low)), np.int64, len(words))
+                last = np.searchsorted(spans[:, 0], starts, side="right") - 1
+                quoted = (last >= 0) & (starts < spans[np.maximum(last, 0), 1])
         sums, largest = [0.0, 0.0, 0.0], 0.0
         for n, i in enumerate(at.tolist()):
             _, _, errors, weight = self.entries[found[i]]
@@ -194,12 +214,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def bounded(entries: DataFrame) -> DataFrame:
+    """entries of a lexicon, written and counted; too many raise."""
+    kept = table(entries, "toxicity-lexicon")
+    if kept.count() > LEXICON_MOST:
+        raise ValueError(f"the labelled rows give a lexicon of more than {LEXICON_MOST} entries")
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, part: int = 1, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out. docs: (doc_id, text)."""
-    labelled = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    labelled = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     chosen = labelled.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(sample).select("doc_id", "label")
     # At most `sample` ids: small by the bound, so they may be broadcast.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    # Of rows that share an id one counts, so that their number is bounded as well.
+    texts = table(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, base=float(next(iter(sizes), 0.5)))
@@ -217,8 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3
 
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1))
     words = by_class(lambda text: set(_TOKEN.findall((text or "").lower()))).withColumn("odds", odds)
-    top = words.filter((F.col("bad") >= MIN_ROWS) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("bad"), "word").limit(MAX_TERMS).collect()
-    terms = {r["word"]: float(r["odds"]) for r in top}
+    terms = {r["word"]: float(r["odds"]) for r in bounded(words.filter((F.col("bad") >= MIN_ROWS) & (F.col("odds") >= MIN_ODDS))).orderBy(F.desc("bad"), "word").collect()}
 
     spark = docs.sparkSession
     draft = spark.sparkContext.broadcast(Model(terms))
@@ -229,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3
         return {matcher.entries[i][0] for i in set(found[found > 0].tolist()) if matcher.entries[i][2]}
 
     forms = by_class(misspelled).withColumn("odds", odds)
-    clean = frozenset(r["word"] for r in forms.filter((F.col("good") > 0) & (F.col("odds") < MIN_ODDS)).orderBy(F.desc("good"), "word").limit(MAX_CLEAN_FORMS).collect())
+    clean = frozenset(r["word"] for r in bounded(forms.filter((F.col("good") > 0) & (F.col("odds") < MIN_ODDS))).collect())
     model = Model(terms, clean)
     second = spark.sparkContext.broadcast(model)
 
@@ -250,11 +278,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(it):
         matcher = kept.value.matcher()
-        for b in it:
+        for b in slices(it):
             found = np.array([matcher.features(x) for x in b.column(1).to_pylist()]).reshape(b.num_rows, 5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept.value.scores(found))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
