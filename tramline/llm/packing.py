@@ -1,9 +1,11 @@
 """Operator 2, packing: optimal length buckets, then batches within a token budget.
 
-A histogram of the lengths of all documents is gathered (bins of one token up to
-`exact` tokens, then 64 bins per doubling, so its size is bounded whatever the
-data). Dynamic programming over it chooses at most `buckets` upper bounds that
-minimise the padding, that is the sum of (bound - length). Within a bucket every
+A histogram of the lengths of all documents is gathered, exact at any length. Its
+size grows slowly: k distinct lengths need k * k / 2 tokens, so 100 TB of text have
+some six million at most, three numbers each, as arrays on the driver. Dynamic
+programming over it chooses at most `buckets` upper bounds that minimise the padding,
+that is the sum of (bound - length). The best place of the last bucket never moves
+back as lengths grow, so each round divides and conquers: d log d steps. Within a bucket every
 document is padded to the bound, and a batch takes budget // bound documents (one
 at least) in ascending id order.
 
@@ -28,8 +30,6 @@ from tramline.llm.common import WHITE, join_small, read_documents, table
 
 BUCKETS = 8
 BUDGET = 16_384
-EXACT = 4096
-PER_DOUBLING = 64
 
 
 def word_count(text: Column) -> Column:
@@ -38,32 +38,32 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+", -1))).cast("long")
 
 
-def length_bin(n: Column, exact: int = EXACT) -> Column:
-    """The number itself up to exact, beyond it a bin whose width is 1/64 of the power of two below."""
-    power = F.length(F.bin(n)) - 1  # exact, unlike a quotient of logarithms
-    width = F.greatest(F.pow(F.lit(2.0), power).cast("long") / PER_DOUBLING, F.lit(1.0))
-    return F.when(n <= exact, n).otherwise((F.floor(n / width) * width).cast("long"))
-
-
 def best_bounds(sizes: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of the buckets with the least padding.
 
-    sizes: largest length of each bin, ascending; counts and totals: documents
-    and tokens of each bin. Cost of bins (j, i] as one bucket: sizes[i] * documents - tokens.
+    sizes: the distinct lengths, ascending; counts and totals: documents and tokens
+    of each. Cost of lengths (j, i] as one bucket: sizes[i] * documents - tokens.
     """
     d = len(sizes)
     if not d:
         return []
     docs, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(totals)])
     buckets = min(buckets, d)
-    # best[i]: least cost of the first i bins with at most k buckets; from_[k][i]: where the last one begins.
+    # best[i]: least cost of the first i lengths with at most k buckets; from_[k][i]: where the last one begins.
     best, came = sizes[np.arange(d)] * docs[1:] - tokens[1:], [np.zeros(d, np.int64)]
     for _ in range(1, buckets):
         before, now, at = np.concatenate([[0], best]), best.copy(), np.zeros(d, np.int64)
-        for i in range(d):
-            cost = before[: i + 1] + sizes[i] * (docs[i + 1] - docs[: i + 1]) - (tokens[i + 1] - tokens[: i + 1])
-            at[i] = j = int(np.argmin(cost))
-            now[i] = cost[j]
+        todo = [(0, d - 1, 0, d - 1)]  # lengths, and the places where their last bucket may begin
+        while todo:
+            first, last, low, high = todo.pop()
+            if first > last:
+                continue
+            i = (first + last) // 2
+            j = slice(low, min(i, high) + 1)
+            cost = before[j] + sizes[i] * (docs[i + 1] - docs[j]) - (tokens[i + 1] - tokens[j])
+            at[i] = place = low + int(np.argmin(cost))
+            now[i] = cost[place - low]
+            todo += [(first, i - 1, low, place), (i + 1, last, place, high)]
         best = now
         came.append(at)
     bounds, i = [], d
@@ -74,15 +74,14 @@ def best_bounds(sizes: np.ndarray, counts: np.ndarray, totals: np.ndarray, bucke
     return bounds[::-1]
 
 
-def bounds_of(lengths: DataFrame, buckets: int = BUCKETS, exact: int = EXACT) -> list[int]:
-    """The bucket bounds for a table with column n. The histogram that reaches the driver has a bounded number of bins."""
-    rows = lengths.groupBy(length_bin(F.col("n"), exact).alias("bin")).agg(F.max("n").alias("top"), F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect()
-    rows.sort(key=lambda r: r["bin"])
-    column = lambda k: np.array([r[k] for r in rows], np.int64)
-    return best_bounds(column("top"), column("docs"), column("tokens"), buckets)
+def bounds_of(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The bucket bounds for a table with column n. A row for each distinct length reaches the driver, as Arrow columns."""
+    found = lengths.groupBy("n").agg(F.count("*").alias("docs")).toArrow().sort_by("n")
+    sizes, docs = (found.column(c).to_numpy().astype(np.int64) for c in ("n", "docs"))
+    return best_bounds(sizes, docs, sizes * docs, buckets)
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact: int = EXACT, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
     """(id, n_tokens, bucket, bucket_length, batch, slot) for every row.
 
     length: the tokens of a row, the number of words if missing. batch counts from
@@ -90,7 +89,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact: i
     """
     spark = docs.sparkSession
     plain = table(docs.select(F.col(id_col).alias("id"), (word_count(F.col(text_col)) if length is None else length).alias("n"), F.xxhash64(text_col).alias("tie")), "pack-lengths")
-    bounds = bounds_of(plain, buckets, exact)
+    bounds = bounds_of(plain, buckets)
     if not bounds:
         return plain.select("id", F.col("n").alias("n_tokens"), *[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_length", "long"), ("batch", "long"), ("slot", "long"))])
     tops = F.array(*[F.lit(b).cast("long") for b in bounds])
@@ -114,8 +113,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(buckets: int = BUCKETS, budget: int = BUDGET) -> str:
-    """The same programme with one common table per bucket; for lengths up to EXACT, beyond which bins are wider."""
-    width = f"(CAST(pow(2, floor(log2(n))) AS BIGINT) // {PER_DOUBLING})"
+    """The same programme with one common table per bucket, over all pairs of lengths."""
     steps = ["c1 AS (SELECT i, top * docs - tokens AS cost, 0 AS j FROM p WHERE i > 0)"]
     for k in range(2, buckets + 1):
         steps.append(
@@ -128,8 +126,8 @@ def _sql(buckets: int = BUCKETS, budget: int = BUDGET) -> str:
     ends = " UNION ".join(f"SELECT p.top FROM e{k} e JOIN p ON p.i = e.i WHERE p.i > 0" for k in range(1, buckets + 1))
     return rf"""
 WITH n AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
-h AS (SELECT CASE WHEN n <= {EXACT} THEN n ELSE n // {width} * {width} END AS bin, max(n) AS top, count(*) AS docs, sum(n) AS tokens FROM n GROUP BY 1),
-p AS (SELECT row_number() OVER (ORDER BY bin) AS i, top, CAST(sum(docs) OVER (ORDER BY bin) AS BIGINT) AS docs, CAST(sum(tokens) OVER (ORDER BY bin) AS BIGINT) AS tokens FROM h UNION ALL SELECT 0, 0, 0, 0),
+h AS (SELECT n AS top, count(*) AS docs, sum(n) AS tokens FROM n GROUP BY n),
+p AS (SELECT row_number() OVER (ORDER BY top) AS i, top, CAST(sum(docs) OVER (ORDER BY top) AS BIGINT) AS docs, CAST(sum(tokens) OVER (ORDER BY top) AS BIGINT) AS tokens FROM h UNION ALL SELECT 0, 0, 0, 0),
 {", ".join(steps)}, {", ".join(walk)},
 tops AS ({ends}),
 t AS (SELECT top, row_number() OVER (ORDER BY top) - 1 AS bucket FROM tops),
