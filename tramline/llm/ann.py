@@ -17,12 +17,14 @@ longest on; one whose bound |q| M can't beat the k-th score found is left out.
 
 The index is dealt over shards by a hash of the id, so each shard holds about
 `shard_rows` vectors whatever the table's size; the stated query set meets every
-shard in blocks. Each (shard, block) gives its k best per query, and these are
-ranked once more over all shards.
+shard in blocks of `query_rows`. A vector is sent once for each block and a query once
+for each shard, which is what a query set that grows with the table costs. Each (shard,
+block) gives its k best per query, and these are ranked once more over all shards.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, as queries or as
-candidates; rows that repeat a vec_id count one by one, but a query never meets
-rows of its own id; ties go to the smaller vec_id; with fewer than k candidates
+candidates; rows that repeat a vec_id count one by one, as candidates and as queries
+(rows that also have the same vector are one query), but a query never meets rows of its
+own id; ties go to the smaller vec_id; with fewer than k candidates
 all are returned; an empty table gives an empty table.
 """
 
@@ -38,7 +40,8 @@ from tramline.llm.common import table
 K = 20
 PROJECTIONS = 96
 SHARD_ROWS = 16_384
-QUERY_ROWS = 1_024
+#: Queries that meet a shard in one group, and those whose windows are held together there.
+QUERY_ROWS, HELD = 4_096, 1_024
 #: Share of the arrays on which a vector must collide.
 THRESHOLD = 0.6
 #: Base width of a window, in lengths of the band, and growth of the radius.
@@ -142,7 +145,8 @@ class Shard:
             if need == high - low:
                 tried = (np.arange(need) for _ in asked)
             else:
-                tried = Band(self.vectors[low:high] / longest, self.lines).candidates(at[asked], need, threshold)
+                band = Band(self.vectors[low:high] / longest, self.lines)
+                tried = (hits for i in range(0, len(asked), HELD) for hits in band.candidates(at[asked[i : i + HELD]], need, threshold))
             for q, hits in zip(asked, tried, strict=True):
                 hits = low + hits
                 hits = hits[self.ids[hits] != query_ids[q]]
@@ -158,12 +162,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int
     vectors = table(vectors, "ann-vectors")
     facts = vectors.agg(F.count("*").alias("n"), F.mode(F.size("v")).alias("size")).first()
     spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
+    out = "query_id long, mark long, vec_id long, score double"
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = facts["size"]
     vectors = vectors.filter(F.size("v") == size)
-    queries = queries.filter(F.size("v") == size)
+    # mark tells queries apart that share an id.
+    queries = table(queries.filter(F.size("v") == size).withColumn("mark", F.xxhash64("v")).dropDuplicates(["id", "mark"]), "ann-queries")
     shards, blocks = -(-facts["n"] // shard_rows), -(-queries.count() // query_rows)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -180,13 +185,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, projections: int
         if len(rows) and len(asked):
             shard = Shard(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), lines)
             ids = asked["id"].to_numpy()
-            for q, (hits, scores) in zip(ids.tolist(), shard.search(ids, np.stack(asked["v"].to_numpy()), k), strict=True):
-                found.append(pd.DataFrame({"query_id": q, "vec_id": shard.ids[hits], "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            for q, mark, (hits, scores) in zip(ids.tolist(), asked["mark"].tolist(), shard.search(ids, np.stack(asked["v"].to_numpy()), k), strict=True):
+                found.append(pd.DataFrame({"query_id": q, "mark": mark, "vec_id": shard.ids[hits], "score": scores}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "mark": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     keys = ["shard", "block"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
