@@ -46,6 +46,21 @@ def _chunks(text: str | None) -> list[str]:
     return chunks
 
 
+def refuse(serialized: bytes) -> None:
+    """Raise for models that normalise texts or have user-defined pieces, as their description tells."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # without protobuf only the probe of ChunkTable tells
+        return
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(serialized)
+    if any(p.type == p.USER_DEFINED for p in model.pieces):
+        raise ValueError("the model has user-defined pieces, which may cross a whitespace marker")
+    rules = model.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix:
+        raise ValueError("the model normalises texts; distinct chunks can't be segmented alone")
+
+
 class ChunkTable(dict):
     """chunk without its first marker -> its ids as little-endian 32-bit bytes."""
 
@@ -53,6 +68,7 @@ class ChunkTable(dict):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        refuse(self.model.serialized_model_proto())
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece crosses a whitespace marker; distinct chunks can't be segmented alone")
