@@ -12,8 +12,9 @@ to the power `sharpness` as weight. No label, language, source or id enters a sc
 
 Defined results: a null or empty text, or one without terms, gets the share of
 label 1 among the labelled rows; without labelled rows every score is 0.5; a null
-id is held in; ties among neighbours go to the earlier labelled row; repeated
-rows are scored one by one; an empty table gives an empty table.
+id is held in; ties among neighbours (cosines equal to nine decimals) go to the labelled
+row with the smaller hash of its id; of labelled rows that share an id the one with the
+least text votes; repeated rows are scored one by one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import WHITE, read_documents
+from tramline.llm.common import WHITE, read_documents, slices, tidy
 
 TERMS = 2048
 SHAPES = 16
@@ -62,7 +63,7 @@ def term_counts(text: str | None) -> np.ndarray:
 
 def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     rows = np.log1p(counts) * idf
-    return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -91,16 +92,16 @@ class Voters:
     """The labelled vectors in latent space."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, idf: np.ndarray):
-        self.idf, self.labels = idf, labels.astype(np.float32)
+        self.idf, self.labels = idf, labels.astype(np.float64)
         rows = _weights(counts, idf)
         self.centre = rows.mean(axis=0)
         rows = rows - self.centre
         rng = np.random.default_rng(10)
-        basis = rows.T @ rng.standard_normal((len(rows), min(DIMS + 16, len(rows)))).astype(np.float32)
+        basis = rows.T @ rng.standard_normal((len(rows), min(DIMS + 16, len(rows))))
         for _ in range(4):
             basis = np.linalg.qr(rows.T @ (rows @ np.linalg.qr(basis)[0]))[0]
         _, _, v = np.linalg.svd(rows @ basis, full_matrices=False)
-        self.basis = (basis @ v.T[:, :DIMS]).astype(np.float32)
+        self.basis = basis @ v.T[:, :DIMS]
         self.vectors = self._unit(rows @ self.basis)
         self.base = float(self.labels.mean())
 
@@ -110,9 +111,14 @@ class Voters:
 
     def scores(self, counts: np.ndarray, k: int = K, sharpness: float = SHARPNESS) -> np.ndarray:
         cosines = self._unit((_weights(counts, self.idf) - self.centre) @ self.basis) @ self.vectors.T
-        k = min(k, cosines.shape[1])
+        # Rounded, so that equal vectors tie and a row's neighbours don't depend on those it is computed with.
+        cosines, k = np.round(cosines, 9), min(k, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** sharpness
+        least = np.take_along_axis(cosines, near, axis=1).min(axis=1)
+        for row in np.flatnonzero((cosines >= least[:, None]).sum(axis=1) > k):  # ties across the k-th place
+            near[row] = np.argsort(-cosines[row], kind="stable")[:k]
+        near.sort(axis=1)
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** sharpness
         total = weight.sum(axis=1)
         votes = np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), self.base)
         return np.where(counts.any(axis=1), np.clip(votes, 0, 1), self.base)
@@ -122,17 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     """Voters from a bounded sample of the labelled rows that are not held out. docs: (doc_id, text)."""
     frequency, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float64) + 0.1
-    labelled = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    labelled = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     chosen = labelled.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(sample)
     # At most `sample` ids: small by the bound, so they may be broadcast.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    # Of rows that share an id one counts, so that their number is bounded as well.
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "draw", "label").agg(F.min("text").alias("text")).select("draw", "label", "text")
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             counts = [term_counts(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], ["draw", "label", "counts"])
 
-    rows = sorted(texts.mapInArrow(batches, "doc_id long, label int, counts binary").collect(), key=lambda r: (r["doc_id"], bytes(r["counts"])))
+    rows = sorted(texts.mapInArrow(tidy(batches), "draw long, label int, counts binary").collect(), key=lambda r: (r["draw"], bytes(r["counts"])))
     if not rows:
         return None
     return Voters(np.stack([np.frombuffer(r["counts"], "<u4") for r in rows]), np.array([r["label"] for r in rows]), idf)
@@ -143,14 +150,14 @@ def score(docs: DataFrame, voters: Voters | None) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(voters)
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             texts, found = b.column(1).to_pylist(), []
             for at in range(0, len(texts), BLOCK):
                 part = texts[at : at + BLOCK]
                 found.append(np.full(len(part), 0.5) if kept.value is None else kept.value.scores(np.stack([term_counts(x) for x in part])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
