@@ -8,8 +8,8 @@ sketch never underestimates, so a window estimated to occur once does so, and no
 repeat is lost. Pass 2 reads the documents again and sends on only the windows
 estimated repeated, each distinct window once a chunk of texts: inside a chunk the
 smallest document is already known, so a passage that many documents share weighs
-little more than another. They are grouped exactly, by a 96-bit hash of the words,
-in buckets of a range of hashes each, and every document but the smallest loses
+little more than another. They are grouped by a 96-bit hash of the words (of 10^13 windows
+two different ones agree with a chance of about one in a thousand), in buckets of a range of hashes each, and every document but the smallest loses
 the words covered. Windows travel packed, many to a row, which halves the shuffle.
 
 The sketch follows the input (1.5 cells a window at least) up to 2^`max_bits` cells
