@@ -236,10 +236,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     # A document may stand in several rows: its classes are linked through its id.
     own = classes.select("same", "rep").join(rows.select("same", "id").hint("merge"), "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     edges = verified(pairs).unionByName(own.filter("a <> b"))
-    roots = connected_components(edges, keep=keep)
+    roots = keep(connected_components(edges, keep=keep))
     left = table(unlinked(keyed, roots, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "simhash-left")
     if not left.isEmpty():
-        roots = connected_components(keep(edges.unionByName(verified(left))), keep=keep)
+        # Only the components that the new links join are looked at again.
+        joins = verified(left).join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")).hint("merge"), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge"), "b", "left")
+        joined = connected_components(keep(joins.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), keep=keep)
+        more = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
+        known = roots.unionByName(joined.join(roots.select("node").hint("merge"), "node", "left_anti"))
+        roots = keep(known.join(more.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")))
     return rows.select("id").distinct().join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
 
 
