@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression of Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the Arrow batches that tasks exchange with Python while a table is written.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 #: Rows up to which a table that was written out and counted may be broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -44,10 +46,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: one evaluation, no lineage."""
+    """Write df as Parquet to the shared folder and read it back: one evaluation, no lineage.
+
+    Meanwhile Arrow batches are cut by their bytes, so that long texts don't make large ones.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
+    path, before = shared_dir(spark, label), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
