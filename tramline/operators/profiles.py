@@ -111,6 +111,18 @@ def reduced(steps: DataFrame, required: DataFrame, until: int = 36 * 3600, compl
     return paths.filter(F.col("is_flex") | F.col("dep").between(0, until - 1)).select("o", "d", "dep", "arr", "is_flex", "legs", "thru")
 
 
+def built_network(steps: DataFrame, required: DataFrame) -> DataFrame:
+    """(o_id, d_id, dep, arr, is_flex): the reduced network between required stops, with a start and an end, its stops numbered."""
+    from tramline.operators.feed import dense_ids
+    from tramline.operators.steps import boundary
+
+    columns = ["o", "d", "dep", "arr", "is_flex"]
+    edges = cut(reduced(steps, required).select(*columns).unionByName(boundary(required).select(*columns)))
+    ids = cut(dense_ids(edges.select(F.explode(F.array("o", "d")).alias("stop")), "stop"))
+    name = lambda k: small(ids.select(F.col("stop").alias(k), F.col("id").alias(f"{k}_id")))
+    return edges.join(name("o"), "o").join(name("d"), "d").select("o_id", "d_id", "dep", "arr", "is_flex")
+
+
 def stop_goodness(paths: DataFrame) -> DataFrame:
     """(stop, goodness): pairs of ends whose paths pass the stop, less the distinct origins and destinations of those."""
     on = paths.select("o", "d", F.explode(F.transform("legs", lambda x: x["d"])).alias("stop")).unionByName(paths.select("o", "d", F.col("o").alias("stop"))).distinct()

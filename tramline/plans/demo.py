@@ -65,7 +65,7 @@ ORACLE = VIEWS | {
 
 
 def sql(text: str, *more: tuple[str, str]) -> str:
-    """text as a DuckDB query with the common tables that it needs; more: (name, text) of its own."""
+    """text as a DuckDB query with the common tables that it needs; more: (name, text) of its own, kept as tables if named *_m."""
     known, order, need = ORACLE | dict(more), [*ORACLE, *(k for k, _ in more)], set()
 
     def want(body: str) -> None:
@@ -76,4 +76,4 @@ def sql(text: str, *more: tuple[str, str]) -> str:
             want(known[name])
 
     want(text)
-    return "WITH RECURSIVE " + ", ".join(f"{k} AS ({known[k]})" for k in order if k in need) + " " + text if need else text
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS {'MATERIALIZED ' if k.endswith('_m') else ''}({known[k]})" for k in order if k in need) + " " + text if need else text
