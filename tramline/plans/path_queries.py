@@ -396,6 +396,13 @@ def _(spark, g):
 ORACLE_SQL["i9_tree_leaves"] = sql("SELECT stop_id FROM (SELECT lo AS stop_id FROM tree UNION ALL SELECT hi FROM tree) GROUP BY stop_id HAVING count(*) = 1", *_TREE)
 
 
+@query("i10_order_components", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1")
+def _(spark, g):
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    links = spark.table("orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(by).alias("b"))
+    return graph.connected_components(links, "a", "b")
+
+
 # --- specs, dates and comparisons
 
 

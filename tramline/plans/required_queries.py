@@ -29,14 +29,23 @@ def groups(spark):
     return spark.table("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("stop_id"), F.concat(F.lit("G"), F.col("n_regionkey").cast("string")).alias("rep"))
 
 
-@query("i25_groups", "SELECT rep, string_agg(stop_id, ',' ORDER BY stop_id) AS stop_ids, count(*) AS n FROM grp GROUP BY rep", _GROUPS)
+_COMPLEX = ("cpx", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS stop_id, concat('G', CAST(s_suppkey // 4 AS STRING)) AS rep FROM supplier")
+
+
+def complexes(spark):
+    """Station complexes of four suppliers each, so that their number grows with the tables."""
+    s = spark.table("supplier")
+    return s.select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("stop_id"), F.concat(F.lit("G"), F.floor(F.col("s_suppkey") / 4).cast("string")).alias("rep"))
+
+
+@query("i25_groups", "SELECT rep, string_agg(stop_id, ',' ORDER BY stop_id) AS stop_ids, count(*) AS n FROM cpx GROUP BY rep", _COMPLEX)
 def _(spark, g):
-    return required.members(groups(spark))
+    return required.members(complexes(spark))
 
 
-@query("d18_group_pairs", "SELECT x.rep, x.stop_id AS a, y.stop_id AS b FROM grp x JOIN grp y ON x.rep = y.rep AND x.stop_id < y.stop_id", _GROUPS)
+@query("d18_group_pairs", "SELECT x.rep, x.stop_id AS a, y.stop_id AS b FROM cpx x JOIN cpx y ON x.rep = y.rep AND x.stop_id < y.stop_id", _COMPLEX)
 def _(spark, g):
-    return required.member_pairs(groups(spark))
+    return required.member_pairs(complexes(spark))
 
 
 @query(
@@ -57,9 +66,9 @@ def _(spark, g):
     return required.deep_representatives(feed.root_stops(g.stops).withColumnRenamed("root_id", "rep")).select("stop_id", "rep")
 
 
-@query("i27_visited_groups", "SELECT stop_id, rep, max(visited) OVER (PARTITION BY rep) AS visited FROM (SELECT stop_id, rep, CASE WHEN stop_id IN ('N2', 'N9') THEN 1 ELSE 0 END AS visited FROM grp)", _GROUPS)
+@query("i27_visited_groups", "SELECT stop_id, rep, max(visited) OVER (PARTITION BY rep) AS visited FROM (SELECT stop_id, rep, CASE WHEN CAST(substr(stop_id, 2) AS INT) % 9 = 2 THEN 1 ELSE 0 END AS visited FROM cpx)", _COMPLEX)
 def _(spark, g):
-    marked = groups(spark).withColumn("visited", F.when(F.col("stop_id").isin("N2", "N9"), 1).otherwise(0))
+    marked = complexes(spark).withColumn("visited", F.when(F.substring("stop_id", 2, 20).cast("int") % 9 == 2, 1).otherwise(0))
     return required.spread_over_groups(marked, "visited")
 
 

@@ -379,38 +379,36 @@ def _(spark, g):
 # --- as-of joins
 
 _CHANGE = (
-    ("one", "SELECT * FROM cover WHERE o = 'N3' AND d <> o"),
     ("two", "SELECT * FROM cover WHERE o <> d"),
     ("ends", "SELECT DISTINCT o, d FROM two"),
-    ("ask", "SELECT a.o, a.d AS via, e.d AS xd, a.dep, a.arr AS at_s, a.trip_id AS first_trip FROM one a JOIN ends e ON e.o = a.d"),
+    ("ask", "SELECT a.o, a.d AS via, e.d AS xd, a.dep, a.arr AS at_s, a.trip_id AS first_trip FROM two a JOIN ends e ON e.o = a.d"),
     ("rr", "SELECT q.o, via, q.xd AS d, q.dep, b.arr, first_trip, b.trip_id AS second_trip FROM ask q ASOF JOIN two b ON q.via = b.o AND q.xd = b.d AND q.at_s <= b.dep"),
-    ("wr", "SELECT 'N3' AS o, w.d AS via, b.d, b.dep - w.seconds AS dep, b.arr, concat('walk:N3:', w.d) AS first_trip, b.trip_id AS second_trip FROM walks w JOIN two b ON b.o = w.d WHERE w.o = 'N3'"),
-    ("rw", "SELECT a.o, a.d AS via, w.d, a.dep, a.arr + w.seconds AS arr, a.trip_id AS first_trip, concat('walk:', w.o, ':', w.d) AS second_trip FROM one a JOIN walks w ON w.o = a.d"),
+    ("wr", "SELECT w.o, w.d AS via, b.d, b.dep - w.seconds AS dep, b.arr, concat('walk:', w.o, ':', w.d) AS first_trip, b.trip_id AS second_trip FROM walks w JOIN two b ON b.o = w.d"),
+    ("rw", "SELECT a.o, a.d AS via, w.d, a.dep, a.arr + w.seconds AS arr, a.trip_id AS first_trip, concat('walk:', w.o, ':', w.d) AS second_trip FROM two a JOIN walks w ON w.o = a.d"),
     ("rides2", "SELECT * FROM rr UNION ALL SELECT * FROM wr UNION ALL SELECT * FROM rw"),
-    ("ww", "SELECT b.d, min(a.seconds + b.seconds) AS walk FROM walks a JOIN walks b ON b.o = a.d WHERE a.o = 'N3' AND b.d <> 'N3' GROUP BY b.d"),
-    ("change0", "SELECT r.*, min(arr) OVER (PARTITION BY r.d ORDER BY dep, arr DESC, via, concat(first_trip, '>', second_trip) ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, walk FROM rides2 r LEFT JOIN ww USING (d) WHERE r.o <> r.d"),
+    ("ww0", "SELECT a.o, a.d AS via, b.d, a.seconds + b.seconds AS walk, concat('walk:', a.o, ':', a.d) AS first_trip, concat('walk:', b.o, ':', b.d) AS second_trip FROM walks a JOIN walks b ON b.o = a.d WHERE a.o <> b.d"),
+    ("ww", "SELECT o, d, min(walk) AS walk FROM ww0 GROUP BY o, d"),
+    ("change0", "SELECT r.*, min(arr) OVER (PARTITION BY r.o, r.d ORDER BY dep, arr DESC, via, concat(first_trip, '>', second_trip) ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, walk FROM rides2 r LEFT JOIN ww USING (o, d) WHERE r.o <> r.d"),
+    ("change", "SELECT o, via, d, dep, arr, first_trip, second_trip, false AS is_flex FROM change0 WHERE (later IS NULL OR arr < later) AND (walk IS NULL OR arr - dep < walk)"),
+    ("wchange", "SELECT o, via, d, CAST(0 AS INT) AS dep, walk AS arr, first_trip, second_trip, true AS is_flex FROM (SELECT *, row_number() OVER (PARTITION BY o, d ORDER BY walk, via DESC, concat(first_trip, '>', second_trip) DESC) AS r FROM ww0) WHERE r = 1"),
 )
 
 
-@query("d5_connections", "SELECT o, via, d, dep, arr, first_trip, second_trip FROM change0 WHERE (later IS NULL OR arr < later) AND (walk IS NULL OR arr - dep < walk)", *_CHANGE)
+@query("d5_connections", "SELECT * EXCLUDE (is_flex) FROM change", *_CHANGE)
 def _(spark, g):
-    cover = cover_of(g).filter("o <> d")
-    found = asof.connections(cover.filter("o = 'N3'"), cover)
-    return found.filter("not is_flex").select("o", "via", "d", "dep", "arr", "first_trip", "second_trip")
+    cover = cut(cover_of(g).filter("o <> d"))
+    return asof.connections(cover, cover).filter("not is_flex").select("o", "via", "d", "dep", "arr", "first_trip", "second_trip")
 
 
-@query("d5_connections_all")
+@query("d5_connections_all", "SELECT * FROM change UNION ALL SELECT * FROM wchange", *_CHANGE)
 def _(spark, g):
     cover = cut(cover_of(g).filter("o <> d"))
     return asof.connections(cover, cover).select("o", "via", "d", "dep", "arr", "first_trip", "second_trip", "is_flex")
 
 
-_ASK = (("ask7", "SELECT o_orderkey AS query_id, concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 90000 AS INT) AS at_s FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL"), ("free70", "SELECT *, min(arr) OVER (PARTITION BY o, d ORDER BY dep, arr DESC, trip_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM steps"), ("free7", "SELECT * FROM free70 WHERE later IS NULL OR arr < later"), ("ends7", "SELECT DISTINCT o, d FROM free7"))
-
-
-def questions(spark) -> DataFrame:
-    """Times and stops at which someone sets out, one per fiftieth order: the questions of the DuckDB texts."""
-    return every_question(spark).filter("query_id % 50 = 0")
+_ASK = (("ask7", "SELECT o_orderkey AS query_id, concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 90000 AS INT) AS at_s FROM orders GROUP BY ALL"), ("free70", "SELECT *, min(arr) OVER (PARTITION BY o, d ORDER BY dep, arr DESC, trip_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM steps"), ("free7", "SELECT * FROM free70 WHERE later IS NULL OR arr < later"), ("ends7", "SELECT DISTINCT o, d FROM free7"), ("ends6", "SELECT DISTINCT o, d FROM cover"))
+_NEXT = 'SELECT query_id, stop, at_s AS "at", q.xd AS d, b.dep, b.arr, b.trip_id FROM (SELECT a.*, e.d AS xd FROM ask7 a JOIN ends7 e ON e.o = a.stop) q ASOF JOIN free7 b ON q.stop = b.o AND q.xd = b.d AND q.at_s <= b.dep'
+_BEST = "SELECT query_id AS id, d, dep, arr, trip_id, is_flex FROM (SELECT *, row_number() OVER (PARTITION BY query_id, d ORDER BY arr, is_flex, trip_id) AS r FROM (SELECT query_id, q.xd AS d, b.dep, b.arr, b.trip_id, false AS is_flex FROM (SELECT a.*, e.d AS xd FROM ask7 a JOIN ends6 e ON e.o = a.stop) q ASOF JOIN cover b ON q.stop = b.o AND q.xd = b.d AND q.at_s <= b.dep UNION ALL SELECT query_id, w.d, at_s, at_s + seconds, concat('walk:', w.o, ':', w.d), true FROM ask7 JOIN walks w ON w.o = stop)) WHERE r = 1"
 
 
 def every_question(spark) -> DataFrame:
@@ -419,19 +417,14 @@ def every_question(spark) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("stop"), ((F.col("o_orderkey") * 31) % 90000).cast("int").alias("at")).distinct()
 
 
-@query("d7_next_departure", 'SELECT query_id, stop, at_s AS "at", q.xd AS d, b.dep, b.arr, b.trip_id FROM (SELECT a.*, e.d AS xd FROM ask7 a JOIN ends7 e ON e.o = a.stop) q ASOF JOIN free7 b ON q.stop = b.o AND q.xd = b.d AND q.at_s <= b.dep', *_ASK)
+@query("d7_next_departure", _NEXT, *_ASK)
 def _(spark, g):
-    return asof.next_departures(questions(spark), steps.minimal_cover(steps_of(g)))
+    return asof.next_departures(every_question(spark), steps.minimal_cover(steps_of(g)))
 
 
-@query(
-    "d6_best_next",
-    "SELECT query_id AS id, d, dep, arr, trip_id, is_flex FROM (SELECT *, row_number() OVER (PARTITION BY query_id, d ORDER BY arr, is_flex, trip_id) AS r FROM (SELECT query_id, q.xd AS d, b.dep, b.arr, b.trip_id, false AS is_flex FROM (SELECT a.*, e.d AS xd FROM ask7 a JOIN ends6 e ON e.o = a.stop) q ASOF JOIN cover b ON q.stop = b.o AND q.xd = b.d AND q.at_s <= b.dep UNION ALL SELECT query_id, w.d, at_s, at_s + seconds, concat('walk:', w.o, ':', w.d), true FROM ask7 JOIN walks w ON w.o = stop)) WHERE r = 1",
-    *_ASK,
-    ("ends6", "SELECT DISTINCT o, d FROM cover"),
-)
+@query("d6_best_next", _BEST, *_ASK)
 def _(spark, g):
-    return asof.best_next(questions(spark).withColumnRenamed("query_id", "id"), cover_of(g))
+    return asof.best_next(every_question(spark).withColumnRenamed("query_id", "id"), cover_of(g))
 
 
 def asked_once(asked: DataFrame, answer) -> DataFrame:
@@ -445,13 +438,13 @@ def asked_once(asked: DataFrame, answer) -> DataFrame:
     return asked.select("query_id", "pair").join(found.withColumnRenamed("query_id", "pair"), "pair").drop("pair")
 
 
-@query("d7_next_departure_all")
+@query("d7_next_departure_all", _NEXT, *_ASK)
 def _(spark, g):
     rides = cut(steps.minimal_cover(steps_of(g)))
     return asked_once(every_question(spark), lambda asked: asof.next_departures(asked, rides))
 
 
-@query("d6_best_next_all")
+@query("d6_best_next_all", _BEST, *_ASK)
 def _(spark, g):
     cover = cut(cover_of(g))
     best = lambda asked: asof.best_next(asked.withColumnRenamed("query_id", "id"), cover).withColumnRenamed("id", "query_id")
@@ -496,7 +489,7 @@ def _(spark, g):
 
 
 def _relax(rounds: int) -> list[tuple[str, str]]:
-    out = [("r0", "SELECT DISTINCT o AS src, o AS stop, CAST(0 AS BIGINT) AS dist FROM edges WHERE o IN ('N1', 'N7', 'N12')")]
+    out = [("r0", "SELECT DISTINCT o AS src, o AS stop, CAST(0 AS BIGINT) AS dist FROM edges")]
     for i in range(1, rounds + 1):
         out.append((f"r{i}", f"SELECT src, stop, min(dist) AS dist FROM (SELECT * FROM r{i - 1} UNION ALL SELECT src, e.d, dist + w FROM r{i - 1} r JOIN edges e ON e.o = r.stop) GROUP BY src, stop"))
     return out
@@ -504,15 +497,16 @@ def _relax(rounds: int) -> list[tuple[str, str]]:
 
 @query("i3_distances", "SELECT src, stop, CAST(dist AS BIGINT) AS dist FROM r8", _EDGES, *_relax(8))
 def _(spark, g):
-    edges = edges_of(g)
-    return graph.distances(edges, edges.filter(F.col("o").isin("N1", "N7", "N12")).select(F.col("o").alias("stop_id")).distinct())
+    edges = cut(edges_of(g))
+    return graph.distances(edges, edges.select(F.col("o").alias("stop_id")).distinct())
 
 
-@query("e20_set_distances", "SELECT CASE WHEN src = 'N7' THEN 's2' ELSE 's1' END AS set_id, stop, CAST(min(dist) AS BIGINT) AS dist FROM r8 GROUP BY ALL", _EDGES, *_relax(8))
+@query("e20_set_distances", "SELECT concat('S', CAST(CAST(substr(src, 2) AS INT) % 6 AS STRING)) AS set_id, stop, CAST(min(dist) AS BIGINT) AS dist FROM r8 GROUP BY ALL", _EDGES, *_relax(8))
 def _(spark, g):
-    edges = edges_of(g)
-    dist = graph.distances(edges, edges.filter(F.col("o").isin("N1", "N7", "N12")).select(F.col("o").alias("stop_id")).distinct())
-    members = spark.createDataFrame([("s1", "N1"), ("s2", "N7"), ("s1", "N12")], "set_id string, stop_id string")
+    edges = cut(edges_of(g))
+    sources = edges.select(F.col("o").alias("stop_id")).distinct()
+    members = sources.select(F.concat(F.lit("S"), (F.substring("stop_id", 2, 20).cast("int") % 6).cast("string")).alias("set_id"), "stop_id")
+    dist = graph.distances(edges, sources)
     return graph.set_distances(dist, members)
 
 
