@@ -218,8 +218,10 @@ def dense_ids(df: DataFrame, key: str, name: str = "id") -> DataFrame:
     Keys are dealt by range; each range is numbered on its own and moved by the
     counts of those before it.
     """
-    keys = cut(df.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    counts = keys.groupBy("_part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return keys.join(F.broadcast(counts.select("_part", before.alias("before"))), "_part").select(key, (own + F.col("before")).cast("int").alias(name))
+    part = f"part of {key}"
+    keys = cut(df.select(key).distinct().repartitionByRange(key).withColumn(part, F.spark_partition_id()))
+    counts = keys.groupBy(part).agg(F.count("*").alias("n"))  # a row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(part), before.alias("rows before"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(key))
+    return keys.join(F.broadcast(offsets), part).select(key, (own + F.col("rows before")).cast("int").alias(name))

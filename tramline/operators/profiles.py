@@ -172,7 +172,12 @@ def fewer_edges(paths: DataFrame) -> DataFrame:
 
 def probe(full: DataFrame, small: DataFrame, queries: DataFrame, required: DataFrame) -> DataFrame:
     """Queries whose earliest arrivals at required stops differ between two networks: (query_id, stop, full, small)."""
+    return compared(full, small, queries, required).filter(~F.col("full").eqNullSafe(F.col("small")))
+
+
+def compared(full: DataFrame, small: DataFrame, queries: DataFrame, required: DataFrame) -> DataFrame:
+    """(query_id, stop, full, small): earliest arrivals at required stops in two networks; null where one doesn't get there."""
     keep = lambda x, name: earliest_arrivals(queries, x).join(required.withColumnRenamed("stop_id", "stop"), "stop", "left_semi").withColumnRenamed("at", name)
-    return keep(full, "full").join(keep(small, "small"), ["query_id", "stop"], "full").filter(~F.col("full").eqNullSafe(F.col("small")))
+    return keep(full, "full").join(keep(small, "small"), ["query_id", "stop"], "full")
 
 

@@ -72,7 +72,8 @@ def best(found: DataFrame) -> DataFrame:
 
 def insertions(tours: DataFrame, stops: DataFrame) -> DataFrame:
     """Every tour with each new stop (stop_id) at every inner place: (tour_id, base, stop, place, stops)."""
-    new = tours.join(stops.select(F.col("stop_id").alias("stop")), ~F.array_contains("stops", F.col("stop")))
+    # Every tour takes every stop that it hasn't got, so the result has as many rows as the product.
+    new = tours.crossJoin(small(cut(stops.select(F.col("stop_id").alias("stop"))))).filter(~F.array_contains("stops", F.col("stop")))
     placed = new.filter(F.size("stops") > 1).select("*", F.explode(F.sequence(F.lit(1), F.size("stops") - 1)).alias("place"))
     whole = F.concat(F.slice("stops", F.lit(1), F.col("place")), F.array("stop"), F.slice("stops", F.col("place") + 1, F.size("stops") - F.col("place")))
     return placed.select(F.concat_ws("/", F.col("tour_id").cast("string"), "stop", F.col("place").cast("string")).alias("tour_id"), F.col("tour_id").alias("base"), "stop", "place", whole.alias("stops"))
@@ -88,13 +89,13 @@ def best_insertions(tours: DataFrame, stops: DataFrame, paths: DataFrame) -> Dat
 
 def groups_visited(tours: DataFrame, groups: DataFrame) -> DataFrame:
     """(tour_id, groups): how many required groups (stop_id, rep) a tour visits."""
-    on = tours.select("tour_id", F.explode("stops").alias("stop_id")).join(groups, "stop_id")
+    on = tours.select("tour_id", F.explode("stops").alias("stop_id")).join(small(groups), "stop_id")
     return on.groupBy("tour_id").agg(F.countDistinct("rep").alias("groups"))
 
 
 def unvisited(tours: DataFrame, groups: DataFrame) -> DataFrame:
     """(tour_id, rep): groups that a tour doesn't visit."""
-    on = tours.select("tour_id", F.explode("stops").alias("stop_id")).join(groups, "stop_id").select("tour_id", "rep")
+    on = tours.select("tour_id", F.explode("stops").alias("stop_id")).join(small(groups), "stop_id").select("tour_id", "rep")
     # What a tour lacks is the rest of all groups, so every pair of tour and group is either in the result or in on.
     return tours.select("tour_id").crossJoin(small(groups.select("rep").distinct())).join(on, ["tour_id", "rep"], "left_anti")
 

@@ -153,11 +153,41 @@ def _(spark, g):
     return spark.createDataFrame([(">".join(stops), duration, whole)], "stops string, duration int, whole boolean")
 
 
-@query("n11_probe", "SELECT CAST(o_orderkey AS STRING) AS query_id, n_name AS stop, CAST(0 AS INT) AS full, CAST(0 AS INT) AS small FROM orders, nation WHERE false")
+_PROBE = [
+    *_FULL,
+    ("askn", f"SELECT DISTINCT concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 86400 // 600 * 600 AS INT) AS at_s FROM orders WHERE concat('N', CAST(o_custkey % 25 AS STRING)) IN {listed(_REQ)}"),
+    ("askd", "SELECT a.stop, a.at_s, e.d AS xd FROM askn a JOIN (SELECT DISTINCT o, d FROM full_m WHERE NOT f) e ON e.o = a.stop"),
+    ("gotn", "SELECT a.stop, a.at_s, a.xd AS d, b.arr FROM askd a ASOF JOIN (SELECT * FROM full_m WHERE NOT f) b ON a.stop = b.o AND a.xd = b.d AND a.at_s <= b.dep UNION ALL SELECT stop, at_s, w.d, at_s + w.arr FROM askn JOIN full_m w ON w.o = stop AND w.f UNION ALL SELECT stop, at_s, stop, at_s FROM askn"),
+]
+
+
+@query("n11_probe", "SELECT concat(stop, '@', CAST(at_s AS STRING)) AS query_id, d AS stop, CAST(min(arr) AS INT) AS full, CAST(min(arr) AS INT) AS small FROM gotn GROUP BY stop, at_s, d", *_PROBE)
 def _(spark, g):
-    """Earliest arrivals between required stops, in the whole network and in the reduced one: none may differ."""
+    """Earliest arrivals between required stops in the whole network and in the reduced one, side by side: they are equal."""
     full = cut(ba_steps(g))
     small = cut(profiles.reduced(full, required_of(spark)).select("o", "d", "dep", "arr", F.lit("path").alias("trip_id"), "is_flex"))
     asked = spark.table("orders").select(F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("stop"), (F.floor((F.col("o_orderkey") * 31) % 86400 / 600) * 600).cast("int").alias("at")).distinct()
     asked = asked.filter(F.col("stop").isin(_REQ)).withColumn("query_id", F.concat_ws("@", "stop", "at"))
-    return profiles.probe(full, small, cut(asked), required_of(spark))
+    return profiles.compared(full, small, cut(asked), required_of(spark))
+
+
+_THROUGH = [
+    *_BASE,
+    ("braw", "SELECT o, d, dep, arr FROM steps WHERE trip_id LIKE 'BA:%'"),
+    ("in_r", "SELECT * FROM braw WHERE d = 'N1' AND o <> 'N2'"),
+    ("in_w", "SELECT * FROM ba_walks WHERE d = 'N1' AND o <> 'N2'"),
+    ("over_r", "SELECT * FROM braw WHERE o = 'N1' AND d = 'N2'"),
+    ("over_w", "SELECT * FROM ba_walks WHERE o = 'N1' AND d = 'N2'"),
+    (
+        "thr",
+        "SELECT q.o, q.dep, b.arr, false AS f FROM (SELECT o, dep, arr AS at_s, 1 AS k FROM in_r) q ASOF JOIN (SELECT 1 AS k, dep, min(arr) AS arr FROM over_r GROUP BY dep) b ON q.k = b.k AND q.at_s <= b.dep UNION ALL SELECT w.o, b.dep - w.seconds, b.arr, false FROM in_w w, over_r b"
+        " UNION ALL SELECT r.o, r.dep, r.arr + w.seconds, false FROM in_r r, over_w w UNION ALL SELECT a.o, 0, a.seconds + b.seconds, true FROM in_w a, over_w b",
+    ),
+    ("thr0", "SELECT *, min(CASE WHEN NOT f THEN arr END) OVER (PARTITION BY o ORDER BY dep, arr DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, min(CASE WHEN f THEN arr - dep END) OVER (PARTITION BY o) AS walk FROM (SELECT DISTINCT * FROM thr)"),
+]
+ORACLE_SQL["i24_required_edge"] = sql(
+    "SELECT o, d, CAST(dep AS INT) AS dep, CAST(arr AS INT) AS arr, f AS is_flex FROM (SELECT o, 'N1+N2' AS d, dep, arr, f FROM thr0 WHERE (NOT f AND (later IS NULL OR arr < later) AND (walk IS NULL OR arr - dep < walk)) OR (f AND arr - dep = walk)"
+    " UNION ALL SELECT 'N1+N2', d, dep, arr, false FROM braw WHERE o = 'N2' AND d <> 'N1' UNION ALL SELECT 'N1+N2', d, 0, seconds, true FROM ba_walks WHERE o = 'N2' AND d <> 'N1'"
+    " UNION ALL SELECT o, d, dep, arr, false FROM braw WHERE o NOT IN ('N1', 'N2') AND d NOT IN ('N1', 'N2') UNION ALL SELECT o, d, 0, seconds, true FROM ba_walks WHERE o NOT IN ('N1', 'N2') AND d NOT IN ('N1', 'N2'))",
+    *_THROUGH,
+)
