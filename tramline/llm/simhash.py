@@ -33,13 +33,15 @@ shingle of their prefixes: of the |x| shingles of a text, the rarest first, the
 Every candidate pair is verified exactly over the whole texts. Members of a candidate
 group meet its smallest document and that of a salted part of it. After that, members
 of a group that are not yet connected with most of it meet all members they are not
-connected with, so no link inside a candidate group is lost; a group of copies, however
-large, costs two pairs a member.
+connected with, so no link inside a candidate group is lost: as pairs in groups of up to
+GROUP members, in larger ones in blocks of bounded size, of which only links leave. A
+group of copies, however large, costs two pairs a member.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,6 +57,8 @@ BLOCK = 1 << 18
 #: Fingerprints of a cell up to which its pairs are compared.
 SMALL_CELL = 8
 VIEWS, SAMPLE, SALTS = 24, 5, 16
+#: Members up to which the pairs of a candidate group are formed; beyond, rows that a block holds on either side.
+GROUP = 64
 #: Shingles up to which a text is found by its rarest shingles.
 SMALL_SET = 64
 _TURNS = np.random.default_rng(8).integers(1, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,21 +164,70 @@ def prefixes(classes: DataFrame, similarity: float) -> DataFrame:
     return first.filter("n > 1").select("rep", "size", F.lit(VIEWS).alias("view"), "key")
 
 
-def unlinked(keyed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of one key that no links connect yet and whose sizes allow the similarity."""
+def unlinked(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(view, key, rep, size, root, most, n): the members of candidate groups that no links hold together yet.
+
+    root is a member's component, most the one with most of the group's n members.
+    """
     group = ["view", "key"]
     members = keyed.select("rep", "size", *group).join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     members = table(members.withColumn("root", F.coalesce("root", "rep")), "simhash-members")
     parts = members.groupBy(*group, "root").agg(F.count("*").alias("n"))
     # Pairs of two were verified already.
-    mixed = parts.groupBy(*group).agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 and n > 2").select(*group, "most")
-    mixed = table(members.join(mixed.hint("merge"), group), "simhash-mixed")
+    mixed = parts.groupBy(*group).agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 and n > 2").select(*group, "most", "n")
+    return table(members.join(mixed.hint("merge"), group), "simhash-mixed")
+
+
+def pairs_left(mixed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in groups of up to GROUP members the pairs that no links connect and whose sizes allow the similarity."""
+    group = ["view", "key"]
+    mixed = mixed.filter(F.col("n") <= GROUP)
     few = mixed.filter("root <> most").select(*group, F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
     met = few.join(mixed.hint("merge"), group).filter("root <> x_root and (root = most or x_root < root)")
     met = met.filter(F.least("size", "x_size") >= similarity * F.greatest("size", "x_size") - 1e-9)
     return met.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
 
 
+def links_in_blocks(mixed: DataFrame, texts, width: int, similarity: float) -> DataFrame:
+    """(a, b): the links that members of groups of more than GROUP have outside their component.
+
+    The members outside a group's main component are asked against all of it, in
+    blocks of about GROUP rows on either side, through an index of the block's
+    shingles; only links leave a task. texts(ids) gives (id, text) of (id) rows.
+    """
+    group = ["view", "key"]
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    base = mixed.filter(F.col("n") > GROUP).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    base = table(base, "simhash-blocks")
+    if base.isEmpty():
+        return base.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    asked = base.filter("root <> most").select(*group, F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "rep", "root", F.lit(True).alias("asks"))
+    where = table(asked.select(*group, "x").distinct(), "simhash-asking")
+    met = base.select(*group, F.col("block").alias("y"), "rep", "root", F.lit(False).alias("asks")).join(where.hint("merge"), group)
+    rows = asked.unionByName(met).join(texts(base.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep").hint("merge"), "rep")
+
+    def compare(rows):
+        known = WordHashes()
+        sets = [shingle_set(x, known, width) for x in rows["text"]]
+        reps, roots, asks = rows["rep"].to_numpy(), rows["root"].to_numpy(), rows["asks"].to_numpy()
+        sizes, others = np.array([len(x) for x in sets]), np.flatnonzero(~asks)
+        found = [np.zeros((0, 2), np.int64)]
+        if len(others):
+            # The index: every shingle of the others, sorted, with its owner.
+            hashes, owner = np.concatenate([sets[i] for i in others]), np.repeat(others, sizes[others])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            for i in np.flatnonzero(asks):
+                low, high = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+                hits = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+                both = np.bincount(owner[hits], minlength=len(sets))
+                near = others[(both[others] >= similarity * (sizes[i] + sizes[others] - both[others])) & (roots[others] != roots[i])]
+                found.append(np.stack([np.maximum(reps[near], reps[i]), np.minimum(reps[near], reps[i])], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    return rows.groupBy(*group, "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group_id): documents linked by texts whose shingle sets have at least that Jaccard similarity.
 
@@ -225,11 +278,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     keep = lambda df: table(df, "simhash-links")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def texts_of(wanted: DataFrame) -> DataFrame:
         # Each class goes by its own text, as rows that share an id may belong to several.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         own_text = classes.select(F.col("rep").alias("id"), "mark").distinct().join(wanted.hint("merge"), "id")
-        texts = table(plain.join(own_text.hint("merge"), ["id", "mark"]).groupBy("id", "mark").agg(F.min("text").alias("text")).select("id", "text"), "simhash-texts")
+        return table(plain.join(own_text.hint("merge"), ["id", "mark"]).groupBy("id", "mark").agg(F.min("text").alias("text")).select("id", "text"), "simhash-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
         return keep(both.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long"))
 
@@ -237,10 +292,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     own = classes.select("same", "rep").join(rows.select("same", "id").hint("merge"), "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     edges = verified(pairs).unionByName(own.filter("a <> b"))
     roots = keep(connected_components(edges, keep=keep))
-    left = table(unlinked(keyed, roots, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "simhash-left")
-    if not left.isEmpty():
+    mixed = unlinked(keyed, roots)
+    left = table(pairs_left(mixed, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "simhash-left")
+    more_links = keep(verified(left).unionByName(links_in_blocks(mixed, texts_of, width, similarity)))
+    if not more_links.isEmpty():
         # Only the components that the new links join are looked at again.
-        joins = verified(left).join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")).hint("merge"), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge"), "b", "left")
+        joins = more_links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")).hint("merge"), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge"), "b", "left")
         joined = connected_components(keep(joins.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), keep=keep)
         more = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
         known = roots.unionByName(joined.join(roots.select("node").hint("merge"), "node", "left_anti"))
