@@ -1,12 +1,13 @@
 """Queries of the numbered operators and the pipeline, with SQL where it can express them."""
 
 import corpus_pipeline
-from tramline.llm import ann, line_dedup, packing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_files, toxicity
+from tramline.llm import ann, katz, line_dedup, packing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_lm_scoring": katz.op11_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_files": token_files.op4_token_files,
