@@ -29,6 +29,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tramline.llm.common import read_documents, table, tidy
+from tramline.llm.common import read_documents, slices, table, tidy
 from tramline.llm.exchange import bucketed, chunk_numbers, cuts_of, packed, packed_keys, unpacked, unpacked_keys
 from tramline.llm.piece_codec import MARK, refuse
 
-#: Bytes of text in a chunk of documents, of words aligned together, and words a worker's table holds.
-CHUNK, TOGETHER, WORDS_KEPT = 4 << 20, 1 << 15, 400_000
+#: Bytes of text in a chunk of documents, of words aligned together, and words in each half of a worker's table.
+CHUNK, TOGETHER, WORDS_KEPT = 3 << 20, 1 << 15, 160_000
 #: A marked word: a space and what follows up to the next space after something else than white space.
 _WORD = re.compile(r" (?:[^ ]+|(?<=\s) )*")
 _MIXED_SPACE = re.compile(r"\s ")
@@ -85,6 +86,7 @@ class Aligner(dict):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.older: dict = {}
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         byte = byte_level()
@@ -104,14 +106,16 @@ class Aligner(dict):
         # Of an empty text the library makes nothing, while a last space of a text is a marker of its own.
         self.lone = [(i, 0, 1) for i in self.b.encode("a ")[len(self.b.encode("a")) :]]
         self.a_sizes, self.b_sizes = np.array([*map(len, self.a_bytes)]), np.array([*map(len, self.b_bytes)])
-        self.a_names, self.b_names = [*map(str, range(len(self.a_bytes)))], [*map(str, range(len(self.b_bytes)))]
+        # Decimal ids of A, then of B, with what follows them in the groups' text: another id, the other side, a group, nothing.
+        ids = [*range(len(self.a_bytes)), *range(len(self.b_bytes))]
+        self.names = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in ids]
 
     def tokens(self, text: str):
         """(A ids, their byte ends, B ids, their byte ends) of a text that begins with a space, or None where the bytes differ."""
         data = text.encode()
         encoded = self.a.encode(text, add_special_tokens=False)
         a = np.array(encoded.ids, np.int64)
-        spans = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         # Character offsets as byte offsets: a byte begins a character unless it is a continuation byte.
         starts = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
         a_ends = byte_ends(starts[spans[:, 0]], starts[spans[:, 1]], self.a_sizes[a])
@@ -143,20 +147,29 @@ class Aligner(dict):
         groups_to = np.searchsorted(both, word_ends) + 1
         if (both[groups_to - 1] != word_ends).any():
             raise ValueError("a token reaches over the end of a marked word")
-        a_names, b_names = [self.a_names[i] for i in a.tolist()], [self.b_names[i] for i in b.tolist()]
-        groups, x, y = [], 0, 0
-        for i, j in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            groups.append(f"{a_names[x] if i - x == 1 else ','.join(a_names[x:i])}|{b_names[y] if j - y == 1 else ','.join(b_names[y:j])}")
-            x, y = i, j
         a_to, b_to = a_cut[groups_to - 1], b_cut[groups_to - 1]
+        names, names_to = self._names(a, b, a_cut, b_cut, groups_to), (a_to + b_to).tolist()
         links, ends = links.astype("<u8").tobytes(), (8 * links_to[a_to - 1]).tolist()
         figures = np.diff(np.stack([a_to, b_to, groups_to], 1), axis=0, prepend=0).astype("<i4").tobytes()
-        at = group = 0
-        for k, (word, end, to) in enumerate(zip(words, ends, groups_to.tolist(), strict=True)):
-            self[word] = links[at:end], figures[12 * k : 12 * k + 12], ";".join(groups[group:to])
-            at, group = end, to
+        at = name = 0
+        for k, (word, end, to) in enumerate(zip(words, ends, names_to, strict=True)):
+            self[word] = links[at:end], figures[12 * k : 12 * k + 12], "".join(names[name:to])
+            at, name = end, to
         return True
 
+    def _names(self, a, b, a_cut, b_cut, groups_to) -> list[str]:
+        """The ids with their marks in the order of the groups' text: a group's A tokens, its B tokens, the next group's."""
+        sides = np.empty(2 * len(a_cut), np.int64)
+        sides[0::2], sides[1::2] = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+        own = np.repeat(np.arange(len(sides)) & 1, sides)
+        ids = np.empty(len(own), np.int64)
+        ids[own == 0], ids[own == 1] = a, b + len(self.a_bytes)
+        mark = np.zeros(len(ids), np.int64)
+        last = np.cumsum(sides) - 1
+        mark[last[0::2]], mark[last[1::2]] = 1, 2
+        mark[last[1::2][groups_to - 1]] = 3
+        return list(map(self.names.__getitem__, (mark * (len(self.names) // 4) + ids).tolist()))
+
     def learn(self, words) -> None:
         """Align words that are not in the table yet, many at a time; those whose end or bytes say that they can't stand before others, alone."""
         run, size = [], 0
@@ -183,9 +196,12 @@ class Aligner(dict):
         """Each text's (links, figures, groups as text) by marked word, or None where it has no tokens."""
         for at in range(0, len(texts), 128):
             split = [marked_words(t) if t else [] for t in texts[at : at + 128]]
-            if len(self) > WORDS_KEPT:
+            if len(self) > WORDS_KEPT:  # words still in use are taken over from the older half
+                self.older = dict(self)
                 self.clear()
-            self.learn(set().union(*split).difference(self))
+            new = set().union(*split).difference(self)
+            self.update({w: self.older[w] for w in new.intersection(self.older)})
+            self.learn(new.difference(self.older))
             for words in split:
                 found = [self[w] for w in words]
                 yield None if not found or None in found else found
@@ -223,13 +239,14 @@ def write_aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def runs(it):
         ids, texts, size = [], [], 0
         for b in it:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if size >= CHUNK:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
+            for part in slices([b], 256):
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t or "")
+                    if size >= CHUNK:
+                        yield ids, texts
+                        ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
 

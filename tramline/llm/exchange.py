@@ -9,7 +9,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from tramline.llm.common import shared_dir
+from tramline.llm.common import BATCH_BYTES, BATCH_SETTING, shared_dir
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -50,10 +50,17 @@ def chunk_numbers():
 
 
 def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
-    """df written bucketed and sorted by the column, as plain files in the shared folder: joins by it don't move it again."""
+    """df written bucketed and sorted by the column, as plain files in the shared folder: joins by it don't move it again.
+
+    Arrow batches are cut by their bytes meanwhile, so that long texts don't make large ones.
+    """
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("path", shared_dir(spark, label)).bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    buckets, before = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.option("path", shared_dir(spark, label)).bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     written = spark.table(name)
     written.schema  # noqa: B018  resolves the table before its name goes; the files stay
     spark.sql(f"DROP TABLE {name}")
