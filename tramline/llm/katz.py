@@ -35,8 +35,6 @@ token is unknown; an empty table gives an empty table. Only the named columns ar
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,7 +43,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tramline.llm.common import read_documents, shared_dir, table, tidy
+from tramline.llm.common import read_documents, table, tidy
+from tramline.llm.exchange import bucketed, chunk_numbers, cuts_of, packed, packed_keys, unpacked, unpacked_keys
 
 #: Counts up to which Good-Turing discounts hold; higher ones are reliable.
 RELIABLE = 5
@@ -118,36 +117,6 @@ class Tokens:
         return mixed(self.context * _LEFT + self.token * _RIGHT)
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Arrays of equal length, their bytes turned so that like ones stand together, compressed."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), 1)
-
-
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, out, at = zstandard.decompress(data), [], 0
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        out.append(np.frombuffer(raw[at : at + size], np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n))
-        at += size
-    return out
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit hashes, packed as differences."""
-    return packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, "<u8")[0], dtype=np.uint64)
-
-
-def cuts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where ascending hashes pass from one part to the next: part p has keys[cuts[p]:cuts[p + 1]]."""
-    bounds = [(p << 64) // parts for p in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]])
-
-
 def discounts(n: list[int]) -> np.ndarray:
     """d(0), d(1), ...: Good-Turing discounts from the numbers of n-grams counted 1, 2, ... times.
 
@@ -209,29 +178,20 @@ def _texts_in_chunks(rows):
 
 def write_chunks(docs: DataFrame) -> DataFrame:
     """docs (id, text, training) as compressed chunks of whole documents, a table bucketed by the chunk's number."""
-    spark, id_type = docs.sparkSession, to_arrow_type(docs.schema["id"].dataType)
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def cut(it):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
+        numbers = chunk_numbers()
         rows = ((x.encode("utf-8", "surrogatepass") if x else b"", i, bool(t)) for b in it for i, x, t in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
         for run in _texts_in_chunks(rows):
             # A line feed after each text, so that no word reaches into the next.
             text = zstandard.compress(b"".join(x[0] + b"\n" for x in run), 3)
             sizes, flags = packed(np.array([len(x[0]) + 1 for x in run], "<i8")), packed(np.array([x[2] for x in run], "u1"))
             ids = pa.array([[x[1] for x in run]], pa.list_(id_type))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in (sizes, flags, text)], ids], ["chunk", "sizes", "flags", "text", "ids"])
-            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *[pa.array([x], pa.binary()) for x in (sizes, flags, text)], ids], ["chunk", "sizes", "flags", "text", "ids"])
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"katz_chunks_{uuid.uuid4().hex}"
     written = docs.mapInArrow(tidy(cut), f"{CHUNKS}, ids array<{docs.schema['id'].dataType.simpleString()}>")
-    written.write.option("path", shared_dir(spark, "katz-chunks")).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    chunks = spark.table(name)
-    chunks.schema  # noqa: B018  resolves the table before its name goes; the files stay
-    spark.sql(f"DROP TABLE {name}")
-    return chunks
+    return bucketed(written, "chunk", "katz-chunks")
 
 
 def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
