@@ -104,7 +104,7 @@ class Aligner(dict):
             raise ValueError("a piece of B crosses a whitespace marker")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) and _BYTE_PIECE.fullmatch(p) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         # Of an empty text the library makes nothing, while a last space of a text is a marker of its own.
-        self.lone = [(i, 0, 1) for i in self.b.encode("a ")[len(self.b.encode("a")) :]]
+        self.lone = [x for i in self.b.encode("a ")[len(self.b.encode("a")) :] for x in (i, -1, 0)]
         self.a_sizes, self.b_sizes = np.array([*map(len, self.a_bytes)]), np.array([*map(len, self.b_bytes)])
         # Decimal ids of A, then of B, with what follows them in the groups' text: another id, the other side, a group, nothing.
         ids = [*range(len(self.a_bytes)), *range(len(self.b_bytes))]
@@ -120,8 +120,9 @@ class Aligner(dict):
         starts = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
         a_ends = byte_ends(starts[spans[:, 0]], starts[spans[:, 1]], self.a_sizes[a])
         # The proto's spans leave out the space that the model puts first; they count from the second byte on.
-        spans = [(p.id, p.begin + 1, p.end + 1) for p in self.b.encode(text[1:], return_type="proto").pieces] or self.lone
-        b, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+        spans = [x for p in self.b.encode(text[1:], return_type="proto").pieces for x in (p.id, p.begin, p.end)] or self.lone
+        b, begin, end = np.array(spans, np.int64).reshape(-1, 3).T
+        begin, end = begin + 1, end + 1
         begin[0] = 0
         b_ends = byte_ends(begin, end, self.b_sizes[b])
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
@@ -141,8 +142,10 @@ class Aligner(dict):
         n = high - low
         links = (np.repeat(a, n) << 32) | b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         links_to = np.cumsum(n)
-        both = np.intersect1d(a_ends, b_ends)
-        a_cut, b_cut = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
+        at = np.searchsorted(b_ends, a_ends)  # both ascend to the end of the text
+        a_cut = np.flatnonzero(b_ends[at] == a_ends)
+        b_cut, both = at[a_cut] + 1, a_ends[a_cut]
+        a_cut = a_cut + 1
         word_ends = np.cumsum([len(w.encode()) for w in marked])
         groups_to = np.searchsorted(both, word_ends) + 1
         if (both[groups_to - 1] != word_ends).any():
@@ -199,9 +202,9 @@ class Aligner(dict):
             if len(self) > WORDS_KEPT:  # words still in use are taken over from the older half
                 self.older = dict(self)
                 self.clear()
-            new = set().union(*split).difference(self)
-            self.update({w: self.older[w] for w in new.intersection(self.older)})
-            self.learn(new.difference(self.older))
+            older, new = self.older, [w for w in set().union(*split) if w not in self]
+            self.update({w: older[w] for w in new if w in older})
+            self.learn([w for w in new if w not in older])
             for words in split:
                 found = [self[w] for w in words]
                 yield None if not found or None in found else found
