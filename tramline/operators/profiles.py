@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,63 +54,117 @@ def earliest_arrivals(queries: DataFrame, steps: DataFrame, rounds: int = 1000)
     raise RuntimeError(f"arrivals still improve after {rounds} rounds")
 
 
-def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
-    """(o, d, dep, arr, is_flex, thru, legs): all minimal departures between stops over any number of changes.
+def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFrame | None = None, rounds: int = 1000, keys: tuple[str, ...] = (), window: tuple[int, int | str, int] | None = None) -> DataFrame:
+    """(keys, o, d, dep, arr, is_flex, thru, legs): all minimal departures between stops over any number of changes.
 
-    origins (stop_id): only profiles from there. required (stop_id): thru tells
+    origins (keys, stop_id): only profiles from there. required (keys, stop_id): thru tells
     whether a path passes such a stop on its way; among equal paths one that does
     stays. Each round continues only paths that are new, one step further, and takes
     the minimal cover with what is known. legs holds the steps of the path.
+
+    keys: columns of steps that keep networks apart, which are closed in the same rounds; a
+    network in which nothing is new leaves the loop. window (lb, ub, width): only departures in
+    [lb, ub), in chunks of width seconds, each closed on its own and put together by a cover; ub may name one of the keys;
+    a path leaves no earlier than its chunk begins, so none is made that the window does not ask for.
     """
-    leg = F.struct("o", "d", "dep", "arr", "trip_id", "is_flex")
-    edges = cut(minimal_cover(steps.filter("o <> d").select("o", "d", "dep", "arr", "trip_id", "is_flex")))
-    start = edges if origins is None else edges.join(origins.select(F.col("stop_id").alias("o")).distinct(), "o", "left_semi")
-    stops = None if required is None else small(cut(required.select(F.col("stop_id").alias("via"), F.lit(True).alias("req")).distinct()))
+    keys, leg = list(keys), F.struct("o", "d", "dep", "arr", "trip_id", "is_flex")
+    apart = [*keys, *(["chunk"] if window else [])]
+    edges = cut(minimal_cover(steps.filter("o <> d").select(*keys, "o", "d", "dep", "arr", "trip_id", "is_flex"), (*keys, "o", "d")))
+    start = edges if origins is None else edges.join(origins.select(*keys, F.col("stop_id").alias("o")).distinct().hint("merge"), [*keys, "o"], "left_semi")
+    stops = None if required is None else small(cut(required.select(*keys, F.col("stop_id").alias("via"), F.lit(True).alias("req")).distinct()))
     start = start.withColumn("legs", F.array(leg)).withColumn("thru", F.lit(False)).drop("trip_id")
+    if window:
+        start = _in_chunks(start, *window)
     now = cut(start)
-    new = now
-    ride2 = edges.filter("not is_flex").select(F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("leave"), "arr", "trip_id")
-    walk2 = edges.filter("is_flex").select(F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("dep2"), F.col("arr").alias("arr2"), F.col("trip_id").alias("trip2"), F.lit(True).alias("f2"))
-    every2 = walk2.unionByName(ride2.select("via", "to", F.col("leave").alias("dep2"), F.col("arr").alias("arr2"), F.col("trip_id").alias("trip2"), F.lit(False).alias("f2")))
-    ends = cut(ride2.select("via", "to").distinct())
-    shape = ["o", "d", "dep", "arr", "is_flex", "legs", "thru"]
+    new, done = now, []
+    ride2 = edges.filter("not is_flex").select(*keys, F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("leave"), "arr", "trip_id")
+    walk2 = edges.filter("is_flex").select(*keys, F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("dep2"), F.col("arr").alias("arr2"), F.col("trip_id").alias("trip2"), F.lit(True).alias("f2"))
+    every2 = walk2.unionByName(ride2.select(*keys, "via", "to", F.col("leave").alias("dep2"), F.col("arr").alias("arr2"), F.col("trip_id").alias("trip2"), F.lit(False).alias("f2")))
+    ends = cut(ride2.select(*keys, "via", "to").distinct())
+    via = [*keys, "via"]
+    shape = [*apart, "o", "d", "dep", "arr", "is_flex", "legs", "thru"]
     for _ in range(rounds):
         rides, walks = new.filter("not is_flex"), new.filter("is_flex")
-        base = rides.select("o", F.col("d").alias("via"), "dep", F.col("arr").alias("at"), "legs", "thru")
-        caught = asof_next(base.join(ends, "via"), ride2, ["via", "to"], "at", "leave", ["arr", "trip_id"]).filter("next_leave is not null")
-        caught = caught.select("o", "via", "to", "dep", F.col("next_arr").alias("arr"), F.lit(False).alias("is_flex"), "legs", "thru", F.struct(F.col("via").alias("o"), F.col("to").alias("d"), F.col("next_leave").alias("dep"), F.col("next_arr").alias("arr"), F.col("next_trip_id").alias("trip_id"), F.lit(False).alias("is_flex")).alias("leg"))
+        base = rides.select(*apart, "o", F.col("d").alias("via"), "dep", F.col("arr").alias("at"), "legs", "thru")
+        caught = asof_next(base.join(ends, via), ride2, [*via, "to"], "at", "leave", ["arr", "trip_id"]).filter("next_leave is not null")
+        caught = caught.select(*apart, "o", "via", "to", "dep", F.col("next_arr").alias("arr"), F.lit(False).alias("is_flex"), "legs", "thru", F.struct(F.col("via").alias("o"), F.col("to").alias("d"), F.col("next_leave").alias("dep"), F.col("next_arr").alias("arr"), F.col("next_trip_id").alias("trip_id"), F.lit(False).alias("is_flex")).alias("leg"))
 
         def product(x, y):
-            x = x.select("o", F.col("d").alias("via"), F.col("dep").alias("dep1"), F.col("arr").alias("arr1"), F.col("is_flex").alias("f1"), "legs", "thru")
+            x = x.select(*apart, "o", F.col("d").alias("via"), F.col("dep").alias("dep1"), F.col("arr").alias("arr1"), F.col("is_flex").alias("f1"), "legs", "thru")
             flex, dep, arr = C.merged_step(F.col("f1"), F.col("dep1"), F.col("arr1"), F.col("f2"), F.col("dep2"), F.col("arr2"))
             added = F.struct(F.col("via").alias("o"), F.col("to").alias("d"), F.col("dep2").alias("dep"), F.col("arr2").alias("arr"), F.col("trip2").alias("trip_id"), F.col("f2").alias("is_flex"))
-            return x.join(y, "via").select("o", "via", "to", dep.alias("dep"), arr.alias("arr"), flex.alias("is_flex"), "legs", "thru", added.alias("leg"))
+            return x.join(y, via).select(*apart, "o", "via", "to", dep.alias("dep"), arr.alias("arr"), flex.alias("is_flex"), "legs", "thru", added.alias("leg"))
 
         more = caught.unionByName(product(walks, every2)).unionByName(product(rides, walk2)).filter("o <> to")
+        if window:
+            more = more.filter(F.col("is_flex") | (_chunk_of(*window) == F.col("chunk")))
         if stops is not None:
-            more = more.join(stops, "via", "left").withColumn("thru", F.col("thru") | F.coalesce("req", F.lit(False)))
-        more = more.select("o", F.col("to").alias("d"), "dep", "arr", "is_flex", F.concat("legs", F.array("leg")).alias("legs"), "thru")
+            more = more.join(stops, via, "left").withColumn("thru", F.col("thru") | F.coalesce("req", F.lit(False)))
+        more = more.select(*apart, "o", F.col("to").alias("d"), "dep", "arr", "is_flex", F.concat("legs", F.array("leg")).alias("legs"), "thru")
         both = now.select(*shape, F.lit(0).alias("old")).unionByName(more.select(*shape, F.lit(1).alias("old")))
         # Equal paths: one through a required stop stays, else the one known longest.
-        both = minimal_cover(both.withColumn("_known", -F.col("old")).withColumn("_changes", -F.size("legs")), ("o", "d"), ("thru", "_known", "_changes"))
+        both = minimal_cover(both.withColumn("_known", -F.col("old")).withColumn("_changes", -F.size("legs")), (*apart, "o", "d"), ("thru", "_known", "_changes"))
         after = cut(both.select(*shape, "old"))
         new = after.filter("old = 1").select(*shape)
         now = after.select(*shape)
         if new.isEmpty():
-            return now
+            return _whole([*done, now], keys, window)
+        if apart:
+            busy = small(cut(new.select(*apart).distinct()))
+            ended = now.join(busy, apart, "left_anti")
+            if not ended.isEmpty():
+                done.append(ended)
+                now = now.join(busy, apart, "left_semi")
     raise RuntimeError(f"paths still improve after {rounds} rounds")
 
 
-def reduced(steps: DataFrame, required: DataFrame, until: int = 36 * 3600, complete: bool = False, rounds: int = 1000) -> DataFrame:
+def _limit(ub):
+    """Column of the end of a window: a number, or the name of a column of the keys."""
+    return F.col(ub) if isinstance(ub, str) else F.lit(ub)
+
+
+def _chunk_of(lb: int, ub: int | str, width: int):
+    """Column of the chunk of a departure; null outside of [lb, ub)."""
+    return F.when((F.col("dep") >= lb) & (F.col("dep") < _limit(ub)), F.floor((F.col("dep") - lb) / width).cast("int"))
+
+
+def _in_chunks(start: DataFrame, lb: int, ub: int | str, width: int) -> DataFrame:
+    """start with its chunk; walks, which may leave at any time, stand in every chunk."""
+    if width <= 0 or not isinstance(ub, str) and ub <= lb:
+        raise ValueError("the window is empty")
+    every = F.sequence(F.lit(0), F.greatest(F.floor((_limit(ub) - lb - 1) / width).cast("int"), F.lit(0)))
+    placed = F.when(F.col("is_flex"), every).otherwise(F.array(_chunk_of(lb, ub, width)))
+    return start.withColumn("chunk", F.explode(placed)).filter("chunk is not null")
+
+
+def _whole(parts: list[DataFrame], keys: list[str], window) -> DataFrame:
+    """The networks that ended in the rounds together; chunks put together by a cover."""
+    found = reduce(DataFrame.unionByName, parts)
+    if not window:
+        return found
+    found = minimal_cover(found.drop("chunk").withColumn("_changes", -F.size("legs")), (*keys, "o", "d"), ("thru", "_changes"))
+    return cut(found.drop("_changes"))
+
+
+def reduced(steps: DataFrame, required: DataFrame, until: int | str = 36 * 3600, complete: bool = False, rounds: int = 1000, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
     """Minimal paths between required stops that leave in [0, until).
 
     Unless complete, paths through another required stop are left out, after the
-    cover was taken: they can be put together from the rest.
+    cover was taken: they can be put together from the rest. keys: columns of steps and required that
+    keep networks apart. width: seconds of a work chunk; departures in [0, until)
+    are then closed chunk by chunk, and none outside is looked at; until may then name one of the keys.
     """
-    paths = closure(steps, required, required, rounds).join(required.select(F.col("stop_id").alias("d")).distinct(), "d", "left_semi")
+    window = (0, until, width) if width else None
+    ends = required.select(*keys, F.col("stop_id").alias("d")).distinct()
+    paths = closure(steps, required, required, rounds, keys, window).join(ends.hint("merge"), [*keys, "d"], "left_semi")
     if not complete:
         paths = paths.filter("not thru")
-    return paths.filter(F.col("is_flex") | F.col("dep").between(0, until - 1)).select("o", "d", "dep", "arr", "is_flex", "legs", "thru")
+    return paths.filter(F.col("is_flex") | ((F.col("dep") >= 0) & (F.col("dep") < _limit(until)))).select(*keys, "o", "d", "dep", "arr", "is_flex", "legs", "thru")
+
+
+def profile(steps: DataFrame, origins: DataFrame, lb: int, ub: int, hours: float = 6) -> DataFrame:
+    """(o, d, dep, arr, is_flex, thru, legs): minimal paths from the origins (stop_id) that leave in [lb, ub), by work chunks of so many hours."""
+    return closure(steps, origins, window=(lb, ub, int(hours * 3600)))
 
 
 def built_network(steps: DataFrame, required: DataFrame) -> DataFrame:

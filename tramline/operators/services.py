@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
+from tramline.operators.lineage import cut, small
 from tramline.sources.gtfs import WEEKDAYS
 
 
@@ -18,7 +19,7 @@ def active_on(calendar: DataFrame, dates: DataFrame) -> DataFrame:
     """(date, service_id): services that run on each of the dates."""
     days = F.array(*[F.col(d) for d in (WEEKDAYS[6], *WEEKDAYS[:6])])
     on = (F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date")) & F.element_at(days, C.day_of_week(F.col("date")) + 1)
-    return calendar.join(dates.distinct(), on).select("date", "service_id").distinct()
+    return calendar.join(small(cut(dates.distinct())), on).select("date", "service_id").distinct()
 
 
 def day_services(active: DataFrame, starts: DataFrame, later: int) -> DataFrame:
