@@ -206,7 +206,7 @@ class Aligner(dict):
             self.update({w: older[w] for w in new if w in older})
             self.learn([w for w in new if w not in older])
             for words in split:
-                found = [self[w] for w in words]
+                found = list(map(self.__getitem__, words))
                 yield None if not found or None in found else found
 
 
@@ -266,7 +266,9 @@ def write_aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 figures[k, :3] = np.frombuffer(b"".join([e[1] for e in found]), "<i4").reshape(-1, 3).sum(0)
                 figures[k, 3] = len(links[k]) // 8
                 digests.append(hashlib.sha256(";".join([e[2] for e in found]).encode()).hexdigest())
-            keys, which = np.unique(np.frombuffer(b"".join(links), "<u8") * np.uint64(SPREAD), return_inverse=True)
+            every = np.frombuffer(b"".join(links), "<u8") * np.uint64(SPREAD)
+            keys = np.sort(np.unique(every))  # few beside the links
+            which = np.searchsorted(keys, every)
             held, often = np.unique(np.repeat(np.arange(len(ids)), figures[:, 3]) * max(len(keys), 1) + which, return_counts=True)
             doc, pair = np.divmod(held, max(len(keys), 1))
             docs_with = np.bincount(pair, minlength=len(keys)).astype("<i8")
