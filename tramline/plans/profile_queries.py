@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import re
+from itertools import permutations, product
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tramline.operators.lineage import cut, shared_folder
 from tramline.plans import demo
 from tramline.plans.catalog_queries import _paths
 from tramline.plans.demo import sql
+from tramline.plans.network_queries import closed as keyed_closed
 from tramline.plans.timetable_queries import _REQ, ba_steps, required_of
 
 QUERIES: dict = {}
@@ -191,3 +193,58 @@ ORACLE_SQL["i24_required_edge"] = sql(
     " UNION ALL SELECT o, d, dep, arr, false FROM braw WHERE o NOT IN ('N1', 'N2') AND d NOT IN ('N1', 'N2') UNION ALL SELECT o, d, 0, seconds, true FROM ba_walks WHERE o NOT IN ('N1', 'N2') AND d NOT IN ('N1', 'N2'))",
     *_THROUGH,
 )
+
+
+def renamed(tables: list[tuple[str, str]], mark: str) -> list[tuple[str, str]]:
+    """The common tables of toured() under names of their own, so that tours of several lengths stand in one text."""
+    own = lambda x: re.sub(r"\b(t\d+_m|tours_m)\b", rf"{mark}\1", x)
+    return [(own(name), own(text)) for name, text in tables if (name, text) not in _FULL]
+
+
+def _endings() -> str:
+    """Ways along the last n stops of each of the tours _FIVE, each length evaluated forwards from its first stop."""
+    more, parts = [], []
+    for n in range(2, 6):
+        more += renamed(toured(sorted({x[-n:] for x in _FIVE})), f"x{n}")
+        pairs = ", ".join(f"('{'>'.join(x)}', '{'>'.join(x[-n:])}')" for x in _FIVE)
+        parts.append(f"SELECT v.tour_id, s0 AS o, s{n - 1} AS d, CAST(dep AS INT) AS dep, CAST(arr AS INT) AS arr, f AS is_flex, {n} AS n FROM x{n}t{n - 2}_m t JOIN x{n}tours_m w ON w.tour_id = t.tour_id JOIN (VALUES {pairs}) v(tour_id, ending) ON v.ending = t.tour_id WHERE {_GOOD}")
+    return sql(" UNION ALL ".join(parts), *_FULL, *more)
+
+
+ORACLE_SQL["i15_tour_endings"] = _endings()
+
+
+@query("i15_tour_endings")
+def _(spark, g):
+    return tours.endings(tours.orders(spark, ["N4", "N11", "N17"], "N0", "N23"), _paths(spark, g)).select("tour_id", "o", "d", "dep", "arr", "is_flex", "n")
+
+
+#: Stations of four groups; a tour visits one of each.
+GROUPS = {"N0": "A", "N3": "A", "N4": "B", "N11": "B", "N17": "C", "N23": "D"}
+_CHOICES = [x for order in permutations("ABCD") for x in product(*[[s for s, rep in GROUPS.items() if rep == r] for r in order])]
+_CHOSEN_FULL = [*closed(list(GROUPS), list(GROUPS)), ("gfull_m", f"SELECT o, d, dep, arr, f, n FROM {_P} WHERE d IN {listed(GROUPS)} AND (f OR dep BETWEEN 0 AND {36 * 3600 - 1})")]
+_CHOSEN = [(name, text.replace("full_m", "gfull_m")) for name, text in renamed(toured(_CHOICES), "g")]
+
+
+@query("i18_group_tours", f"SELECT DISTINCT CAST(dep AS INT) AS dep, CAST(arr AS INT) AS arr, CAST(arr - dep AS INT) AS duration FROM (SELECT *, min(arr - dep) OVER () AS least FROM gt2_m WHERE {_GOOD}) WHERE arr - dep = least", *_CHOSEN_FULL, *_CHOSEN)
+def _(spark, g):
+    """The shortest times to visit one station of each of four groups, over all orders and choices."""
+    groups = spark.createDataFrame(list(GROUPS.items()), "stop_id string, rep string")
+    paths = profiles.reduced(ba_steps(g), groups.select("stop_id"), complete=True)
+    return tours.shortest_group_tour(groups, paths).select("dep", "arr", "duration").distinct()
+
+
+_LB, _UB = 6 * 3600, 17 * 3600
+_WINDOW = [*_BASE, ("wr_m", "SELECT 'x' AS k, o, d, dep, arr FROM ba_rides"), ("ww_m", "SELECT 'x' AS k, o, d, seconds FROM ba_walks"), ("ws_m", f"SELECT 'x' AS k, s AS stop_id FROM (VALUES {', '.join(f'({x!r})' for x in _REQ)}) v(s)"), ("wb_m", f"SELECT 'x' AS k, {_LB} AS lb, {_UB} AS ub")]
+
+
+@query("i5_profile_window", f"SELECT {_TIMES} FROM np{ROUNDS}_m", *_WINDOW, *keyed_closed("wr_m", "ww_m", "ws_m", None, "wb_m"))
+def _(spark, g):
+    """Profiles from five stations over 06:00 to 17:00, closed by chunks of three hours."""
+    return profiles.profile(ba_steps(g), required_of(spark), _LB, _UB, 3).select("o", "d", "dep", "arr", "is_flex")
+
+
+@query("i26_reduced_by_chunks", f"SELECT {_TIMES} FROM np{ROUNDS}_m WHERE NOT thru AND d IN {listed(_REQ)}", *[x for x in _WINDOW if x[0] != "wb_m"], ("wb_m", f"SELECT 'x' AS k, 0 AS lb, {36 * 3600} AS ub"), *keyed_closed("wr_m", "ww_m", "ws_m", "ws_m", "wb_m"))
+def _(spark, g):
+    """The reduced network, each six hours of departures closed as a chunk of its own."""
+    return profiles.reduced(ba_steps(g), required_of(spark), width=6 * 3600).select("o", "d", "dep", "arr", "is_flex")
