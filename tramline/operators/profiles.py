@@ -54,6 +54,67 @@ def earliest_arrivals(queries: DataFrame, steps: DataFrame, rounds: int = 1000)
     raise RuntimeError(f"arrivals still improve after {rounds} rounds")
 
 
+def arrivals_to(queries: DataFrame, targets: DataFrame, steps: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(query_id, stop, at, seen): the earliest arrival at each destination of a query (query_id, set_id, stop, at).
+
+    targets (set_id, stop_id): the sets of destinations. Of equally early ways the one that has come by most of
+    its destinations stays; seen is their number, the last one included. Lower bounds
+    prune the front: least distances to each set over the reversed relaxed graph. A stop from
+    which no destination can be reached goes; so does an arrival which, with that distance, is later than
+    the query's latest arrival at its destinations, once all of them are reached.
+    """
+    from tramline.operators.graph import distances, relaxed_edges, reversed_edges, set_distances
+
+    steps, targets = cut(steps.select("o", "d", "dep", "arr", "trip_id", "is_flex")), cut(targets.select("set_id", "stop_id").distinct())
+    rides = cut(minimal_cover(steps.filter("not is_flex")).select(F.col("o").alias("stop"), "d", "dep", "arr"))
+    walks = cut(steps.filter("is_flex").groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.col("arr") - F.col("dep")).alias("w")))
+    ends = cut(rides.select("stop", "d").distinct())
+    apart = distances(reversed_edges(relaxed_edges(steps)), targets.select("stop_id"))
+    bounds = small(cut(set_distances(apart, targets).withColumnRenamed("dist", "_bound")))
+    size = small(targets.groupBy("set_id").agg(F.count("*").alias("_size")))
+    on = small(targets.select("set_id", F.col("stop_id").alias("stop"), F.lit(True).alias("_on")))
+    label = F.min(F.struct("at", (-F.size("via")).alias("less"), "via")).alias("x")
+    least = lambda df: df.groupBy("query_id", "set_id", "stop").agg(label).select("query_id", "set_id", "stop", "x.at", "x.via")
+    # Distinct destinations on the way; going round a walk of no length adds none.
+    marked = lambda df: df.join(on, ["set_id", "stop"], "left").withColumn("via", F.when(F.col("_on"), F.array_sort(F.array_union("via", F.array("stop")))).otherwise(F.col("via"))).drop("_on")
+    start = queries.select("query_id", "set_id", "stop", "at", F.array().cast("array<string>").alias("via"))
+    best = cut(least(marked(start)))
+    front = best
+    for _ in range(rounds):
+        reached = best.join(on, ["set_id", "stop"]).groupBy("query_id", "set_id").agg(F.count("*").alias("_n"), F.max("at").alias("_last")).join(size, "set_id")
+        known = cut(reached.filter("_n = _size").select("query_id", "_last"))
+        front = front.join(bounds, ["set_id", "stop"]).join(known.hint("merge"), "query_id", "left").filter("_last is null or at + _bound <= _last").drop("_bound", "_last")
+        front = cut(front)
+        if front.isEmpty():
+            return best.join(on, ["set_id", "stop"]).select("query_id", "stop", "at", F.size("via").alias("seen"))
+        by_ride = asof_next(front.join(ends.hint("merge"), "stop"), rides, ["stop", "d"], "at", "dep", ["arr"]).filter("next_dep is not null").select("query_id", "set_id", F.col("d").alias("stop"), F.col("next_arr").alias("at"), "via")
+        on_foot = front.join(walks.hint("merge"), "stop").select("query_id", "set_id", F.col("d").alias("stop"), (F.col("at") + F.col("w")).alias("at"), "via")
+        found = least(marked(by_ride.unionByName(on_foot)))
+        old = best.select("query_id", "stop", F.struct(F.col("at"), (-F.size("via")).alias("less")).alias("old"))
+        front = cut(found.join(old, ["query_id", "stop"], "left").filter(F.col("old").isNull() | (F.struct(F.col("at"), (-F.size("via")).alias("less")) < F.col("old"))).drop("old"))
+        if front.isEmpty():
+            continue
+        best = cut(least(best.unionByName(front)))
+    raise RuntimeError(f"arrivals still improve after {rounds} rounds")
+
+
+def arrivals_from_profiles(queries: DataFrame, paths: DataFrame) -> DataFrame:
+    """(query_id, stop, at): earliest arrivals of queries (query_id, stop, at) from closed profiles, by one look-up instead of rounds.
+
+    paths (o, d, dep, arr, is_flex): profiles of every origin asked for. A query meets each stop's next
+    departure by one as-of join in pieces of the day, its walks by a join, and its own stop at once.
+    """
+    from tramline.operators.asof import SPAN
+
+    rides = cut(paths.filter("not is_flex").select(F.col("o").alias("stop"), "d", "dep", "arr"))
+    walks = paths.filter("is_flex").groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.col("arr") - F.col("dep")).alias("w"))
+    queries = cut(queries.select("query_id", "stop", "at"))
+    asked = queries.join(rides.select("stop", "d").distinct().hint("merge"), "stop")
+    by_ride = asof_next(asked, rides, ["stop", "d"], "at", "dep", ["arr"], span=SPAN).filter("next_dep is not null").select("query_id", F.col("d").alias("stop"), F.col("next_arr").alias("at"))
+    on_foot = queries.join(walks.hint("merge"), "stop").select("query_id", F.col("d").alias("stop"), (F.col("at") + F.col("w")).alias("at"))
+    return by_ride.unionByName(on_foot).unionByName(queries).groupBy("query_id", "stop").agg(F.min("at").alias("at"))
+
+
 def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFrame | None = None, rounds: int = 1000, keys: tuple[str, ...] = (), window: tuple[int, int | str, int] | None = None) -> DataFrame:
     """(keys, o, d, dep, arr, is_flex, thru, legs): all minimal departures between stops over any number of changes.
 

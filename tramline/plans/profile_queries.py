@@ -13,7 +13,7 @@ from tramline.plans import demo
 from tramline.plans.catalog_queries import _paths
 from tramline.plans.demo import sql
 from tramline.plans.network_queries import closed as keyed_closed
-from tramline.plans.timetable_queries import _REQ, ba_steps, required_of
+from tramline.plans.timetable_queries import _REQ, asked_once, ba_steps, every_question, required_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -248,3 +248,39 @@ def _(spark, g):
 def _(spark, g):
     """The reduced network, each six hours of departures closed as a chunk of its own."""
     return profiles.reduced(ba_steps(g), required_of(spark), width=6 * 3600).select("o", "d", "dep", "arr", "is_flex")
+
+
+# --- earliest arrivals of every order
+
+#: Profiles from every station that the operator serves, then one look-up for each distinct question.
+_ALL = [*_BASE, *[x for x in _WINDOW if x[0] in ("wr_m", "ww_m")], ("ws_m", "SELECT 'x' AS k, stop_id FROM ba_roots"), ("wb_m", "SELECT 'x' AS k, -1000000 AS lb, 1000000 AS ub"), *keyed_closed("wr_m", "ww_m", "ws_m", None, "wb_m")]
+_ARRIVE = [
+    *_ALL,
+    ("askall", "SELECT o_orderkey AS query_id, o_custkey % 3 AS set_id, concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 90000 AS INT) AS at_s FROM orders"),
+    ("askone_m", "SELECT DISTINCT stop, at_s FROM askall"),
+    ("askend", f"SELECT a.stop, a.at_s, e.d AS xd FROM askone_m a JOIN (SELECT DISTINCT o, d FROM np{ROUNDS}_m WHERE NOT f) e ON e.o = a.stop"),
+    ("arrive_m", f"SELECT stop, at_s, d, CAST(min(arr) AS INT) AS arr FROM (SELECT a.stop, a.at_s, a.xd AS d, b.arr FROM askend a ASOF JOIN (SELECT * FROM np{ROUNDS}_m WHERE NOT f) b ON a.stop = b.o AND a.xd = b.d AND a.at_s <= b.dep UNION ALL SELECT stop, at_s, w.d, at_s + w.arr - w.dep FROM askone_m JOIN np{ROUNDS}_m w ON w.o = stop AND w.f UNION ALL SELECT stop, at_s, stop, at_s FROM askone_m) GROUP BY ALL"),
+]
+_ARRIVALS = "SELECT query_id, d AS stop, arr AS at FROM askall JOIN arrive_m USING (stop, at_s)"
+ORACLE_SQL["i4_earliest_arrivals"] = sql(_ARRIVALS, *_ARRIVE)
+
+
+@query("i4_from_profiles", _ARRIVALS, *_ARRIVE)
+def _(spark, g):
+    """Earliest arrivals of every order, looked up in the closed profiles of all stations."""
+    paths = profiles.closure(ba_steps(g))
+    return asked_once(every_question(spark), lambda asked: profiles.arrivals_from_profiles(asked, paths))
+
+
+#: Sets of destinations; an order asks for the set of its customer.
+TARGETS = {0: ["N3", "N7"], 1: ["N11", "N17", "N23"], 2: ["N0"]}
+
+
+@query("i4_arrivals_at_destinations", f"SELECT query_id, d AS stop, arr AS at FROM askall JOIN arrive_m USING (stop, at_s) WHERE {' OR '.join(f'(set_id = {k} AND d IN {listed(x)})' for k, x in TARGETS.items())}", *_ARRIVE)
+def _(spark, g):
+    """Every order's earliest arrivals at the destinations of its set, pruned by distances to the set."""
+    targets = spark.createDataFrame([(k, s) for k, x in TARGETS.items() for s in x], "set_id int, stop_id string")
+    o = spark.table("orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 3).cast("int").alias("set_id"))
+    asked = cut(every_question(spark).join(o.hint("merge"), "query_id").withColumn("pair", F.concat_ws("@", "stop", "at", "set_id")))
+    found = profiles.arrivals_to(asked.select(F.col("pair").alias("query_id"), "set_id", "stop", "at").distinct(), targets, ba_steps(g))
+    return asked.select("query_id", "pair").join(found.withColumnRenamed("query_id", "pair").hint("merge"), "pair").select("query_id", "stop", "at")
