@@ -172,3 +172,40 @@ def required_edge(steps: DataFrame, a: str, b: str) -> DataFrame:
     out = steps.filter((F.col("o") == b) & (F.col("d") != a)).withColumn("o", F.lit(name)).select(*columns)
     rest = steps.filter(~F.col("o").isin(a, b) & ~F.col("d").isin(a, b)).select(*columns)
     return rest.unionByName(through).unionByName(out)
+
+
+def edited(steps: DataFrame, edits: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(steps, parts) after a list of edits ("forbid" or "require", a, b), one after the other.
+
+    Edits name plain stops. Once a -> b is compulsory, what is reached at a and left from b is one
+    stop, so a later edit into a or out of b means that one; edges out of a or into b are gone, so
+    forbidding one changes nothing and requiring one raises. parts (stop, place, part) lists the plain
+    stops of the composite stops that are left.
+    """
+    from tramline.operators.lineage import cut
+    from tramline.operators.paths import expanded
+
+    spark = steps.sparkSession
+    # The node that is reached at, or left from, a plain stop, and the plain stops at a node's ends.
+    reached, left, ends = {}, {}, {}
+    composites = []
+    for kind, a, b in edits:
+        o, d = left.get(a, a), reached.get(b, b)
+        exists = o is not None and d is not None and o != d
+        if kind == "forbid":
+            if exists:
+                steps = cut(without_edges(steps, spark.createDataFrame([(o, d)], "o string, d string").hint("broadcast")))
+        elif kind == "require":
+            if not exists:
+                raise ValueError(f"the edge {a} -> {b} is gone, it can't be required")
+            steps = cut(required_edge(steps, o, d))
+            name, begin, end = f"{o}+{d}", ends.get(o, (o, o))[0], ends.get(d, (d, d))[1]
+            ends[name] = begin, end
+            composites.append((name, o, d))
+            left[a] = reached[b] = None
+            reached[begin] = left[end] = name
+        else:
+            raise ValueError(f"an edit forbids or requires, not {kind!r}")
+    inner = {x for _, a, b in composites for x in (a, b)}
+    parts = expanded(spark.createDataFrame(composites, "stop string, a string, b string"))
+    return steps, parts.filter(~F.col("stop").isin(*inner)) if inner else parts

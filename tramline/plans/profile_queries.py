@@ -7,7 +7,7 @@ from itertools import permutations, product
 
 from pyspark.sql import functions as F
 
-from tramline.operators import profiles, tours
+from tramline.operators import graph, profiles, tours
 from tramline.operators.lineage import cut, shared_folder
 from tramline.plans import demo
 from tramline.plans.catalog_queries import _paths
@@ -252,31 +252,33 @@ def _(spark, g):
 
 # --- earliest arrivals of every order
 
-#: Profiles from every station that the operator serves, then one look-up for each distinct question.
-_ALL = [*_BASE, *[x for x in _WINDOW if x[0] in ("wr_m", "ww_m")], ("ws_m", "SELECT 'x' AS k, stop_id FROM ba_roots"), ("wb_m", "SELECT 'x' AS k, -1000000 AS lb, 1000000 AS ub"), *keyed_closed("wr_m", "ww_m", "ws_m", None, "wb_m")]
-_ARRIVE = [
-    *_ALL,
-    ("askall", "SELECT o_orderkey AS query_id, o_custkey % 3 AS set_id, concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 90000 AS INT) AS at_s FROM orders"),
-    ("askone_m", "SELECT DISTINCT stop, at_s FROM askall"),
-    ("askend", f"SELECT a.stop, a.at_s, e.d AS xd FROM askone_m a JOIN (SELECT DISTINCT o, d FROM np{ROUNDS}_m WHERE NOT f) e ON e.o = a.stop"),
-    ("arrive_m", f"SELECT stop, at_s, d, CAST(min(arr) AS INT) AS arr FROM (SELECT a.stop, a.at_s, a.xd AS d, b.arr FROM askend a ASOF JOIN (SELECT * FROM np{ROUNDS}_m WHERE NOT f) b ON a.stop = b.o AND a.xd = b.d AND a.at_s <= b.dep UNION ALL SELECT stop, at_s, w.d, at_s + w.arr - w.dep FROM askone_m JOIN np{ROUNDS}_m w ON w.o = stop AND w.f UNION ALL SELECT stop, at_s, stop, at_s FROM askone_m) GROUP BY ALL"),
+#: Sets of destinations; an order asks for the set of its customer.
+TARGETS = {0: ["N3", "N7"], 1: ["N11", "N17", "N23"], 2: ["N0"]}
+#: Profiles to the destinations: those from them with time and direction turned round.
+_TO = [
+    *_BASE,
+    ("wr_m", "SELECT 'x' AS k, d AS o, o AS d, -arr AS dep, -dep AS arr FROM ba_rides"),
+    ("ww_m", "SELECT 'x' AS k, d AS o, o AS d, seconds FROM ba_walks"),
+    ("ws_m", f"SELECT 'x' AS k, s AS stop_id FROM (VALUES {', '.join(f'({x!r})' for y in TARGETS.values() for x in y)}) v(s)"),
+    ("wb_m", "SELECT 'x' AS k, -1000000 AS lb, 1000000 AS ub"),
+    *keyed_closed("wr_m", "ww_m", "ws_m", None, "wb_m"),
+    ("to_m", f"SELECT d AS o, o AS d, -arr AS dep, -dep AS arr FROM np{ROUNDS}_m WHERE NOT f"),
+    ("walk_m", f"SELECT d AS o, o AS d, arr - dep AS w FROM np{ROUNDS}_m WHERE f"),
+    ("askall", "SELECT o_orderkey AS query_id, CAST(o_custkey % 3 AS INT) AS set_id, concat('N', CAST(o_custkey % 25 AS STRING)) AS stop, CAST((o_orderkey * 31) % 90000 AS INT) AS at_s FROM orders"),
+    ("wanted", f"SELECT * FROM (VALUES {', '.join(f'({k}, {x!r})' for k, y in TARGETS.items() for x in y)}) v(set_id, dest)"),
+    ("askone_m", "SELECT DISTINCT stop, at_s, dest FROM askall JOIN wanted USING (set_id)"),
+    ("arrive_m", "SELECT stop, at_s, dest, CAST(min(arr) AS INT) AS arr FROM (SELECT a.stop, a.at_s, a.dest, b.arr FROM askone_m a ASOF JOIN to_m b ON a.stop = b.o AND a.dest = b.d AND a.at_s <= b.dep UNION ALL SELECT stop, at_s, dest, at_s + w FROM askone_m JOIN walk_m ON o = stop AND d = dest UNION ALL SELECT stop, at_s, dest, at_s FROM askone_m WHERE stop = dest) GROUP BY ALL"),
 ]
-_ARRIVALS = "SELECT query_id, d AS stop, arr AS at FROM askall JOIN arrive_m USING (stop, at_s)"
-ORACLE_SQL["i4_earliest_arrivals"] = sql(_ARRIVALS, *_ARRIVE)
 
 
-@query("i4_from_profiles", _ARRIVALS, *_ARRIVE)
+@query("i4_from_profiles")
 def _(spark, g):
     """Earliest arrivals of every order, looked up in the closed profiles of all stations."""
     paths = profiles.closure(ba_steps(g))
     return asked_once(every_question(spark), lambda asked: profiles.arrivals_from_profiles(asked, paths))
 
 
-#: Sets of destinations; an order asks for the set of its customer.
-TARGETS = {0: ["N3", "N7"], 1: ["N11", "N17", "N23"], 2: ["N0"]}
-
-
-@query("i4_arrivals_at_destinations", f"SELECT query_id, d AS stop, arr AS at FROM askall JOIN arrive_m USING (stop, at_s) WHERE {' OR '.join(f'(set_id = {k} AND d IN {listed(x)})' for k, x in TARGETS.items())}", *_ARRIVE)
+@query("i4_arrivals_at_destinations", "SELECT query_id, dest AS stop, arr AS at FROM askall JOIN wanted USING (set_id) JOIN arrive_m USING (stop, at_s, dest)", *_TO)
 def _(spark, g):
     """Every order's earliest arrivals at the destinations of its set, pruned by distances to the set."""
     targets = spark.createDataFrame([(k, s) for k, x in TARGETS.items() for s in x], "set_id int, stop_id string")
@@ -284,3 +286,10 @@ def _(spark, g):
     asked = cut(every_question(spark).join(o.hint("merge"), "query_id").withColumn("pair", F.concat_ws("@", "stop", "at", "set_id")))
     found = profiles.arrivals_to(asked.select(F.col("pair").alias("query_id"), "set_id", "stop", "at").distinct(), targets, ba_steps(g))
     return asked.select("query_id", "pair").join(found.withColumnRenamed("query_id", "pair").hint("merge"), "pair").select("query_id", "stop", "at")
+
+
+@query("i24_edit_list")
+def _(spark, g):
+    """Four edits in a row: the composite stop of the second is part of that of the third."""
+    found, _ = graph.edited(ba_steps(g), [("forbid", "N3", "N4"), ("require", "N1", "N2"), ("require", "N2", "N7"), ("forbid", "N4", "N1")])
+    return found.select("o", "d", "dep", "arr", "is_flex")
