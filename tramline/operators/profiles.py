@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFr
 
     origins (keys, stop_id): only profiles from there. required (keys, stop_id): thru tells
     whether a path passes such a stop on its way; among equal paths one that does
-    stays. Each round continues only paths that are new, one step further, and takes
+    stays, then one known longer, then the last by its trips. Each round continues only paths that are new, one step further, and takes
     the minimal cover with what is known. legs holds the steps of the path.
 
     keys: columns of steps that keep networks apart, which are closed in the same rounds; a
@@ -163,8 +164,9 @@ def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFr
             more = more.join(stops, via, "left").withColumn("thru", F.col("thru") | F.coalesce("req", F.lit(False)))
         more = more.select(*apart, "o", F.col("to").alias("d"), "dep", "arr", "is_flex", F.concat("legs", F.array("leg")).alias("legs"), "thru")
         both = now.select(*shape, F.lit(0).alias("old")).unionByName(more.select(*shape, F.lit(1).alias("old")))
-        # Equal paths: one through a required stop stays, else the one known longest.
-        both = minimal_cover(both.withColumn("_known", -F.col("old")).withColumn("_changes", -F.size("legs")), (*apart, "o", "d"), ("thru", "_known", "_changes"))
+        # Equal paths: one through a required stop stays, else the one known longest, else the last by its trips.
+        both = both.withColumn("_known", -F.col("old")).withColumn("_changes", -F.size("legs")).withColumn("_trips", F.transform("legs", lambda x: x["trip_id"]))
+        both = minimal_cover(both, (*apart, "o", "d"), ("thru", "_known", "_changes", "_trips"))
         after = cut(both.select(*shape, "old"))
         new = after.filter("old = 1").select(*shape)
         now = after.select(*shape)
@@ -203,8 +205,8 @@ def _whole(parts: list[DataFrame], keys: list[str], window) -> DataFrame:
     found = reduce(DataFrame.unionByName, parts)
     if not window:
         return found
-    found = minimal_cover(found.drop("chunk").withColumn("_changes", -F.size("legs")), (*keys, "o", "d"), ("thru", "_changes"))
-    return cut(found.drop("_changes"))
+    found = found.drop("chunk").withColumn("_changes", -F.size("legs")).withColumn("_trips", F.transform("legs", lambda x: x["trip_id"]))
+    return cut(minimal_cover(found, (*keys, "o", "d"), ("thru", "_changes", "_trips")).drop("_changes", "_trips"))
 
 
 def reduced(steps: DataFrame, required: DataFrame, until: int | str = 36 * 3600, complete: bool = False, rounds: int = 1000, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
@@ -240,6 +242,50 @@ def built_network(steps: DataFrame, required: DataFrame) -> DataFrame:
     return edges.join(name("o"), "o").join(name("d"), "d").select("o_id", "d_id", "dep", "arr", "is_flex")
 
 
+class Network(NamedTuple):
+    """A network to search in, with small numbers for its stops and partitions.
+
+    steps (o_id, o_part, d_id, d_part, dep, arr, is_flex, legs); stops (id, stop_id, role), role being
+    start, end, required or other; partitions (part, route). A step's partitions are those of its first and last ride;
+    walks and the steps from the start and to the end have none.
+    """
+
+    steps: DataFrame
+    stops: DataFrame
+    partitions: DataFrame
+
+
+def routed_network(steps: DataFrame, required: DataFrame, routes: DataFrame, until: int = 36 * 3600, optimize: bool = False, width: int | None = None) -> Network:
+    """The reduced network between required stops (stop_id), its rides marked with the routes (trip_id, route) they belong to.
+
+    optimize: paths are split at stops while that lowers the number of edges; the parts are marked by their own
+    rides. A trip that routes lacks is a route of its own. Stops are numbered after the reduction, so
+    only those on it count; the start and the end come after them and lead to the required ones among them.
+    """
+    from tramline.operators.feed import dense_ids
+    from tramline.operators.steps import boundary
+
+    paths = reduced(steps, required, until, width=width)
+    paths = (fewer_edges(paths) if optimize else paths).select("o", "d", "dep", "arr", "is_flex", "legs")
+    rides = F.filter("legs", lambda x: ~x["is_flex"])
+    paths = cut(paths.withColumn("_first", F.get(rides, F.lit(0))["trip_id"]).withColumn("_last", F.get(rides, F.size(rides) - 1)["trip_id"]))
+    used = paths.select(F.explode(F.array("_first", "_last")).alias("trip_id")).filter("trip_id is not null").distinct()
+    used = cut(used.join(routes.select("trip_id", "route").hint("merge"), "trip_id", "left").select("trip_id", F.coalesce("route", "trip_id").alias("route")))
+    partitions = cut(dense_ids(used, "route", "part"))
+    numbered = cut(used.join(small(partitions), "route").select("trip_id", "part"))
+    on = cut(dense_ids(paths.select(F.explode(F.array("o", "d")).alias("stop_id")), "stop_id"))
+    needed = required.select("stop_id", F.lit("required").alias("role")).distinct()
+    inner = on.join(small(cut(needed)), "stop_id", "left").select("id", "stop_id", F.coalesce("role", F.lit("other")).alias("role"))
+    ends = on.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).select(F.inline(F.array(*[F.struct((F.col("n") + k).cast(on.schema["id"].dataType).alias("id"), F.lit(role.upper()).alias("stop_id"), F.lit(role).alias("role")) for k, role in ((1, "start"), (2, "end"))])))
+    stops = cut(inner.unionByName(ends))
+    none = F.lit(None).cast("array<struct<o:string,d:string,dep:int,arr:int,trip_id:string,is_flex:boolean>>")
+    outer = boundary(stops.filter("role = 'required'")).select("o", "d", "dep", "arr", "is_flex", none.alias("legs"), F.lit(None).cast("string").alias("_first"), F.lit(None).cast("string").alias("_last"))
+    name = lambda k: small(stops.select(F.col("stop_id").alias(k), F.col("id").alias(f"{k}_id")))
+    part = lambda k, trip: small(numbered.select(F.col("trip_id").alias(trip), F.col("part").alias(f"{k}_part")))
+    every = paths.unionByName(outer).join(name("o"), "o").join(name("d"), "d").join(part("o", "_first"), "_first", "left").join(part("d", "_last"), "_last", "left")
+    return Network(every.select("o_id", "o_part", "d_id", "d_part", "dep", "arr", "is_flex", "legs"), stops, partitions)
+
+
 def stop_goodness(paths: DataFrame) -> DataFrame:
     """(stop, goodness): pairs of ends whose paths pass the stop, less the distinct origins and destinations of those."""
     on = paths.select("o", "d", F.explode(F.transform("legs", lambda x: x["d"])).alias("stop")).unionByName(paths.select("o", "d", F.col("o").alias("stop"))).distinct()

@@ -7,13 +7,13 @@ from itertools import permutations, product
 
 from pyspark.sql import functions as F
 
-from tramline.operators import graph, profiles, tours
-from tramline.operators.lineage import cut, shared_folder
+from tramline.operators import feed, graph, profile_store, profiles, tours
+from tramline.operators.lineage import cut, shared_folder, small
 from tramline.plans import demo
 from tramline.plans.catalog_queries import _paths
 from tramline.plans.demo import sql
 from tramline.plans.network_queries import closed as keyed_closed
-from tramline.plans.timetable_queries import _REQ, asked_once, ba_steps, every_question, required_of
+from tramline.plans.timetable_queries import _REQ, asked_once, ba_steps, day_of, every_question, required_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,6 +133,79 @@ def _(spark, g):
     return spark.read.parquet(folder).join(pairs.hint("merge"), ["o", "d"], "left_semi")
 
 
+def asked_pairs(spark, table, o, d):
+    """(o, d): the pairs of required stations that the rows of a table name."""
+    name = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    rows = spark.table(table).select(name(F.col(o)).alias("o"), name(F.col(d) % 25).alias("d")).distinct()
+    return rows.filter(F.col("o").isin(_REQ) & F.col("d").isin(_REQ))
+
+
+_ASKED = "SELECT '{0}' AS asked, {1} FROM full_m WHERE (o, d) IN (SELECT concat('N', CAST({2} AS STRING)), concat('N', CAST({3} % 25 AS STRING)) FROM {0})"
+
+
+@query("i14_completed_profiles", _ASKED.format("supplier", _TIMES, "s_nationkey", "s_suppkey") + " UNION ALL " + _ASKED.format("customer", _TIMES, "c_nationkey", "c_custkey"), *_FULL)
+def _(spark, g):
+    """Suppliers, then customers ask one store for profiles; the second time only origins that are new are closed."""
+    folder, steps, found = shared_folder(spark, "profile-store"), cut(ba_steps(g)), []
+    for table, o, d in (("supplier", "s_nationkey", "s_suppkey"), ("customer", "c_nationkey", "c_custkey")):
+        got = profile_store.kept_profiles(steps, asked_pairs(spark, table, o, d), folder)
+        found.append(got.filter(F.col("is_flex") | F.col("dep").between(0, 36 * 3600 - 1)).select(F.lit(table).alias("asked"), "o", "d", "dep", "arr", "is_flex"))
+    return found[0].unionByName(found[1])
+
+
+def closed_by_trips(origins, required, rounds: int = ROUNDS) -> list[tuple[str, str]]:
+    """closed() with t, the trips of a path's legs; of paths that are equal otherwise the last by t stays. Its tables are q0_m, q1_m, ..."""
+    thru = lambda via: f"{via} IN {listed(required)}"
+    walked = lambda o, d: f"[concat('walk:', {o}, ':', {d})]"
+    out = [
+        *_BASE,
+        ("qcov_m", "SELECT o, d, dep, arr, trip_id FROM bcov0 WHERE (later IS NULL OR arr < later) AND (walk IS NULL OR arr - dep < walk)"),
+        ("qedge_m", f"SELECT o, d, dep, arr, false AS f, [trip_id] AS t FROM qcov_m UNION ALL SELECT o, d, 0, seconds, true, {walked('o', 'd')} FROM ba_walks"),
+        ("q0_m", f"SELECT o, d, dep, arr, f, false AS thru, 1 AS n, t FROM qedge_m WHERE o IN {listed(origins)}"),
+    ]
+    for i in range(1, rounds + 1):
+        p = f"q{i - 1}_m"
+        asked = f"SELECT p.o, p.d AS via, e.d AS xd, p.dep, p.arr AS at_s, thru, n, t FROM {p} p JOIN bends_m e ON e.o = p.d WHERE NOT p.f AND e.d <> p.o"
+        every = (
+            f"SELECT *, 0 AS fresh FROM {p} UNION ALL SELECT q.o, q.xd, q.dep, b.arr, false, q.thru OR {thru('q.via')}, q.n + 1, list_append(q.t, b.trip_id), 1 FROM ({asked}) q ASOF JOIN qcov_m b ON q.via = b.o AND q.xd = b.d AND q.at_s <= b.dep"
+            f" UNION ALL SELECT p.o, e.d, CASE WHEN e.f THEN 0 ELSE e.dep - (p.arr - p.dep) END, CASE WHEN e.f THEN p.arr - p.dep + e.arr - e.dep ELSE e.arr END, e.f, thru OR {thru('p.d')}, n + 1, list_concat(p.t, e.t), 1 FROM {p} p JOIN qedge_m e ON e.o = p.d WHERE p.f AND e.d <> p.o"
+            f" UNION ALL SELECT p.o, w.d, p.dep, p.arr + w.seconds, false, thru OR {thru('p.d')}, n + 1, list_concat(p.t, {walked('w.o', 'w.d')}), 1 FROM {p} p JOIN ba_walks w ON w.o = p.d WHERE NOT p.f AND w.d <> p.o"
+        )
+        seen = (
+            "SELECT *, min(CASE WHEN NOT f THEN arr END) OVER (PARTITION BY o, d ORDER BY dep, arr DESC, thru, -fresh, -n, t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, "
+            f"min(CASE WHEN f THEN arr - dep END) OVER (PARTITION BY o, d) AS walk, row_number() OVER (PARTITION BY o, d ORDER BY f DESC, arr - dep, thru DESC, fresh, n, t DESC) AS r FROM ({every})"
+        )
+        out.append((f"q{i}_m", f"SELECT o, d, dep, arr, f, thru, n, t FROM ({seen}) WHERE (NOT f AND (later IS NULL OR arr < later) AND (walk IS NULL OR arr - dep < walk)) OR (f AND r = 1)"))
+    return out
+
+
+_ROUTED = [
+    *closed_by_trips(_REQ, _REQ),
+    ("descr", "SELECT t.trip_id, CASE WHEN r.route_short_name IS NOT NULL AND d.direction IS NOT NULL THEN concat(r.route_short_name, ' ', d.direction) ELSE t.trip_id END AS route FROM day_trips t LEFT JOIN g_routes r USING (route_id) LEFT JOIN dirs d USING (route_id, direction_id)"),
+    ("rnet_m", f"SELECT o, d, dep, arr, f, [x for x in t if NOT starts_with(x, 'walk:')] AS rode FROM q{ROUNDS}_m WHERE {_IN} AND NOT thru"),
+    ("rmark_m", "SELECT n.* EXCLUDE (rode), a.route AS o_route, b.route AS d_route FROM rnet_m n LEFT JOIN descr a ON a.trip_id = rode[1] LEFT JOIN descr b ON b.trip_id = rode[-1]"),
+    ("rpart_m", "SELECT route, CAST(row_number() OVER (ORDER BY route) AS INT) AS part FROM (SELECT o_route AS route FROM rmark_m UNION SELECT d_route FROM rmark_m) WHERE route IS NOT NULL"),
+    ("rstop0_m", "SELECT stop, CAST(row_number() OVER (ORDER BY stop) AS INT) AS id FROM (SELECT o AS stop FROM rmark_m UNION SELECT d FROM rmark_m)"),
+    ("rstop_m", "SELECT stop, id FROM rstop0_m UNION ALL SELECT 'START', CAST(count(*) + 1 AS INT) FROM rstop0_m UNION ALL SELECT 'END', CAST(count(*) + 2 AS INT) FROM rstop0_m"),
+    ("redge_m", "SELECT * FROM rmark_m UNION ALL SELECT 'START', stop, 0, 0, true, NULL, NULL FROM rstop0_m UNION ALL SELECT stop, 'END', 0, 0, true, NULL, NULL FROM rstop0_m"),
+]
+
+
+@query(
+    "i20_routed_network",
+    "SELECT a.id AS o_id, o, x.part AS o_part, o_route, b.id AS d_id, d, y.part AS d_part, d_route, CAST(dep AS INT) AS dep, CAST(arr AS INT) AS arr, f AS is_flex FROM redge_m JOIN rstop_m a ON a.stop = o JOIN rstop_m b ON b.stop = d LEFT JOIN rpart_m x ON x.route = o_route LEFT JOIN rpart_m y ON y.route = d_route",
+    *_ROUTED,
+)
+def _(spark, g):
+    """The network with the partitions of its rides, by route, and numbers for stops and partitions resolved again."""
+    routes = feed.trip_descriptions(feed.by_prefixes(day_of(g), ["BA:"]).with_(directions=g.directions)).withColumnRenamed("description", "route")
+    net = profiles.routed_network(ba_steps(g), required_of(spark), routes)
+    stop = lambda k: small(net.stops.select(F.col("id").alias(f"{k}_id"), F.col("stop_id").alias(k)))
+    part = lambda k: small(net.partitions.select(F.col("part").alias(f"{k}_part"), F.col("route").alias(f"{k}_route")))
+    named = net.steps.join(stop("o"), "o_id").join(stop("d"), "d_id").join(part("o"), "o_part", "left").join(part("d"), "d_part", "left")
+    return named.select("o_id", "o", "o_part", "o_route", "d_id", "d", "d_part", "d_route", "dep", "arr", "is_flex")
+
+
 _NET = [*_FROM_REQ, ("net_m", f"SELECT o, d, dep, arr, f FROM {_P} WHERE {_IN} AND NOT thru UNION ALL SELECT 'START', s, 0, 0, true FROM (VALUES {', '.join(f'({x!r})' for x in _REQ)}) v(s) UNION ALL SELECT s, 'END', 0, 0, true FROM (VALUES {', '.join(f'({x!r})' for x in _REQ)}) v(s)"), ("netid", "SELECT stop, CAST(row_number() OVER (ORDER BY stop) AS INT) AS id FROM (SELECT o AS stop FROM net_m UNION SELECT d FROM net_m)")]
 
 
