@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tramline.llm import quality_rules
 
@@ -74,3 +76,25 @@ def test_stages_against_plain_versions(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_columns_of_documents_stay_whatever_their_names(spark, tmp_path):
+    """Columns called like those that the stages make inside pass through all stages but the last unchanged."""
+    names = [*quality_rules.METRICS, "base_failed", "kept", "n_lines", "n_dropped", "n_removed", "kept_text", "Kept", "gone", "starts", "mark"]
+    own = {(c if c != "Kept" else "kept_"): i for i, c in enumerate(names)}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus()]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for c, i in own.items():
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}{i}:"), F.col("doc_id")))
+    plain = spark.createDataFrame(rows, COLUMNS)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after, base = stage(spark, docs, ""), stage(spark, plain, "")
+        if k == 4:
+            assert after.columns == base.columns and sorted(after.collect()) == sorted(base.collect())
+            break
+        after.write.parquet(f"file://{tmp_path}/own{k}")
+        base.write.parquet(f"file://{tmp_path}/plain{k}")
+        before, docs, plain = docs.columns, spark.read.parquet(f"file://{tmp_path}/own{k}"), spark.read.parquet(f"file://{tmp_path}/plain{k}")
+        assert docs.columns == before
+        assert {r.doc_id: r.text for r in docs.collect()} == {r.doc_id: r.text for r in plain.collect()}
+        assert all(r[c] == f"{c}{i}:{r.doc_id}" for r in docs.collect() for c, i in own.items())

@@ -29,6 +29,13 @@ def fresh(taken, *names: str) -> list[str]:
     return out
 
 
+def set_aside(docs: DataFrame, *names: str):
+    """(docs, back): columns of docs called like one of the names get others; back(df) selects all columns of docs from df under their own names."""
+    held = dict(zip(docs.columns, fresh(names, *docs.columns), strict=True))
+    back = lambda df: df.select(*[F.col(f"`{held[c]}`").alias(c) for c in docs.columns])
+    return docs.select(*[F.col(f"`{c}`").alias(held[c]) for c in docs.columns]), back
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

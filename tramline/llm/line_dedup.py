@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import WHITE, fresh, read_documents, shared_dir, table
+from tramline.llm.common import WHITE, fresh, read_documents, set_aside, shared_dir, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -159,6 +159,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     return out.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """docs with the text left after line dedup; all other columns, whatever their names, are unchanged."""
+    docs, back = set_aside(docs, "n_lines", "n_dropped")
+    return back(dedup_lines(docs, min_chars))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read_documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -14,8 +14,9 @@ away forgive. Verdicts are then joined back by
 
 Defined results: a null text has no words and one empty line; null lang and
 source are groups of their own; repeated rows are judged one by one; an empty
-table gives an empty table; other columns pass through unless they carry one of
-the names in METRICS, which then are replaced.
+table gives an empty table; other columns pass through. `measure` replaces columns with
+one of the names in METRICS and `judge` those called base_failed and kept; `filter_documents` gives back
+every column of its input unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import WHITE, fresh, join_small, read_documents, slices, table, tidy
+from tramline.llm.common import WHITE, fresh, join_small, read_documents, set_aside, slices, table, tidy
 
 SYMBOLS = "#*$%&|<>"
 MIN_ROWS = 30
@@ -158,13 +159,14 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs.
+    """The documents that the rules keep, with the columns of docs, whatever their names.
 
     The measured documents are written once, so that texts are measured once
     although the thresholds need all of them first.
     """
+    docs, back = set_aside(docs, *METRICS, "base_failed", "kept")
     measured = table(measure(docs), "quality-measured")
-    return judge(measured, thresholds(measured, min_rows)).filter("kept").select(*[f"`{c}`" for c in docs.columns])
+    return back(judge(measured, thresholds(measured, min_rows)).filter("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ the words covered. Windows travel packed, many to a row, which halves the shuffl
 
 The sketch follows the input (1.5 cells a window at least) up to 2^`max_bits` cells
 a row, 2^29 by default: 128 MB for the two rows that are broadcast, by that bound.
-For more windows both passes run once for each of 2, 4, 8, ... ranges of hashes, each
-with a sketch of its own, so the filter and the buckets are as good at any size.
+For more windows the texts are read and hashed once, their windows written packed by 2, 4, 8, ...
+ranges of hashes, and both passes run over one range's files after the other, each
+with a sketch of its own: the filter and the buckets are as good, and a window costs as much, at any size.
 
 Defined results: a null text has no words; texts with fewer words than a window
 lose none; a null doc_id counts as smaller than any other; rows sharing a doc_id
@@ -27,6 +28,7 @@ joined by one space.
 from __future__ import annotations
 
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import fresh, read_documents, shared_dir, slices, table, tidy
+from tramline.llm.common import fresh, read_documents, set_aside, shared_dir, slices, table, tidy
 
 WINDOW = 13
 ROWS = 2
@@ -45,6 +47,8 @@ SEGMENT_BITS = 22
 WORD_BYTES, ENTRY_BYTES = 24 << 20, 160
 #: Characters hashed together.
 CHUNK = 1 << 20
+#: Windows that a task holds before it writes them by range (20 bytes each), windows of a written row at most, and tasks that write a range.
+HELD, PIECE, SALTS = 1 << 21, 1 << 15, 8
 NULL_ID = -(1 << 63)
 #: Odd multipliers, one per word of a window, drawn once from a fixed seed.
 _DRAW = np.random.default_rng(7)
@@ -93,15 +97,6 @@ def windows(texts: list[str | None], known: WordHashes, width: int) -> tuple[np.
     return _mix(sums[0][whole]), _mix(sums[1][whole]) & np.uint64(0xFFFFFFFF), owner[:n][whole], start[:n][whole]
 
 
-def windows_of_range(texts: list[str | None], known: WordHashes, width: int, at: int, range_bits: int):
-    """The windows whose h1 begins with the range_bits bits of `at`; those bits, equal in all of them, are shifted out."""
-    h1, h2, owner, start = windows(texts, known, width)
-    if range_bits:
-        here = h1 >> np.uint64(64 - range_bits) == np.uint64(at)
-        h1, h2, owner, start = h1[here] << np.uint64(range_bits), h2[here], owner[here], start[here]
-    return h1, h2, owner, start
-
-
 def chunks(ids: list, texts: list[str | None]):
     """Runs of rows of about CHUNK characters, in ascending id order, so that equal windows meet early."""
     order = sorted(range(len(ids)), key=lambda i: NULL_ID if ids[i] is None else ids[i])
@@ -116,6 +111,84 @@ def chunks(ids: list, texts: list[str | None]):
         yield part
 
 
+def text_blocks(it, width: int):
+    """(h1, h2, owner, start, docs) for each chunk of the texts in batches (id, text); docs() gives (ids, marks) by number of the text, in ascending id order."""
+    known = WordHashes()
+    for b in it:
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for part in chunks(ids, texts):
+
+            def docs(part=part):
+                own = np.array([NULL_ID if ids[i] is None else ids[i] for i in part], np.int64)
+                return own, np.array([zlib.crc32((texts[i] or "").encode("utf-8", "surrogatepass")) for i in part], np.uint32)
+
+            yield *windows([texts[i] for i in part], known, width), docs
+
+
+def dealt_blocks(it):
+    """The blocks in batches (h1, h2, refs, docs) of one range, as `deal` packs them."""
+    for b in it:
+        for i in range(b.num_rows):
+            h1, h2, refs, docs = (b.column(k)[i].as_py() for k in range(4))
+            ids, marks = _columns(docs, "<i8", "<u4")
+            owner, start = _columns(refs, "<u4", "<u4")
+            yield np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u4").astype(np.uint64), owner.astype(np.int64), start.astype(np.int64), lambda ids=ids, marks=marks: (np.cumsum(ids), marks)
+
+
+def deal(blocks, range_bits: int, held_most: int):
+    """Batches (range, h1, h2, refs, docs) of the windows of blocks, packed by range, about held_most windows at a time.
+
+    The bits of its range, equal in all windows of a row, are shifted out of h1.
+    """
+    held, n = [], 0
+    for block in blocks:
+        if len(block[0]):
+            held.append(block[:4] + block[4]())
+            n += len(block[0])
+        if n >= held_most:
+            yield from _dealt(held, range_bits)
+            held, n = [], 0
+    if held:
+        yield from _dealt(held, range_bits)
+
+
+def _dealt(held: list, range_bits: int):
+    moved = np.cumsum([0, *[len(x[4]) for x in held[:-1]]])
+    h1, h2, start, own, marks = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4, 5))
+    owner = np.concatenate([x[2] + k for x, k in zip(held, moved, strict=True)])
+    held.clear()
+    ascending = np.argsort(own, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[ascending] = np.arange(len(own))
+    owner, own, marks = rank[owner], own[ascending], marks[ascending]
+    place = (h1 >> np.uint64(64 - range_bits)).astype(np.int32)
+    order = np.lexsort((owner, place))
+    h1, h2, owner, start, place = h1[order] << np.uint64(range_bits), h2[order].astype("<u4"), owner[order], start[order].astype("<u4"), place[order]
+    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+    rows, size = [[], [], [], [], []], 0
+    pieces = [(k, min(k + PIECE, z)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for k in range(a, z, PIECE)]
+    for a, z in pieces:
+        used, ref = np.unique(owner[a:z], return_inverse=True)
+        for column, value in zip(rows, (int(place[a]), h1[a:z].astype("<u8").tobytes(), h2[a:z].tobytes(), _pack(ref.astype("<u4"), start[a:z]), _pack(np.diff(own[used], prepend=np.int64(0)).astype("<i8"), marks[used].astype("<u4"))), strict=True):
+            column.append(value)
+        size += 12 * (z - a)
+        if size >= 4 << 20 or z == len(place):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], ["range", "h1", "h2", "refs", "docs"])
+            rows, size = [[], [], [], [], []], 0
+
+
+def dealt_windows(docs: DataFrame, width: int, range_bits: int, parts: int, held_most: int = HELD) -> DataFrame:
+    """(h1, h2, refs, docs, range): every window hashed once and written packed, in folders by range, so that a range is read without the others.
+
+    A range's rows go to up to SALTS tasks, which write a file each, so there are few files and no task has a range to itself.
+    """
+    spark = docs.sparkSession
+    rows = docs.mapInArrow(tidy(lambda it: deal(text_blocks(it, width), range_bits, held_most)), "range int, h1 binary, h2 binary, refs binary, docs binary")
+    path = shared_dir(spark, "dealt-windows")
+    rows.repartition(max(parts, 1 << range_bits), "range", F.pmod(F.crc32("docs"), F.lit(SALTS))).write.partitionBy("range").parquet(path)
+    return spark.read.schema("h1 binary, h2 binary, refs binary, docs binary, range int").parquet(path)
+
+
 def cells_of(h1: np.ndarray, h2: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each window in the two rows of a sketch with 2^bits cells a row."""
     return (h1 >> np.uint64(64 - bits)).astype(np.int64), (_mix(h1 * MULTIPLIERS[1, 63] + h2) >> np.uint64(64 - bits)).astype(np.int64)
@@ -166,23 +239,20 @@ def unpack_cells(data: bytes, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def sketch_windows(docs: DataFrame, bits: int, width: int, at: int = 0, range_bits: int = 0) -> list[tuple[int, bytes]]:
-    """The merged `more` bit maps of a range as (segment, compressed bytes), of both rows one after the other."""
+def sketch_windows(source: DataFrame, blocks, bits: int) -> list[tuple[int, bytes]]:
+    """The merged `more` bit maps of the windows that blocks finds in source as (segment, compressed bytes), of both rows one after the other."""
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
     per_row = (1 << (bits - 3)) // size
 
     def count(it):
-        sketch, known = Sketch(bits), WordHashes()
-        for b in it:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in chunks(ids, texts):
-                h1, h2, owner, _ = windows_of_range([texts[i] for i in part], known, width, at, range_bits)
-                if len(h1):
-                    order = np.argsort(h1, kind="stable")
-                    h1, h2, owner = h1[order], h2[order], owner[order]
-                    fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (owner[1:] != owner[:-1])])  # once a document
-                    for row, cells in enumerate(cells_of(h1[fresh], h2[fresh], bits)):
-                        sketch.add(row, cells)
+        sketch = Sketch(bits)
+        for h1, h2, owner, _, _ in blocks(it):
+            if len(h1):
+                order = np.argsort(h1, kind="stable")
+                h1, h2, owner = h1[order], h2[order], owner[order]
+                fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (owner[1:] != owner[:-1])])  # once a document
+                for row, cells in enumerate(cells_of(h1[fresh], h2[fresh], bits)):
+                    sketch.add(row, cells)
         for row in range(ROWS):
             for k in range(per_row):
                 once, more = sketch.once[row, k * size : (k + 1) * size], sketch.more[row, k * size : (k + 1) * size]
@@ -204,7 +274,7 @@ def sketch_windows(docs: DataFrame, bits: int, width: int, at: int = 0, range_bi
         if segment is not None:
             yield _merged(segment, more)
 
-    parts = docs.mapInArrow(tidy(count), "segment int, once binary, more binary")
+    parts = source.mapInArrow(tidy(count), "segment int, once binary, more binary")
     merged = parts.repartition(ROWS * per_row, "segment").sortWithinPartitions("segment").mapInArrow(tidy(merge), "segment int, more binary")
     # Bounded by the sketch: ROWS * 2^bits / 8 bytes in all.
     return [(r["segment"], bytes(r["more"])) for r in merged.collect()]
@@ -221,10 +291,10 @@ def cell_bits(docs: DataFrame, max_bits: int) -> tuple[int, int]:
     return min(need, max_bits), max(need - max_bits, 0)
 
 
-def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: int, parts: int) -> DataFrame | str:
-    """(part, docs): starts that go among the windows of one range of hashes; of one range of several, the folder that holds them."""
-    spark = docs.sparkSession
-    found = spark.sparkContext.broadcast(sketch_windows(docs, bits, width, at, range_bits))
+def judged_range(source: DataFrame, blocks, bits: int, parts: int, written: bool) -> DataFrame | str:
+    """(part, docs): starts that go among the windows that blocks finds in source; if written, the folder that holds them."""
+    spark = source.sparkSession
+    found = spark.sparkContext.broadcast(sketch_windows(source, blocks, bits))
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
     # A bucket holds the windows of a range of hashes, about 2^20 before the filter.
     bucket_bits = max(bits - 21, 4)
@@ -233,18 +303,13 @@ def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: in
         more = np.zeros(ROWS * (1 << (bits - 3)), np.uint8)
         for segment, data in found.value:
             more[segment * size : (segment + 1) * size] = np.frombuffer(zlib.decompress(data), np.uint8)
-        more, known = more.reshape(ROWS, -1), WordHashes()
-        for b in it:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in chunks(ids, texts):
-                h1, h2, owner, start = windows_of_range([texts[i] for i in part], known, width, at, range_bits)
-                passed = np.ones(len(h1), bool)
-                for row, cells in enumerate(cells_of(h1, h2, bits)):
-                    passed &= (more[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
-                if passed.any():
-                    own = np.array([NULL_ID if ids[i] is None else ids[i] for i in part], np.int64)
-                    marks = np.array([zlib.crc32((texts[i] or "").encode("utf-8", "surrogatepass")) for i in part], np.uint32)
-                    yield from _send(h1[passed], h2[passed], owner[passed], start[passed], own, marks, bucket_bits, parts)
+        more = more.reshape(ROWS, -1)
+        for h1, h2, owner, start, docs in blocks(it):
+            passed = np.ones(len(h1), bool)
+            for row, cells in enumerate(cells_of(h1, h2, bits)):
+                passed &= (more[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+            if passed.any():
+                yield from _send(h1[passed], h2[passed], owner[passed], start[passed], *docs(), bucket_bits, parts)
 
     def judge(it):
         for _, blobs in _runs(it):
@@ -258,9 +323,9 @@ def judged_range(docs: DataFrame, width: int, bits: int, at: int, range_bits: in
                 lost = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
                 yield from _replies(ids[lost], marks[lost], starts[lost], parts)
 
-    sent = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(tidy(candidates), SENT)
+    sent = source.mapInArrow(tidy(candidates), SENT)
     judged = sent.repartition(max(parts, 1 << min(bucket_bits, 16)), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(judge), REPLY)
-    if not range_bits:
+    if not written:
         return judged
     path = shared_dir(spark, "judged-windows")
     judged.write.parquet(path)
@@ -275,8 +340,13 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, max_bits: int = 29) -
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits, range_bits = cell_bits(docs, max_bits)
-    judged = [judged_range(docs, width, bits, at, range_bits, parts) for at in range(1 << range_bits)]
-    # One range: straight on. More: each is written, so that its sketch can go before the next.
+    docs = docs.select(F.col("id").cast("long").alias("id"), "text")
+    if range_bits:
+        # Each range is written, so that its sketch can go before the next.
+        dealt = dealt_windows(docs, width, range_bits, parts)
+        judged = [judged_range(dealt.filter(F.col("range") == at).drop("range"), dealt_blocks, bits, parts, True) for at in range(1 << range_bits)]
+    else:
+        judged = [judged_range(docs, partial(text_blocks, width=width), bits, parts, False)]
     replies = judged[0] if len(judged) == 1 else docs.sparkSession.read.schema(REPLY).parquet(*judged)
 
     def gather(it):
@@ -411,10 +481,10 @@ def removed(docs: DataFrame, width: int = WINDOW, max_bits: int = 29, id_col: st
 
 
 def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the repeated words; texts that lose none are unchanged."""
+    """docs without the repeated words; texts that lose none and all other columns, whatever their names, are unchanged."""
+    docs, back = set_aside(docs, "kept_text", "n_words", "n_removed")
     done = removed(docs, width, id_col=id_col, text_col=text_col)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`{text_col}`"))
-    return done.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return back(done.withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`{text_col}`"))))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
