@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the docs of the next. All but the last return the
-columns of documents; n_chars follows the text. A document whose text a stage
+columns of documents, whatever their names; n_chars follows the text. Rows sharing an id
+are judged one by one but never make each other lose text. A document whose text a stage
 empties stays, as an empty document, until packing, where it has no tokens.
 """
 
@@ -27,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: lines that a document with a smaller id holds go."""
-    return _recounted(line_dedup.dedup_lines(docs).select(*docs.columns))
+    return _recounted(line_dedup.drop_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
