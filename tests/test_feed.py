@@ -116,3 +116,26 @@ def test_patterns(spark, small):
 def test_dense_ids(spark):
     rows = spark.createDataFrame([(f"k{i % 50:02d}",) for i in range(200)], "k string")
     assert {r.k: r.id for r in ops.dense_ids(rows, "k").collect()} == {f"k{i:02d}": i + 1 for i in range(50)}
+
+
+def test_filters_on_times_do_not_repeat_the_parser(spark):
+    raw = spark.range(3).select(F.col("id").cast("string").alias("trip_id"), F.lit("s").alias("stop_id"), F.lit(1).alias("stop_sequence"), F.concat(F.lit("0"), F.col("id").cast("string"), F.lit(":00:00")).alias("arrival_time"), F.lit("09:00:00").alias("departure_time"))
+    times = gtfs.parsed_stop_times(raw)
+    parsers = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    early = times.filter("arrival < 3700")
+    assert parsers(early) == parsers(times)
+    assert sorted(r.trip_id for r in early.collect()) == ["0", "1"]
+
+
+def test_used_stops_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    stops = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("z", None)], "stop_id string, parent_station string")
+    used = spark.createDataFrame([("a",)] * 7, "stop_id string").mapInPandas(counted, "stop_id string")
+    assert sorted(r.stop_id for r in ops.ancestors(stops, used).collect()) == ["a", "b", "c"]
+    assert read.value == 7

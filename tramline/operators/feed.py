@@ -51,7 +51,11 @@ def with_trips(feed: GtfsFeed, trips: DataFrame) -> GtfsFeed:
 
 def by_prefixes(feed: GtfsFeed, prefixes: list[str]) -> GtfsFeed:
     """Trips whose id starts with any of the prefixes; all trips if there is none."""
-    return with_trips(feed, feed.trips.filter(starts_with_any(F.col("trip_id"), prefixes))) if prefixes else feed
+    if not prefixes:
+        return feed
+    named = starts_with_any(F.col("trip_id"), prefixes)
+    # Stop times of other trips go before they are parsed and joined.
+    return with_trips(feed.with_(stop_times=feed.stop_times.filter(named)), feed.trips.filter(named))
 
 
 def starts_with_any(text, prefixes: list[str]):
@@ -97,7 +101,7 @@ def root_stops(stops: DataFrame) -> DataFrame:
 def ancestors(stops: DataFrame, used: DataFrame) -> DataFrame:
     """(stop_id): the used stops and all their ancestors."""
     up = stops.filter("parent_station is not null").select("stop_id", "parent_station")
-    found = used.select("stop_id").distinct()
+    found = cut(used.select("stop_id").distinct())  # once: every level asks for it
     front = found
     while True:
         above = front.join(up, "stop_id").select(F.col("parent_station").alias("stop_id")).distinct()

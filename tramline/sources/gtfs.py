@@ -68,11 +68,14 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def parsed_stop_times(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """stop_times in seconds; rows with a blank time are skipped, other bad times raise unless not strict."""
+    """stop_times in seconds; rows with a blank time are skipped, other bad times raise unless not strict.
+
+    Times come out of a generator, so that a filter on them asks for the seconds and isn't
+    put in terms of the texts, whose expressions would be evaluated again wherever the parser names them.
+    """
     blank = (F.coalesce(F.trim("arrival_time"), F.lit("")) == "") | (F.coalesce(F.trim("departure_time"), F.lit("")) == "")
-    return raw.filter(~blank).select(
-        "trip_id", "stop_id", F.col("stop_sequence").cast("int").alias("stop_sequence"), C.parse_time(F.col("arrival_time"), strict).alias("arrival"), C.parse_time(F.col("departure_time"), strict).alias("departure")
-    )
+    times = F.struct(C.parse_time(F.col("arrival_time"), strict).alias("arrival"), C.parse_time(F.col("departure_time"), strict).alias("departure"))
+    return raw.select("trip_id", "stop_id", F.col("stop_sequence").cast("int").alias("stop_sequence"), F.inline(F.when(~blank, F.array(times))))
 
 
 def rejected_stop_times(raw: DataFrame) -> DataFrame:
