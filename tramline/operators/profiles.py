@@ -35,13 +35,16 @@ def earliest_arrivals(queries: DataFrame, steps: DataFrame, rounds: int = 1000)
     """(query_id, stop, at): the earliest arrival at every stop that a query (query_id, stop, at) reaches.
 
     Each round takes the stops whose arrival improved, looks up the next rides, adds the walks and keeps the least.
+    What the rounds keep grows with queries times stops; so queries that outnumber the minimal
+    rides look their arrivals up in closed profiles of their stops instead, whose size the rides bound.
     """
-    steps = cut(steps.select("o", "d", "dep", "arr", "trip_id", "is_flex"))
-    rides = minimal_cover(steps.filter("not is_flex"))
-    rides = cut(rides.select(F.col("o").alias("stop"), "d", "dep", "arr"))
+    rides = cut(minimal_cover(steps.filter("not is_flex")).select(F.col("o").alias("stop"), "d", "dep", "arr"))
     walks = cut(steps.filter("is_flex").groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.col("arr") - F.col("dep")).alias("w")))
-    ends = cut(rides.select("stop", "d").distinct())
     best = cut(queries.select("query_id", "stop", "at").groupBy("query_id", "stop").agg(F.min("at").alias("at")))
+    if best.count() > rides.count():
+        edges = rides.select(F.col("stop").alias("o"), "d", "dep", "arr", F.lit(False).alias("is_flex")).unionByName(walks.select(F.col("stop").alias("o"), "d", F.lit(0).alias("dep"), F.col("w").alias("arr"), F.lit(True).alias("is_flex")))
+        return arrivals_from_profiles(best, closed_times(edges, best.select(F.col("stop").alias("stop_id")), rounds))
+    ends = cut(rides.select("stop", "d").distinct())
     front = best
     for _ in range(rounds):
         by_ride = asof_next(front.join(ends, "stop"), rides, ["stop", "d"], "at", "dep", ["arr"]).filter("next_dep is not null").select("query_id", F.col("d").alias("stop"), F.col("next_arr").alias("at"))
@@ -105,15 +108,63 @@ def arrivals_from_profiles(queries: DataFrame, paths: DataFrame) -> DataFrame:
     paths (o, d, dep, arr, is_flex): profiles of every origin asked for. A query meets each stop's next
     departure by one as-of join in pieces of the day, its walks by a join, and its own stop at once.
     """
+    queries = cut(queries.select("query_id", "stop", "at"))
+    return _looked_up(queries, paths).unionByName(queries).groupBy("query_id", "stop").agg(F.min("at").alias("at"))
+
+
+def _looked_up(queries: DataFrame, paths: DataFrame) -> DataFrame:
+    """(query_id, stop, at): arrivals of queries by the next path of each pair, and by walks."""
     from tramline.operators.asof import SPAN
 
     rides = cut(paths.filter("not is_flex").select(F.col("o").alias("stop"), "d", "dep", "arr"))
     walks = paths.filter("is_flex").groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.col("arr") - F.col("dep")).alias("w"))
-    queries = cut(queries.select("query_id", "stop", "at"))
     asked = queries.join(rides.select("stop", "d").distinct().hint("merge"), "stop")
     by_ride = asof_next(asked, rides, ["stop", "d"], "at", "dep", ["arr"], span=SPAN).filter("next_dep is not null").select("query_id", F.col("d").alias("stop"), F.col("next_arr").alias("at"))
     on_foot = queries.join(walks.hint("merge"), "stop").select("query_id", F.col("d").alias("stop"), (F.col("at") + F.col("w")).alias("at"))
-    return by_ride.unionByName(on_foot).unionByName(queries).groupBy("query_id", "stop").agg(F.min("at").alias("at"))
+    return by_ride.unionByName(on_foot)
+
+
+def arrivals_at(queries: DataFrame, targets: DataFrame, steps: DataFrame) -> DataFrame:
+    """(query_id, stop, at): the times of arrivals_to(), without what was seen on the way, for many queries.
+
+    Looked up in profiles to the destinations: those from them with time and direction turned
+    round. Their size is bounded by the rides, whatever the number of queries.
+    """
+    turned = lambda df: df.select(F.col("d").alias("o"), F.col("o").alias("d"), F.when(F.col("is_flex"), F.col("dep")).otherwise(-F.col("arr")).alias("dep"), F.when(F.col("is_flex"), F.col("arr")).otherwise(-F.col("dep")).alias("arr"), "is_flex")
+    paths = turned(closed_times(turned(steps), targets))
+    wanted = small(cut(targets.select("set_id", F.col("stop_id").alias("d")).distinct()))
+    # Stops are named together with the set, so that a query meets only its own destinations.
+    key = lambda c: F.concat_ws("@", c, "set_id")
+    asked = queries.select("query_id", key("stop").alias("stop"), "at")
+    own = queries.join(wanted.withColumnRenamed("d", "stop"), ["set_id", "stop"], "left_semi").select("query_id", "stop", "at")
+    return _looked_up(asked, paths.join(wanted, "d").withColumn("o", key("o"))).unionByName(own).groupBy("query_id", "stop").agg(F.min("at").alias("at"))
+
+
+def closed_times(steps: DataFrame, origins: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
+    """(o, d, dep, arr, is_flex): the times of closure(steps, origins), whose rows are a fraction of its size as they carry no legs."""
+    shape = ["o", "d", "dep", "arr", "is_flex"]
+    edges = cut(minimal_cover(steps.filter("o <> d").select(*shape), tie=()))
+    now = edges if origins is None else cut(edges.join(origins.select(F.col("stop_id").alias("o")).distinct().hint("merge"), "o", "left_semi").select(*shape))
+    new = now
+    ride2 = edges.filter("not is_flex").select(F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("leave"), "arr")
+    every2 = edges.select(F.col("o").alias("via"), F.col("d").alias("to"), F.col("dep").alias("dep2"), F.col("arr").alias("arr2"), F.col("is_flex").alias("f2"))
+    ends = cut(ride2.select("via", "to").distinct())
+    for _ in range(rounds):
+        rides, walks = new.filter("not is_flex"), new.filter("is_flex")
+        base = rides.select("o", F.col("d").alias("via"), "dep", F.col("arr").alias("at")).join(ends.hint("merge"), "via").filter("o <> to")
+        caught = asof_next(base, ride2, ["via", "to"], "at", "leave", ["arr"]).filter("next_leave is not null").select("o", F.col("to").alias("d"), "dep", F.col("next_arr").alias("arr"), F.lit(False).alias("is_flex"))
+
+        def product(x, y):
+            flex, dep, arr = C.merged_step(F.col("is_flex"), F.col("dep"), F.col("arr"), F.col("f2"), F.col("dep2"), F.col("arr2"))
+            return x.withColumnRenamed("d", "via").join(y.hint("merge"), "via").filter("o <> to").select("o", F.col("to").alias("d"), dep.alias("dep"), arr.alias("arr"), flex.alias("is_flex"))
+
+        more = caught.unionByName(product(walks, every2)).unionByName(product(rides, every2.filter("f2")))
+        both = now.withColumn("_known", F.lit(1)).unionByName(more.withColumn("_known", F.lit(0)))
+        after = cut(minimal_cover(both, tie=("_known",)))
+        new, now = after.filter("_known = 0").select(*shape), after.select(*shape)
+        if new.isEmpty():
+            return now
+    raise RuntimeError(f"paths still improve after {rounds} rounds")
 
 
 def closure(steps: DataFrame, origins: DataFrame | None = None, required: DataFrame | None = None, rounds: int = 1000, keys: tuple[str, ...] = (), window: tuple[int, int | str, int] | None = None) -> DataFrame:
