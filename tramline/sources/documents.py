@@ -49,6 +49,11 @@ def required_stops(texts: DataFrame) -> DataFrame:
 def config_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """Each text of a directory as a row: name (of its folder or file), the named columns, and the rest as JSON in `data`."""
     texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"/config=([^/]+)/", 1).alias("name"), F.col("value").alias("text"))
+    return rows_of_configs(texts, columns)
+
+
+def rows_of_configs(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """config_rows() of texts (name, text), many of which lie in one file: a file a text costs more than its row does."""
     f = parsed_toml(texts).filter("problem is null")
     rest = F.map_filter("fields", lambda k, v: ~k.isin(columns))
     return f.select("name", *[F.col("fields")[c].alias(c) for c in columns], F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rest)))).alias("data"))
