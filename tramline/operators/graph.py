@@ -165,6 +165,7 @@ def required_edge(steps: DataFrame, a: str, b: str) -> DataFrame:
     """steps after the edge a -> b was made compulsory: a and b become the stop 'a+b', reached at a and left from b."""
     from tramline.operators.asof import connections
 
+    steps = cut(steps)
     name = f"{a}+{b}"
     into, over = steps.filter((F.col("d") == a) & (F.col("o") != b)), steps.filter((F.col("o") == a) & (F.col("d") == b))
     columns = ["o", "d", "dep", "arr", "trip_id", "is_flex"]
@@ -182,10 +183,9 @@ def edited(steps: DataFrame, edits: list[tuple[str, str, str]]) -> tuple[DataFra
     forbidding one changes nothing and requiring one raises. parts (stop, place, part) lists the plain
     stops of the composite stops that are left.
     """
-    from tramline.operators.lineage import cut
     from tramline.operators.paths import expanded
 
-    spark = steps.sparkSession
+    spark, steps = steps.sparkSession, cut(steps)
     # The node that is reached at, or left from, a plain stop, and the plain stops at a node's ends.
     reached, left, ends = {}, {}, {}
     composites = []
