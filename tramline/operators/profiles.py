@@ -35,13 +35,13 @@ def earliest_arrivals(queries: DataFrame, steps: DataFrame, rounds: int = 1000)
     """(query_id, stop, at): the earliest arrival at every stop that a query (query_id, stop, at) reaches.
 
     Each round takes the stops whose arrival improved, looks up the next rides, adds the walks and keeps the least.
-    What the rounds keep grows with queries times stops; so queries that outnumber the minimal
-    rides look their arrivals up in closed profiles of their stops instead, whose size the rides bound.
+    What the rounds keep grows with queries times stops; where that is more than the minimal rides, queries
+    look their arrivals up in closed profiles of their stops instead, whose size the rides bound.
     """
     rides = cut(minimal_cover(steps.filter("not is_flex")).select(F.col("o").alias("stop"), "d", "dep", "arr"))
     walks = cut(steps.filter("is_flex").groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.col("arr") - F.col("dep")).alias("w")))
     best = cut(queries.select("query_id", "stop", "at").groupBy("query_id", "stop").agg(F.min("at").alias("at")))
-    if best.count() > rides.count():
+    if best.count() * rides.select("d").distinct().count() > rides.count():
         edges = rides.select(F.col("stop").alias("o"), "d", "dep", "arr", F.lit(False).alias("is_flex")).unionByName(walks.select(F.col("stop").alias("o"), "d", F.lit(0).alias("dep"), F.col("w").alias("arr"), F.lit(True).alias("is_flex")))
         return arrivals_from_profiles(best, closed_times(edges, best.select(F.col("stop").alias("stop_id")), rounds))
     ends = cut(rides.select("stop", "d").distinct())
@@ -151,8 +151,14 @@ def closed_times(steps: DataFrame, origins: DataFrame | None = None, rounds: int
     ends = cut(ride2.select("via", "to").distinct())
     for _ in range(rounds):
         rides, walks = new.filter("not is_flex"), new.filter("is_flex")
-        base = rides.select("o", F.col("d").alias("via"), "dep", F.col("arr").alias("at")).join(ends.hint("merge"), "via").filter("o <> to")
-        caught = asof_next(base, ride2, ["via", "to"], "at", "leave", ["arr"]).filter("next_leave is not null").select("o", F.col("to").alias("d"), "dep", F.col("next_arr").alias("arr"), F.lit(False).alias("is_flex"))
+        # An arrival at a stop is looked up once, for the paths of all origins; what it catches rides along in one row, and
+        # of ways over several stops only the least leaves the task in which a path's origin and departure lie.
+        base = rides.select("o", F.col("d").alias("via"), "dep", F.col("arr").alias("at"))
+        asked = base.select("via", "at").distinct().join(ends.hint("merge"), "via")
+        found = asof_next(asked, ride2, ["via", "to"], "at", "leave", ["arr"]).filter("next_leave is not null")
+        found = found.groupBy("via", "at").agg(F.collect_list(F.struct("to", F.col("next_arr").alias("arr"))).alias("next"))
+        caught = base.join(found.hint("merge"), ["via", "at"]).select("o", "dep", "next").repartition("o", "dep").select("o", "dep", F.inline("next")).filter("o <> to")
+        caught = caught.groupBy("o", "dep", "to").agg(F.min("arr").alias("arr")).select("o", F.col("to").alias("d"), "dep", "arr", F.lit(False).alias("is_flex"))
 
         def product(x, y):
             flex, dep, arr = C.merged_step(F.col("is_flex"), F.col("dep"), F.col("arr"), F.col("f2"), F.col("dep2"), F.col("arr2"))
