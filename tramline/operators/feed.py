@@ -25,7 +25,7 @@ def active_services(calendar: DataFrame, date: str) -> DataFrame:
 
 def prune(feed: GtfsFeed) -> GtfsFeed:
     """Drop trips without stop times, then routes and directions without trips."""
-    trips = feed.trips.join(feed.stop_times.select("trip_id"), "trip_id", "left_semi")
+    trips = feed.trips.join(feed.stop_times.select("trip_id").hint("merge"), "trip_id", "left_semi")
     return feed.with_(trips=trips, **_of_trips(feed, trips))
 
 
