@@ -19,10 +19,10 @@ def parse_time(text: Column, strict: bool = True) -> Column:
     """Seconds of a text that begins HH:MM:SS; what follows is ignored. Others raise, or give null if not strict."""
     digits = lambda at: F.substring(text, at, 2).cast("int")
     good = text.rlike(r"^[0-9]{2}:[0-9]{2}:[0-9]{2}")
-    seconds = F.when(good, digits(1) * 3600 + digits(4) * 60 + digits(7))
+    number = digits(1) * 3600 + digits(4) * 60 + digits(7)
     if strict:
-        return F.when(text.isNotNull() & ~good, F.raise_error(F.concat(F.lit("not a time: "), text)).cast("int")).otherwise(seconds)
-    return seconds
+        return F.when(text.isNull(), F.lit(None).cast("int")).when(good, number).otherwise(F.raise_error(F.concat(F.lit("not a time: "), text)).cast("int"))
+    return F.when(good, number)
 
 
 def format_time(seconds: Column) -> Column:

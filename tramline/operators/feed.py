@@ -33,16 +33,23 @@ def _of_trips(feed: GtfsFeed, trips: DataFrame) -> dict[str, DataFrame]:
     return {"routes": feed.routes.join(trips, "route_id", "left_semi"), "directions": feed.directions.join(trips, ["route_id", "direction_id"], "left_semi")}
 
 
-def on_date(feed: GtfsFeed, date: str) -> GtfsFeed:
-    """The day of a date: trips of its services, what they use, and all stops."""
-    trips = feed.trips.join(active_services(feed.calendar, date), "service_id", "left_semi").select(*feed.trips.columns)
-    times = feed.stop_times.join(trips, "trip_id", "left_semi")
+def on_date(feed: GtfsFeed, date: str, prefixes: list[str] = ()) -> GtfsFeed:
+    """The day of a date: trips of its services, what they use, and all stops. prefixes: only trips whose id starts with one of them."""
+    trips, times = feed.trips, feed.stop_times
+    if prefixes:
+        trips, times = [x.filter(starts_with_any(F.col("trip_id"), prefixes)) for x in (trips, times)]
+    trips = trips.join(active_services(feed.calendar, date), "service_id", "left_semi").select(*feed.trips.columns)
+    times = times.join(trips, "trip_id", "left_semi")
     return feed.with_(trips=trips, calendar=None, stop_times=times, **_of_trips(feed, trips))
 
 
 def with_trips(feed: GtfsFeed, trips: DataFrame) -> GtfsFeed:
     """Only the given trips (trip_id), what they use, and the stops they serve with all their ancestors."""
-    kept = feed.trips.join(trips.select("trip_id"), "trip_id", "left_semi")
+    return _with_kept(feed, feed.trips.join(trips.select("trip_id"), "trip_id", "left_semi"))
+
+
+def _with_kept(feed: GtfsFeed, kept: DataFrame) -> GtfsFeed:
+    """with_trips() for rows of the feed's own trips."""
     times = feed.stop_times.join(kept, "trip_id", "left_semi")
     stops = feed.stops.join(ancestors(feed.stops, times.select("stop_id")), "stop_id", "left_semi")
     calendar = None if feed.calendar is None else feed.calendar.join(kept, "service_id", "left_semi")
@@ -55,7 +62,7 @@ def by_prefixes(feed: GtfsFeed, prefixes: list[str]) -> GtfsFeed:
         return feed
     named = starts_with_any(F.col("trip_id"), prefixes)
     # Stop times of other trips go before they are parsed and joined.
-    return with_trips(feed.with_(stop_times=feed.stop_times.filter(named)), feed.trips.filter(named))
+    return _with_kept(feed.with_(stop_times=feed.stop_times.filter(named)), feed.trips.filter(named))
 
 
 def starts_with_any(text, prefixes: list[str]):
@@ -99,22 +106,27 @@ def root_stops(stops: DataFrame) -> DataFrame:
 
 
 def ancestors(stops: DataFrame, used: DataFrame) -> DataFrame:
-    """(stop_id): the used stops and all their ancestors."""
-    up = stops.filter("parent_station is not null").select("stop_id", "parent_station")
-    found = cut(used.select("stop_id").distinct())  # once: every level asks for it
+    """(stop_id): the used stops and all their ancestors. Levels are gone up over the stops alone, so used is read once, by what asks for the result."""
+    up = stops.filter("parent_station is not null").select("stop_id", F.col("parent_station").alias("above")).distinct()
+    found = cut(up)
     front = found
-    while True:
-        above = front.join(up, "stop_id").select(F.col("parent_station").alias("stop_id")).distinct()
-        front = cut(above.join(found, "stop_id", "left_anti"))
-        if front.isEmpty():
-            return found
+    parents = up.select(F.col("stop_id").alias("above"), F.col("above").alias("next"))
+    while not front.isEmpty():
+        higher = front.join(parents.hint("merge"), "above").select("stop_id", F.col("next").alias("above")).distinct()
+        front = cut(higher.join(found.hint("merge"), ["stop_id", "above"], "left_anti"))
         found = found.unionByName(front)
+    used = used.select("stop_id").distinct()
+    return used.join(found.hint("merge"), "stop_id", "left").select(F.explode(F.array("stop_id", F.coalesce("above", "stop_id"))).alias("stop_id")).distinct()
+
 
+#: Stops with their roots that are sent to all tasks at most; a row has about 60 bytes.
+ROOTS = 500_000
 
-def normalized(day: GtfsFeed) -> GtfsFeed:
-    """Stop times moved to the ultimate parents; stops that have a parent are removed."""
-    roots = root_stops(day.stops)
-    times = day.stop_times.join(roots, "stop_id", "left").withColumn("stop_id", F.coalesce("root_id", "stop_id")).select(*day.stop_times.columns)
+
+def normalized(day: GtfsFeed, roots: DataFrame | None = None) -> GtfsFeed:
+    """Stop times moved to the ultimate parents; stops that have a parent are removed. roots: root_stops() of these or more stops, if at hand."""
+    roots = root_stops(day.stops) if roots is None else roots
+    times = day.stop_times.join(small(roots, ROOTS), "stop_id", "left").withColumn("stop_id", F.coalesce("root_id", "stop_id")).select(*day.stop_times.columns)
     stops = day.stops.join(roots.filter("stop_id = root_id"), "stop_id", "left_semi")
     return day.with_(stops=stops.withColumn("parent_station", F.lit(None).cast("string")), stop_times=times)
 
@@ -147,20 +159,39 @@ def cut_last_day(day: GtfsFeed) -> GtfsFeed:
 
 
 def service_days(feed: GtfsFeed, date: str, subsequent: int) -> GtfsFeed:
-    """A date and the days after it as one span; the last of the later days ends at 24:00."""
+    """A date and the days after it as one span; the last of the later days ends at 24:00.
+
+    Each trip is given the days it runs on and its stop times are dealt to them, so they are gone through once for all days.
+    """
     if subsequent < 0:
         raise ValueError("the number of later days is negative")
-    days = []
-    for n in range(subsequent + 1):
-        at = feed.stops.sparkSession.range(1).select(C.offset_date(F.lit(date), n)).first()[0]
-        day = on_date(feed, at)
-        days.append(shifted(cut_last_day(day) if n and n == subsequent else day, n))
-    return combine(days)
+    dates = feed.stops.sparkSession.range(1).select(*[C.offset_date(F.lit(date), n).alias(str(n)) for n in range(subsequent + 1)]).first()
+    runs = reduce(DataFrame.unionByName, [active_services(feed.calendar, at).withColumn("_day", F.lit(n)) for n, at in enumerate(dates)])
+    runs = small(cut(runs.groupBy("service_id").agg(F.collect_set("_day").alias("_days"))))
+    trips = feed.trips.join(runs, "service_id").select(*feed.trips.columns, "_days")
+    last = (F.col("_day") == subsequent) if subsequent else F.lit(False)
+    dealt = lambda df, columns: df.select(*columns, F.explode("_days").alias("_day"))
+    one = lambda df, *keys: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).filter("_r = 1").drop("_r")
+    times = dealt(feed.stop_times.join(trips.select("trip_id", "_days").hint("merge"), "trip_id"), feed.stop_times.columns)
+    # Days are told apart by the names of their trips, so only rows of one day can have one key; they lie together by trip here.
+    times = one(times.filter(~last | (F.col("arrival") < C.DAY)), "trip_id", "stop_sequence", "_day")
+    trips = one(dealt(trips, feed.trips.columns), "trip_id", "_day")
+    if subsequent:
+        ended = times.filter(last).select("trip_id", "_day").hint("merge")
+        trips = trips.filter(~last).unionByName(trips.filter(last).join(ended, ["trip_id", "_day"], "left_semi").select(*trips.columns))
+    name, moved = C.with_service_day(F.col("trip_id"), F.col("_day")), F.col("_day") * C.DAY
+    trips = trips.withColumn("trip_id", name).drop("_day")
+    times = times.withColumn("trip_id", name).withColumn("arrival", F.col("arrival") + moved).withColumn("departure", F.col("departure") + moved).drop("_day")
+    used = _of_trips(feed, trips)
+    return feed.with_(stops=one(feed.stops, "stop_id"), trips=trips, calendar=None, stop_times=times, routes=one(used["routes"], "route_id"), directions=one(used["directions"], "route_id", "direction_id"))
 
 
 def world(feed: GtfsFeed, date: str, prefixes: list[str] = (), subsequent: int = 0) -> GtfsFeed:
-    """Prefix filter, then the span of days."""
-    return service_days(by_prefixes(feed, list(prefixes)), date, subsequent)
+    """Prefix filter, then the span of days, which keeps stop times of its trips alone and asks the calendar for services of trips alone."""
+    found = by_prefixes(feed, list(prefixes))
+    if prefixes:
+        found = found.with_(stop_times=feed.stop_times.filter(starts_with_any(F.col("trip_id"), prefixes)), calendar=feed.calendar)
+    return service_days(found, date, subsequent)
 
 
 def trip_descriptions(day: GtfsFeed) -> DataFrame:

@@ -244,7 +244,7 @@ _SAT = (
 @query("e7_used_services", "SELECT day, string_agg(DISTINCT service_id, ',' ORDER BY service_id) AS services FROM (SELECT trip_id, day FROM wst GROUP BY ALL HAVING count(*) > 1) JOIN g_trips USING (trip_id) GROUP BY day", *_SAT)
 def _(spark, g):
     world = feed.world(g, DATE, ["BA:"], 1)
-    found = paths.of_trips(steps.from_stop_times(feed.normalized(world).stop_times))
+    found = paths.of_trips(steps.from_stop_times(feed.normalized(world, feed.root_stops(g.stops)).stop_times))
     return services.used_services(found, world.trips).select("day", F.array_join("services", ",").alias("services"))
 
 
