@@ -27,3 +27,20 @@ def test_a_span_reads_stop_times_once_for_all_its_days(counted):
     g, n, read = counted
     found = feed.world(g, demo.DATE, ["BA:"], 1).stop_times.collect()
     assert found and read.value == n
+
+
+def test_steps_of_a_prefix_read_stop_times_once(counted):
+    from tramline.plans.timetable_queries import ba_steps
+
+    g, n, read = counted
+    found = ba_steps(g).collect()
+    assert {r.is_flex for r in found} == {True, False} and read.value == n
+
+
+def test_transfer_edges_read_stop_times_once(counted):
+    from tramline.operators import graph
+    from tramline.plans.timetable_queries import parted
+
+    g, n, read = counted
+    edges = graph.transfer_edges(parted(g))
+    assert edges.count() and graph.remapped_edges(edges, graph.merged_states(edges)).count() and read.value == n

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
-from tramline.operators.lineage import cut, small
+from tramline.operators import steps
+from tramline.operators.lineage import cut, small, written
 from tramline.sources.gtfs import WEEKDAYS, GtfsFeed
 
 KEYS = {"stops": ["stop_id"], "trips": ["trip_id"], "stop_times": ["trip_id", "stop_sequence"], "routes": ["route_id"], "directions": ["route_id", "direction_id"]}
@@ -131,6 +132,16 @@ def normalized(day: GtfsFeed, roots: DataFrame | None = None) -> GtfsFeed:
     return day.with_(stops=stops.withColumn("parent_station", F.lit(None).cast("string")), stop_times=times)
 
 
+def network(day: GtfsFeed) -> tuple[DataFrame, DataFrame]:
+    """(rides, walks) between the root stops that a day serves. Its stop times are gone through once, and written with the stops they lead to."""
+    roots = root_stops(day.stops)
+    by = Window.partitionBy("trip_id").orderBy("stop_sequence")
+    times = day.stop_times.join(small(roots, ROOTS), "stop_id", "left").withColumn("o", F.coalesce("root_id", "stop_id"))
+    rows = written(times.select("stop_id", "o", F.lead("o").over(by).alias("d"), F.col("departure").alias("dep"), F.lead("arrival").over(by).alias("arr"), "trip_id", F.lit(False).alias("is_flex")), "steps")
+    served = day.stops.join(ancestors(day.stops, rows), "stop_id", "left_semi").join(roots.filter("stop_id = root_id"), "stop_id", "left_semi")
+    return rows.filter("d is not null").drop("stop_id"), steps.walking(served)
+
+
 def unknown_stop_times(feed: GtfsFeed) -> DataFrame:
     """Stop times whose stop the feed does not have."""
     return feed.stop_times.join(feed.stops, "stop_id", "left_anti")

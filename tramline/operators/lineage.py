@@ -23,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str = "rows") -> DataFrame:
+    """df computed once, written as Parquet below spark.checkpoint.dir and read back: for large tables, of which each use reads only its columns."""
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df for the right side of a join: broadcast if it has at most so many rows, which are counted, else merged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -598,8 +598,8 @@ def required_of(spark: SparkSession) -> DataFrame:
 
 def ba_steps(g) -> DataFrame:
     """Rides of one prefix and the walks of the day."""
-    day = feed.normalized(feed.by_prefixes(day_of(g), ["BA:"]))
-    return steps.from_stop_times(day.stop_times).unionByName(steps.walking(day.stops))
+    rides, walks = feed.network(feed.on_date(g, DATE, ["BA:"]))
+    return rides.unionByName(walks)
 
 
 @query("i4_earliest_arrivals")
