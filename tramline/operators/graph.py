@@ -108,6 +108,15 @@ def last_arrivals(steps: DataFrame) -> DataFrame:
 
 def waiting_edges(steps: DataFrame) -> DataFrame:
     """(o, o_part, d, d_part, w): least time from an arrival at a state to the next arrival by a ride, waiting included."""
+    return _waiting(_once(steps))
+
+
+def _once(steps: DataFrame) -> DataFrame:
+    """The columns of steps that transfers look at, computed once: they are asked for from both ends and by several joins."""
+    return cut(steps.select("o", "d", "part", "dep", "arr", "is_flex"))
+
+
+def _waiting(steps: DataFrame) -> DataFrame:
     rides = _departures(steps).filter("not is_flex").groupBy("stop", "d", "d_part", "dep").agg(F.min("arr").alias("arr"))
     waited = last_arrivals(steps).join(rides, ["stop", "dep"])
     return waited.groupBy(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part").agg(F.min(F.col("arr") - F.col("last_t")).alias("w"))
@@ -119,11 +128,12 @@ def transfer_edges(steps: DataFrame) -> DataFrame:
     steps: o, d, dep, arr, is_flex, part. A state that is reached on foot may be
     left at any time, so the shortest step counts there.
     """
+    steps = _once(steps)
     flexible = arrivals(steps).groupBy("stop", "part").agg(F.max("flex").alias("flex"))
     long = F.col("arr") - F.col("dep")
     shortest = _departures(steps).groupBy("stop", "d", "d_part").agg(F.min(long).alias("w"), F.min(F.when(F.col("is_flex"), long)).alias("walk"))
     any_time = flexible.join(shortest, "stop").select(F.col("stop").alias("o"), F.col("part").alias("o_part"), "d", "d_part", F.when(F.col("flex"), F.col("w")).otherwise(F.col("walk")).alias("w"))
-    every = any_time.filter("w is not null").unionByName(waiting_edges(steps))
+    every = any_time.filter("w is not null").unionByName(_waiting(steps))
     return every.groupBy("o", "o_part", "d", "d_part").agg(F.min("w").alias("w"))
 
 

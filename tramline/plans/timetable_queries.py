@@ -555,7 +555,7 @@ def _(spark, g):
 
 @query("e17_merged_edges", "SELECT e.o, a.new_part AS o_part, e.d, b.new_part AS d_part, min(w) AS w FROM tedges e JOIN tnew a ON a.stop = e.o AND a.part = e.o_part JOIN tnew b ON b.stop = e.d AND b.part = e.d_part GROUP BY ALL", *_PARTED)
 def _(spark, g):
-    edges = graph.transfer_edges(parted(g))
+    edges = cut(graph.transfer_edges(parted(g)))
     return graph.remapped_edges(edges, graph.merged_states(edges))
 
 
