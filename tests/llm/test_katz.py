@@ -131,3 +131,25 @@ def test_discounts_follow_good_turing():
     b = 6 * 5 / 100
     assert np.allclose(d[1:], [((r + 1) * x / (r * y) - b) / (1 - b) for r, y, x in [(1, 100, 40), (2, 40, 20), (3, 20, 12), (4, 12, 8), (5, 8, 5)]])
     assert katz.discounts([3, 0, 0, 0, 0, 0]).tolist() == [1.0, 0.5]
+
+
+def test_rows_sent_do_not_grow_with_documents_times_parts(spark):
+    """A document's contexts lie in many parts; what they add comes back in one row of its chunk and part."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 60), i -> concat('w', cast(id * i % 997 AS string))), ' ') AS text").coalesce(1)
+    store, before = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.shuffle.partitions")
+    jvm = spark.sparkContext._jvm
+
+    def sent():
+        none = jvm.java.util.ArrayList
+        stages = store.stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        earlier = sent()
+        assert len(katz.scores(docs, "doc_id % 3 > 0").collect()) == 400
+        assert sent() - earlier < 400 * 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")

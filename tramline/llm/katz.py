@@ -316,6 +316,8 @@ def scores(docs: DataFrame, training: Column | str, id_col: str = "doc_id", text
     places = pa.schema([("chunk", pa.int64()), ("pos", pa.int32()), ("id", to_arrow_type(id_type)), ("training", pa.bool_())])
     out = pa.schema([*places, *_FIGURES])
     lines = pa.schema([("part", pa.int32()), *out, *_SENT])
+    added = [pa.field("part", pa.int32()), pa.field("plus", pa.binary())]
+    weighed = pa.schema([*out, *added])
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
@@ -330,19 +332,30 @@ def scores(docs: DataFrame, training: Column | str, id_col: str = "doc_id", text
         asks = [pa.array(sent[0], pa.int32()), pa.array(np.full(m, chunk))] + [pa.nulls(m, f.type) for f in [*places][1:] + _FIGURES] + [pa.array(x, pa.binary()) for x in sent[1:]]
         return pa.concat_tables([pa.Table.from_arrays(docs, schema=lines), pa.Table.from_arrays(asks, schema=lines)])
 
-    def weigh(t: pa.Table) -> pa.Table:
-        """Scored documents as they are, and what backing off adds to each document that asks."""
+    def weigh(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        """Scored documents as they are, and a row for each chunk that asks: what backing off adds to its documents."""
+        t = t.drop_columns(["part"])
         found, t = [t.filter(pc.is_valid(t["pos"])).select(out.names)], t.filter(pc.is_null(t["pos"]))
+        found[0] = pa.table([*found[0].columns, *[pa.nulls(found[0].num_rows, f.type) for f in added]], schema=weighed)
         for chunk, doc, add in _backed_off(model, t.sort_by("chunk")):
-            columns = {"chunk": pa.array(np.full(len(doc), chunk)), "pos": pa.array(doc, pa.int32()), "score": pa.array(add)}
-            found.append(pa.Table.from_arrays([columns.get(f.name, pa.nulls(len(doc), f.type)) for f in out], schema=out))
+            columns = {"chunk": chunk, "part": key[0].as_py(), "plus": packed(doc.astype("<i4"), add.astype("<f8"))}
+            found.append(pa.table([pa.array([columns.get(f.name)], f.type) for f in weighed], schema=weighed))
         return pa.concat_tables(found)
 
+    def add_up(t: pa.Table) -> pa.Table:
+        """The documents of a chunk with all that backing off adds to them, part by part."""
+        docs, t = t.filter(pc.is_valid(t["pos"])).select(out.names).sort_by("pos"), t.filter(pc.is_null(t["pos"])).sort_by("part")
+        score = docs["score"].to_numpy().copy()
+        for plus in t["plus"].to_pylist():
+            doc, add = unpacked(plus, "<i4", "<f8")
+            score[doc] += add  # a chunk's documents are numbered from 0, and are distinct here
+        return docs.set_column(docs.schema.get_field_index("score"), "score", pa.array(score))
+
     counts = counts.select("chunk", "part", "ones", "twos")
     met = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(meet, f"part int, {line}, contexts binary, adds binary, asked binary, asks binary")
-    scored = met.groupBy("part").applyInArrow(weigh, line)
-    # All but the score stand in one row of a document.
-    summed = scored.groupBy("chunk", "pos").agg(*[F.max(c).alias(c) for c in ("id", "training", "n_tokens", "n_known", "base_score")], F.sum("score").alias("score"))
+    # A row for each document, and one for each chunk and part, whatever the number of parts that a document's contexts lie in.
+    scored = met.groupBy("part").applyInArrow(weigh, f"{line}, part int, plus binary")
+    summed = scored.groupBy("chunk").applyInArrow(add_up, line)
     return summed.select("id", "training", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
