@@ -25,6 +25,8 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Letters that are composed and whose lower case depends on no other one, then marks.
 LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The same of each line, and what else the line has.
+LINES = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)(.*)$", re.MULTILINE)
+#: Words of letters or of marks that are encoded as one text, with a digit, which is always a word of its own, between them.
+JOINED, BETWEEN = 64, "0"
 
 
 def steps_of(spec: dict) -> tuple[list[dict], list[dict]]:
@@ -102,6 +108,11 @@ class ChunkIds(dict):
             # Letters and then marks are two words, unless an added token could stand there.
             self.two_words = not any(LETTERS_MARKS.fullmatch(x["content"]) for x in spec["added_tokens"])
             self.words, self.words_held = {}, 0
+            # Words can be joined where the digit has one id of its own and is in no added token.
+            alone = [self._of(x, [BETWEEN])[0] for x in (self.ascii, self.composed)]
+            named = BETWEEN + (spec["model"].get("end_of_word_suffix") or "")
+            own = alone[0] == alone[1] and [self.ascii.id_to_token(x) for x in alone[0]] == [named]
+            self.between = alone[0][0] if own and not any(BETWEEN in x["content"] for x in spec["added_tokens"]) else None
 
     @staticmethod
     def _of(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -109,34 +120,53 @@ class ChunkIds(dict):
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return [x.ids for x in encode(texts, add_special_tokens=False)]
 
+    def _bytes_of(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of words of letters or of marks as bytes; many are encoded as one text and told apart by the digit between them."""
+        if self.between is None:
+            return [np.array(ids, "<u4").tobytes() for ids in self._of(tokenizer, words)]
+        runs = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        out = []
+        for run, ids in zip(runs, self._of(tokenizer, [BETWEEN.join(run) for run in runs]), strict=True):
+            values = np.array(ids, "<u4")
+            ends = np.flatnonzero(values == self.between)
+            data, begins = values.tobytes(), [0, *(4 * ends + 4).tolist()]
+            if len(begins) != len(run):
+                raise ValueError("words that were encoded together cannot be told apart")
+            out += [data[i:j] for i, j in zip(begins, [*(4 * ends).tolist(), len(data)], strict=True)]
+        return out
+
     def learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that the table doesn't have; those of letters and marks by way of a table of such words."""
+        if not chunks:
+            return
         if self.held > TABLE_BYTES:
             self.clear()
             self.held = 0
         if self.words_held > TABLE_BYTES // 2:
             self.words.clear()
             self.words_held = 0
-        pairs, rest, words = [], [], self.words
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "surrogatepass")
-            found = LETTERS_MARKS.fullmatch(text) if self.two_words else None
-            if found:
-                letters, marks = found.groups()
-                pairs.append((chunk, letters.lower() if self.lower else letters, marks))
-            else:
-                rest.append((chunk, text))
-        new = {x for _, letters, marks in pairs for x in (letters, marks)}.difference(words)
+        words = self.words
+        lines = LINES.findall(b"\n".join(chunks).decode("utf-8", "surrogatepass"))  # chunks have no line ends
+        two = [bool(letters) and not more and self.two_words for letters, _, more in lines]
+        mine = list(compress(chunks, two))
+        letters, marks = [x[0] for x in compress(lines, two)], [x[1] for x in compress(lines, two)]
+        if self.lower:
+            letters = "\n".join(letters).lower().split("\n") if letters else []
+        new = set(letters).union(marks).difference(words, [""])
+        words[""] = b""
         plain = [x for x in new if x.isascii()]
         accented = [x for x in new if not x.isascii()]
-        for tokenizer, mine in ((self.ascii, plain), (self.composed, accented)):
-            for word, ids in zip(mine, self._of(tokenizer, mine), strict=True):
-                data = words[word] = np.array(ids, "<u4").tobytes()
-                self.words_held += len(word) + len(data) + ENTRY_BYTES
-        made = [(c, words[letters] + words[marks]) for c, letters, marks in pairs]
-        made += [(c, np.array(ids, "<u4").tobytes()) for (c, _), ids in zip(rest, self._of(self.composed, [x for _, x in rest]), strict=True)]
-        self.update(made)
-        self.held += sum(len(c) + len(data) + ENTRY_BYTES for c, data in made)
+        for tokenizer, some in ((self.ascii, plain), (self.composed, accented)):
+            found = self._bytes_of(tokenizer, some)
+            words.update(zip(some, found, strict=True))
+            self.words_held += sum(map(len, some)) + sum(map(len, found)) + ENTRY_BYTES * len(some)
+        get = words.__getitem__
+        made = list(map(add, map(get, letters), map(get, marks)))
+        rest = [c for c, x in zip(chunks, two, strict=True) if not x]
+        others = [np.array(ids, "<u4").tobytes() for ids in self._of(self.composed, [c.decode("utf-8", "surrogatepass") for c in rest])]
+        for some, found in ((mine, made), (rest, others)):
+            self.update(zip(some, found, strict=True))
+            self.held += sum(map(len, some)) + sum(map(len, found)) + ENTRY_BYTES * len(some)
 
     def encode_all(self, texts: list[str | None], end_id: int):
         """The ids of each whole text and the end id, as bytes."""
@@ -153,8 +183,11 @@ class ChunkIds(dict):
                 try:
                     run.append((b"".join(found), found, ()))
                 except TypeError:  # chunks that the table doesn't have
-                    missing = [(i, c) for i, (c, x) in enumerate(zip(chunks, found, strict=True)) if x is None]
-                    new.update(c for _, c in missing)
+                    missing, i = [], -1
+                    for _ in range(found.count(None)):
+                        i = found.index(None, i + 1)
+                        missing.append((i, chunks[i]))
+                    new.update([c for _, c in missing])
                     run.append((None, found, missing))
             self.learn(list(new))
             for data, found, missing in run:
