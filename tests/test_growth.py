@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from tramline.operators import graph
-from tramline.plans import exchange_queries, timetable_queries
+from tramline.plans import demo, exchange_queries, timetable_queries
+from tramline.sources import gtfs
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +30,32 @@ def test_equal_questions_are_looked_up_once(spark, monkeypatch):
     assert asked == [25] and first == again and first
 
 
+def test_saved_tables_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    kind = "trip_id string, stop_id string, stop_sequence int, arrival int, departure int"
+    times = spark.createDataFrame([("t", "a", 1, 0, 5), ("t", "b", 2, 360_000, 360_001)], kind).mapInPandas(counted, kind)
+    g = demo.feed(spark, SF)
+    gtfs.save_feed(g.with_(stop_times=times, routes=g.routes.limit(0), calendar=None), f"{tmp_path}/feed")
+    assert made.value == 2
+    assert sorted(os.listdir(f"{tmp_path}/feed")) == ["calendar.txt", "directions.txt", "stop_times.txt", "stops.txt", "trips.txt"]
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/feed/stop_times.txt").filter("value like 't,%'").collect())
+    assert lines == ["t,a,1,00:00:00,00:00:05", "t,b,2,100:00:00,100:00:01"]
+
+
+def test_stop_times_are_parsed_once_for_the_day_and_the_feed(spark, monkeypatch):
+    kept, write = [], exchange_queries.gtfs.save_feed
+    monkeypatch.setattr(exchange_queries.gtfs, "save_feed", lambda f, folder: kept.append(f.stop_times) or write(f, folder))
+    found = {r.name: r.services for r in exchange_queries.QUERIES["m2_calendar_problems"](spark, SF).collect()}
+    assert found == {"day": 0, "feed": 6} and len(kept) == 2
+    assert not any("lineitem" in name for df in kept for name in df.inputFiles())
+
+
 def test_edited_steps_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 

@@ -27,7 +27,10 @@ def parse_time(text: Column, strict: bool = True) -> Column:
 
 def format_time(seconds: Column) -> Column:
     """HH:MM:SS of seconds that are not negative; hours pass 24."""
-    return F.format_string("%02d:%02d:%02d", _div(seconds, 3600), _div(seconds, 60) % 60, seconds % 60)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours, rest = _div(seconds, 3600), [F.lit(":"), two(_div(seconds, 60) % 60), F.lit(":"), two(seconds % 60)]
+    # Formatting by a pattern takes several times as long; it is left with what has more than two digits.
+    return F.when((seconds >= 0) & (seconds < 360_000), F.concat(two(hours), *rest)).otherwise(F.format_string("%02d:%02d:%02d", hours, _div(seconds, 60) % 60, seconds % 60))
 
 
 def format_signed_time(seconds: Column) -> Column:

@@ -130,8 +130,15 @@ def csv_tables(feed: GtfsFeed) -> dict[str, DataFrame]:
 
 
 def save_feed(feed: GtfsFeed, folder: str) -> None:
-    """Write each table as a folder of CSV parts named <table>.txt; an empty one is skipped, but for the calendar."""
+    """Write each table as a folder of CSV parts named <table>.txt; an empty one is not left there, but for the calendar.
+
+    Tables are computed once: whether one is empty is looked up in what was written.
+    """
+    spark = feed.stops.sparkSession
     for name, df in csv_tables(feed).items():
-        if name == "calendar" or not df.isEmpty():
-            # Empty texts stay empty fields; texts are quoted where they hold quotes or commas.
-            df.write.mode("overwrite").csv(f"{folder}/{name}.txt", header=True, emptyValue="", escape='"')
+        path = f"{folder}/{name}.txt"
+        # Empty texts stay empty fields; texts are quoted where they hold quotes or commas.
+        df.write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
+        if name != "calendar" and spark.read.schema(df.schema).csv(path, header=True, quote='"', escape='"').isEmpty():
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
