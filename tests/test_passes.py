@@ -29,6 +29,14 @@ def test_a_span_reads_stop_times_once_for_all_its_days(counted):
     assert found and read.value == n
 
 
+def test_used_services_read_stop_times_once(counted):
+    from tramline.plans import path_queries
+
+    g, n, read = counted
+    found = {r.day: r.services for r in path_queries.used_services_of(g).collect()}
+    assert found == {0: "S0,S3", 1: "S3"} and read.value == n
+
+
 def test_steps_of_a_prefix_read_stop_times_once(counted):
     from tramline.plans.timetable_queries import ba_steps
 

@@ -169,10 +169,11 @@ def cut_last_day(day: GtfsFeed) -> GtfsFeed:
     return prune(day.with_(stop_times=day.stop_times.filter(F.col("arrival") < C.DAY)))
 
 
-def service_days(feed: GtfsFeed, date: str, subsequent: int) -> GtfsFeed:
+def service_days(feed: GtfsFeed, date: str, subsequent: int, keep: bool = False) -> GtfsFeed:
     """A date and the days after it as one span; the last of the later days ends at 24:00.
 
     Each trip is given the days it runs on and its stop times are dealt to them, so they are gone through once for all days.
+    keep: what was dealt is written, for those who ask for stop times and for trips, which are the ones with stop times.
     """
     if subsequent < 0:
         raise ValueError("the number of later days is negative")
@@ -186,6 +187,7 @@ def service_days(feed: GtfsFeed, date: str, subsequent: int) -> GtfsFeed:
     times = dealt(feed.stop_times.join(trips.select("trip_id", "_days").hint("merge"), "trip_id"), feed.stop_times.columns)
     # Days are told apart by the names of their trips, so only rows of one day can have one key; they lie together by trip here.
     times = one(times.filter(~last | (F.col("arrival") < C.DAY)), "trip_id", "stop_sequence", "_day")
+    times = written(times, "span") if keep else times
     trips = one(dealt(trips, feed.trips.columns), "trip_id", "_day")
     if subsequent:
         ended = times.filter(last).select("trip_id", "_day").hint("merge")
@@ -197,12 +199,12 @@ def service_days(feed: GtfsFeed, date: str, subsequent: int) -> GtfsFeed:
     return feed.with_(stops=one(feed.stops, "stop_id"), trips=trips, calendar=None, stop_times=times, routes=one(used["routes"], "route_id"), directions=one(used["directions"], "route_id", "direction_id"))
 
 
-def world(feed: GtfsFeed, date: str, prefixes: list[str] = (), subsequent: int = 0) -> GtfsFeed:
-    """Prefix filter, then the span of days, which keeps stop times of its trips alone and asks the calendar for services of trips alone."""
+def world(feed: GtfsFeed, date: str, prefixes: list[str] = (), subsequent: int = 0, keep: bool = False) -> GtfsFeed:
+    """Prefix filter, then the span of days (service_days()), which keeps stop times of its trips alone and asks the calendar for services of trips alone."""
     found = by_prefixes(feed, list(prefixes))
     if prefixes:
         found = found.with_(stop_times=feed.stop_times.filter(starts_with_any(F.col("trip_id"), prefixes)), calendar=feed.calendar)
-    return service_days(found, date, subsequent)
+    return service_days(found, date, subsequent, keep)
 
 
 def trip_descriptions(day: GtfsFeed) -> DataFrame:

@@ -241,13 +241,17 @@ _SAT = (
 )
 
 
-@query("e7_used_services", "SELECT day, string_agg(DISTINCT service_id, ',' ORDER BY service_id) AS services FROM (SELECT trip_id, day FROM wst GROUP BY ALL HAVING count(*) > 1) JOIN g_trips USING (trip_id) GROUP BY day", *_SAT)
-def _(spark, g):
-    world = feed.world(g, DATE, ["BA:"], 1)
+def used_services_of(g) -> DataFrame:
+    world = feed.world(g, DATE, ["BA:"], 1, keep=True)
     found = paths.of_trips(steps.from_stop_times(feed.normalized(world, feed.root_stops(g.stops)).stop_times))
     return services.used_services(found, world.trips).select("day", F.array_join("services", ",").alias("services"))
 
 
+@query("e7_used_services", "SELECT day, string_agg(DISTINCT service_id, ',' ORDER BY service_id) AS services FROM (SELECT trip_id, day FROM wst GROUP BY ALL HAVING count(*) > 1) JOIN g_trips USING (trip_id) GROUP BY day", *_SAT)
+def _(spark, g):
+    return used_services_of(g)
+
+
 @query("e8_trip_goodness", "SELECT stop, count(DISTINCT concat(o, ' ', d)) - count(DISTINCT o) - count(DISTINCT d) AS goodness FROM tmid GROUP BY stop", *_T)
 def _(spark, g):
     return paths.goodness(trip_paths(g))
