@@ -52,3 +52,20 @@ def test_transfer_edges_read_stop_times_once(counted):
     g, n, read = counted
     edges = graph.transfer_edges(parted(g))
     assert edges.count() and graph.remapped_edges(edges, graph.merged_states(edges)).count() and read.value == n
+
+
+def test_networks_read_stop_times_once_and_deal_only_the_cover(spark, counted):
+    from pyspark.sql import functions as F
+
+    from tramline.operators import networks, services, steps
+    from tramline.plans.network_queries import specs_of
+
+    g, n, read = counted
+    specs, days = specs_of(spark), services.date_range(spark, "20250714", 7)
+    found = networks.patterns(specs, days, g).filter("duplicate_of is null").cache()
+    every = networks.keyed_steps(found, specs, g).cache()
+    rides = every.filter("not is_flex")
+    assert rides.count() and read.value == n
+    # A day of one service keeps nothing that another of its rides replaces.
+    one = rides.join(found.filter("spec_id = 1").select(*networks.NET, F.array_distinct(F.flatten("pattern")).alias("of")).filter("size(of) = 1"), networks.NET)
+    assert one.count() == steps.minimal_cover(one, (*networks.NET, "o", "d")).count() > 0

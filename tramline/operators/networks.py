@@ -9,13 +9,13 @@ walks, closure and reduction of all networks run in the same joins and rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import columns as C
 from tramline.operators import profiles, services, steps
-from tramline.operators.feed import root_stops
-from tramline.operators.lineage import cut, small
+from tramline.operators.feed import ROOTS, root_stops
+from tramline.operators.lineage import cut, small, written
 from tramline.sources.gtfs import GtfsFeed
 
 NET = ["spec_id", "date"]
@@ -52,22 +52,26 @@ def patterns(specs: DataFrame, dates: DataFrame, feed: GtfsFeed) -> DataFrame:
 def keyed_steps(found: DataFrame, specs: DataFrame, feed: GtfsFeed) -> DataFrame:
     """(spec_id, date, o, d, dep, arr, trip_id, is_flex): rides and walks of the networks (spec_id, date, pattern).
 
-    Steps are made once a trip, then dealt to the networks and days that run it, moved by 24 hours a
+    Steps are made once a trip and covered once a spec and service: what another step of the same service replaces,
+    it replaces on every day that the service runs. Only the rest is dealt to the networks and days, moved by 24 hours a
     day; on the last of later days what arrives from 24:00 on is cut. Walks join the stations that a
     network's trips serve, as far as the spec's max_walk allows.
     """
     roots = cut(root_stops(feed.stops))
-    times = feed.stop_times.join(roots.hint("merge"), "stop_id", "left").withColumn("stop_id", F.coalesce("root_id", "stop_id")).select("trip_id", "stop_id", "stop_sequence", "arrival", "departure")
-    times = cut(times)
+    by = Window.partitionBy("trip_id").orderBy("stop_sequence")
+    times = feed.stop_times.join(small(roots, ROOTS), "stop_id", "left").withColumn("o", F.coalesce("root_id", "stop_id"))
+    times = times.select("trip_id", "o", F.lead("o").over(by).alias("d"), F.col("departure").alias("dep"), F.lead("arrival").over(by).alias("arr"), F.col("arrival").alias("here"))
+    times = written(times.join(trips_of_specs(specs, feed.trips).hint("merge"), "trip_id"), "steps")
     runs = found.select(*NET, F.posexplode("pattern").alias("day", "services")).select(*NET, "day", F.explode("services").alias("service_id"))
     last = specs.select("spec_id", F.when(F.col("later") > 0, F.col("later")).alias("last"))
-    runs = small(cut(runs.join(small(last), "spec_id")))
-    dealt = cut(trips_of_specs(specs, feed.trips).join(runs, ["spec_id", "service_id"]).select(*NET, "day", "last", "trip_id"))
+    runs, service = small(cut(runs.join(small(last), "spec_id"))), ["spec_id", "service_id"]
     kept = F.coalesce(F.col("day") != F.col("last"), F.lit(True)) | (F.col("arr") < C.DAY)
     moved = F.col("day") * C.DAY
-    rides = steps.from_stop_times(times).join(dealt.hint("merge"), "trip_id").filter(kept)
+    # Of equal rides the last by its name with the service day stays, as in the covers of the networks.
+    rides = times.filter("d is not null").select(*service, "o", "d", "dep", "arr", "trip_id", F.lit(False).alias("is_flex"), C.with_service_day(F.col("trip_id"), 0).alias("_named"))
+    rides = cut(steps.minimal_cover(rides, (*service, "o", "d"), ("_named",)).drop("_named")).join(runs, service).filter(kept)
     rides = rides.select(*NET, "o", "d", (F.col("dep") + moved).alias("dep"), (F.col("arr") + moved).alias("arr"), C.with_service_day(F.col("trip_id"), F.col("day")).alias("trip_id"), "is_flex")
-    served = times.select("trip_id", "stop_id", F.col("arrival").alias("arr")).join(dealt.hint("merge"), "trip_id").filter(kept).select(*NET, "stop_id").distinct()
+    served = times.groupBy(*service, F.col("o").alias("stop_id")).agg(F.min("here").alias("arr")).join(runs, service).filter(kept).select(*NET, "stop_id").distinct()
     return rides.unionByName(keyed_walks(cut(served), specs, feed.stops.join(roots.filter("stop_id = root_id").hint("merge"), "stop_id", "left_semi")))
 
 
