@@ -26,3 +26,31 @@ def test_new_words_are_encoded_together(monkeypatch):
     table.words.clear()
     table.between = None
     assert list(table.encode_all(texts, 2)) == whole
+
+
+def test_a_distinct_chunk_is_looked_up_once_a_run(monkeypatch):
+    import public_tokenizers
+
+    rng = random.Random(5)
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return dict.get(self, key, default)
+
+    monkeypatch.setattr(token_files.ChunkIds, "get", Counted.get)
+    chunks = ["the", "The", "THE,", "été", "ÉTÉ.", "--", "''s", "it's", "a1", "µm", "nº", "é", "x\x1cy", "u\x85v", "w\xa0", "ß<", "<|endoftext|>", "z<|endoftext|>.", "×", "日本", "\x00"]
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  \n "]
+    texts = ["".join(rng.choice(chunks) + rng.choice(spaces) for _ in range(2000)) for _ in range(20)] + ["", None, " ", "\n\nthe", "the  "]
+    table = token_files.ChunkIds(public_tokenizers.path("word_bpe_49k.json"))
+    table.words = Counted()
+    found = list(table.encode_all(texts, 2))
+    # 40,000 chunks; each distinct one asks for two words at most, and empty words are asked for once a table.
+    assert 0 < len(asked) <= 2 * len(chunks) + 3
+    whole = [token_files.np.array([*ids, 2], "<u4").tobytes() for ids in table._of(table.tokenizer, [x or "" for x in texts])]
+    assert found == whole
+    # Full tables are begun anew between runs.
+    monkeypatch.setattr(token_files, "TABLE_BYTES", 0)
+    monkeypatch.setattr(token_files, "TOGETHER", 10_000)
+    assert list(table.encode_all(texts, 2)) == whole

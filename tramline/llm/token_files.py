@@ -8,9 +8,11 @@ ids, and the words. Readers decode all blocks of a file together, or only those
 that a document needs.
 
 Where white space always separates tokens, which the tokenizer's own description
-tells, each distinct run of other characters is tokenised once by the tokenizers
-library and its ids are joined by position; the table of a Python worker is bounded
-by bytes and begun anew when it is full. Other tokenizers encode whole texts.
+tells, texts are split into runs of other characters, and these into a word of letters
+and one of marks, as Arrow arrays. Each distinct word (or run that is no such two) is
+tokenised once by the tokenizers library and its ids are taken by position; the tables
+of a Python worker are bounded by bytes and begun anew when full. Other tokenizers
+encode whole texts.
 
 Defined results: a null or empty text has the end id only; null ids come first;
 rows of equal id are ordered by their text and stay apart; an empty table gives
@@ -25,17 +27,16 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import compress
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm import simple8b
-from tramline.llm.common import join_small, read_documents, shared_dir, table
+from tramline.llm.common import join_small, read_documents, shared_dir, table, tidy
 
 END_ID = 2
 MAGIC = b"TKS8\x01\x00\x00\x00"
@@ -44,20 +45,23 @@ HEADER = struct.Struct("<8sQQQ")
 FILE_IDS = 16 << 20
 #: Ids coded together.
 GROUP = 64 * simple8b.BLOCK
-#: Bytes up to which the table of a Python worker grows, and what an entry takes besides its own bytes.
-TABLE_BYTES, ENTRY_BYTES = 160 << 20, 160
+#: Bytes up to which the table of a Python worker's words grows (that of its other chunks: half as many), and what an entry takes besides its own bytes.
+TABLE_BYTES, ENTRY_BYTES = 96 << 20, 160
 #: Characters whose chunks are looked up together.
 TOGETHER = 1 << 20
 # Fixed value: the word pattern of the tokenizers this serves. No alternative matches white space, and what none matches goes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: Letters that are composed and whose lower case depends on no other one, then marks.
-LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: The same of each line, and what else the line has.
-LINES = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)(.*)$", re.MULTILINE)
+#: Letters that are composed and whose lower case depends on no other one.
+LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+#: The printable ASCII characters that are neither letters nor digits nor white space.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+LETTERS_MARKS = re.compile(f"[{LETTERS}]+[{re.escape(MARKS)}]*")
 #: Words of letters or of marks that are encoded as one text, with a digit, which is always a word of its own, between them.
 JOINED, BETWEEN = 64, "0"
+#: Texts encoded at once: the library's results take about 100 bytes a token until their ids are read.
+AT_ONCE = 128
 
 
 def steps_of(spec: dict) -> tuple[list[dict], list[dict]]:
@@ -83,7 +87,7 @@ def apart(spec: dict) -> bool:
 
 
 class ChunkIds(dict):
-    """Run of characters without white space, as bytes -> its ids as little-endian 32-bit bytes.
+    """Run of characters without white space -> its ids as little-endian 32-bit bytes; `words` has the same of words of letters or of marks.
 
     Tokenizers that don't work run by run (see `apart`) encode whole texts.
     """
@@ -118,7 +122,7 @@ class ChunkIds(dict):
     def _of(tokenizer, texts: list[str]) -> list[list[int]]:
         # The fast form leaves out offsets, which aren't used.
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        return [x.ids for x in encode(texts, add_special_tokens=False)]
+        return [x.ids for at in range(0, len(texts), AT_ONCE) for x in encode(texts[at : at + AT_ONCE], add_special_tokens=False)]
 
     def _bytes_of(self, tokenizer, words: list[str]) -> list[bytes]:
         """The ids of words of letters or of marks as bytes; many are encoded as one text and told apart by the digit between them."""
@@ -135,38 +139,58 @@ class ChunkIds(dict):
             out += [data[i:j] for i, j in zip(begins, [*(4 * ends).tolist(), len(data)], strict=True)]
         return out
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks that the table doesn't have; those of letters and marks by way of a table of such words."""
-        if not chunks:
-            return
-        if self.held > TABLE_BYTES:
-            self.clear()
-            self.held = 0
-        if self.words_held > TABLE_BYTES // 2:
-            self.words.clear()
-            self.words_held = 0
-        words = self.words
-        lines = LINES.findall(b"\n".join(chunks).decode("utf-8", "surrogatepass"))  # chunks have no line ends
-        two = [bool(letters) and not more and self.two_words for letters, _, more in lines]
-        mine = list(compress(chunks, two))
-        letters, marks = [x[0] for x in compress(lines, two)], [x[1] for x in compress(lines, two)]
-        if self.lower:
-            letters = "\n".join(letters).lower().split("\n") if letters else []
-        new = set(letters).union(marks).difference(words, [""])
-        words[""] = b""
-        plain = [x for x in new if x.isascii()]
-        accented = [x for x in new if not x.isascii()]
+    def _words_bytes(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words of letters or of marks."""
+        found = {"": b""}
+        plain = [x for x in words if x.isascii() and x]
+        accented = [x for x in words if not x.isascii()]
         for tokenizer, some in ((self.ascii, plain), (self.composed, accented)):
-            found = self._bytes_of(tokenizer, some)
-            words.update(zip(some, found, strict=True))
-            self.words_held += sum(map(len, some)) + sum(map(len, found)) + ENTRY_BYTES * len(some)
-        get = words.__getitem__
-        made = list(map(add, map(get, letters), map(get, marks)))
-        rest = [c for c, x in zip(chunks, two, strict=True) if not x]
-        others = [np.array(ids, "<u4").tobytes() for ids in self._of(self.composed, [c.decode("utf-8", "surrogatepass") for c in rest])]
-        for some, found in ((mine, made), (rest, others)):
-            self.update(zip(some, found, strict=True))
-            self.held += sum(map(len, some)) + sum(map(len, found)) + ENTRY_BYTES * len(some)
+            found.update(zip(some, self._bytes_of(tokenizer, some), strict=True))
+        return [found[x] for x in words]
+
+    def _chunks_bytes(self, chunks: list[str]) -> list[bytes]:
+        """The ids of other chunks."""
+        return [np.array(ids, "<u4").tobytes() for ids in self._of(self.composed, chunks)]
+
+    def _looked_up(self, texts: pa.Array, known: dict, held: int, most: int, encode) -> tuple[pa.Array, int]:
+        """(ids, held): the ids of each text, by the table of known ones, which learns the others and begins anew beyond most bytes."""
+        coded = texts.dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, keys))
+        new = [key for key, x in zip(keys, found, strict=True) if x is None]
+        if new:
+            if held > most:
+                known.clear()
+                held = 0
+            learnt = encode(new)
+            known.update(zip(new, learnt, strict=True))
+            held += sum(map(len, new)) + sum(map(len, learnt)) + ENTRY_BYTES * len(new)
+            rest = iter(learnt)
+            found = [next(rest) if x is None else x for x in found]
+        return pa.array(found, pa.large_binary()).take(coded.indices), held
+
+    def _ids_of(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk, as bytes; letters and then marks are looked up as two words."""
+        letters, marks = pc.ascii_rtrim(chunks, MARKS), pc.utf8_ltrim(chunks, LETTERS)
+        two = pc.and_(pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(marks)), pc.binary_length(chunks)), self.two_words)
+        none = pa.scalar("", chunks.type)
+        letters, marks, others = pc.if_else(two, letters, none), pc.if_else(two, marks, none), pc.if_else(two, none, chunks)
+        if self.lower:
+            letters = pc.utf8_lower(letters)
+        out = []
+        for words in (letters, marks):
+            ids, self.words_held = self._looked_up(words, self.words, self.words_held, TABLE_BYTES, self._words_bytes)
+            out.append(ids)
+        ids, self.held = self._looked_up(others, self, self.held, TABLE_BYTES // 2, self._chunks_bytes)
+        return pc.binary_join_element_wise(*out, ids, pa.scalar(b"", pa.large_binary()))
+
+    def _ids_of_run(self, texts: list[str | None]) -> tuple[memoryview, list[int]]:
+        """The ids of all texts as bytes, and where each text's begin and the last one's end."""
+        split = pc.ascii_split_whitespace(pa.array([text or "" for text in texts], pa.large_string()))  # at the six ASCII white characters
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        return memoryview(data or b""), np.frombuffer(offsets, "<i8")[split.offsets.to_numpy()].tolist()
 
     def encode_all(self, texts: list[str | None], end_id: int):
         """The ids of each whole text and the end id, as bytes."""
@@ -176,24 +200,9 @@ class ChunkIds(dict):
                 yield np.array(self._of(self.tokenizer, [text or ""])[0], "<u4").tobytes() + end
             return
         for at, until in self._runs(texts):
-            get, new, run = self.get, set(), []
-            for text in texts[at:until]:
-                chunks = (text or "").encode("utf-8", "surrogatepass").split()  # the six ASCII white characters
-                found = list(map(get, chunks))
-                try:
-                    run.append((b"".join(found), found, ()))
-                except TypeError:  # chunks that the table doesn't have
-                    missing, i = [], -1
-                    for _ in range(found.count(None)):
-                        i = found.index(None, i + 1)
-                        missing.append((i, chunks[i]))
-                    new.update([c for _, c in missing])
-                    run.append((None, found, missing))
-            self.learn(list(new))
-            for data, found, missing in run:
-                for i, chunk in missing:
-                    found[i] = self[chunk]
-                yield (b"".join(found) if data is None else data) + end
+            data, bounds = self._ids_of_run(texts[at:until])
+            for i, j in zip(bounds, bounds[1:]):
+                yield b"".join((data[i:j], end))
 
     @staticmethod
     def _runs(texts: list[str | None]):
@@ -306,7 +315,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["file", "docs", "ids"])
 
-    return table(sorted_docs.mapInArrow(batches, "file string, docs long, ids long"), "token-file-list")
+    return table(sorted_docs.mapInArrow(tidy(batches), "file string, docs long, ids long"), "token-file-list")
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
