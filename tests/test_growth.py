@@ -30,6 +30,39 @@ def test_equal_questions_are_looked_up_once(spark, monkeypatch):
     assert asked == [25] and first == again and first
 
 
+def test_equal_questions_are_sorted_once_and_the_cover_is_made_once(spark, monkeypatch):
+    sorted_rows, made, look_up = [], spark.sparkContext.accumulator(0), timetable_queries.asof.asof_next
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    cover = spark.createDataFrame([("N1", "N2", 60, 90, "t", False), ("N1", "N2", 0, 45, "w", True), ("N1", "N3", 70, 95, "t", False), ("N3", "N1", 0, 20, "w", True)], "o string, d string, dep int, arr int, trip_id string, is_flex boolean")
+    monkeypatch.setattr(timetable_queries, "cover_of", lambda g: cover.mapInPandas(counted, cover.schema))
+    monkeypatch.setattr(timetable_queries.asof, "asof_next", lambda left, *more, **how: sorted_rows.append(left.count()) or look_up(left, *more, **how))
+    times = [("N1", 50), ("N1", 40), ("N3", 50), ("N9", 50)]
+    asked = spark.createDataFrame([(10 * k + n, *x) for k in range(3) for n, x in enumerate(times)], "query_id long, stop string, at int")
+    for name in ("questions", "every_question"):
+        monkeypatch.setattr(timetable_queries, name, lambda s: asked, raising=False)
+    found = timetable_queries.QUERIES["d6_best_next"](spark, SF).collect()
+    steps = {0: {("N2", 60, 90, "t", False), ("N3", 70, 95, "t", False)}, 1: {("N2", 40, 85, "w", True), ("N3", 70, 95, "t", False)}, 2: {("N1", 50, 70, "w", True)}}
+    assert len(found) == 15 and {tuple(r) for r in found} == {(10 * k + n, *x) for k in range(3) for n, of in steps.items() for x in of}
+    assert sum(sorted_rows) == 5 and made.value == 4
+
+
+def test_an_order_at_two_stops_has_one_best_step(spark, monkeypatch):
+    cover = spark.createDataFrame([("N1", "N3", 60, 90, "t", False), ("N2", "N3", 0, 20, "w", True), ("N2", "N4", 0, 20, "w", True)], "o string, d string, dep int, arr int, trip_id string, is_flex boolean")
+    asked = spark.createDataFrame([(1, "N1", 50), (1, "N2", 50), (1, "N2", 50), (2, "N1", 50), (None, "N2", None)], "query_id long, stop string, at int")
+    monkeypatch.setattr(timetable_queries, "cover_of", lambda g: cover)
+    for name in ("questions", "every_question"):
+        monkeypatch.setattr(timetable_queries, name, lambda s: asked, raising=False)
+    walks = [(1, "N3", 50, 70, "w", True), (1, "N4", 50, 70, "w", True), (None, "N3", None, None, "w", True), (None, "N4", None, None, "w", True)]
+    for name in ("d6_best_next", "d6_best_next_all"):
+        found = timetable_queries.QUERIES[name](spark, SF).collect()
+        assert sorted(map(tuple, found), key=repr) == sorted([*walks, (2, "N3", 60, 90, "t", False)], key=repr)
+
+
 def test_saved_tables_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 

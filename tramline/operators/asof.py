@@ -97,9 +97,31 @@ def next_departures(queries: DataFrame, rides: DataFrame) -> DataFrame:
 
 
 def best_next(current: DataFrame, candidates: DataFrame) -> DataFrame:
-    """current (id, stop, at) with the step that arrives first at each d, a ride or a walk; a ride wins a tie."""
-    rides = next_departures(current.withColumnRenamed("id", "query_id"), candidates.filter("not is_flex")).select(F.col("query_id").alias("id"), "d", "dep", "arr", "trip_id", F.lit(False).alias("is_flex"))
-    walks = current.join(candidates.filter("is_flex").select(F.col("o").alias("stop"), "d", (F.col("arr") - F.col("dep")).alias("w"), "trip_id"), "stop")
-    walks = walks.select("id", "d", F.col("at").alias("dep"), (F.col("at") + F.col("w")).alias("arr"), "trip_id", F.lit(True).alias("is_flex"))
-    rank = F.row_number().over(Window.partitionBy("id", "d").orderBy("arr", "is_flex", "trip_id"))
-    return rides.unionByName(walks).withColumn("_r", rank).filter("_r = 1").drop("_r")
+    """current (id, stop, at) with the step that arrives first at each d, a ride or a walk; a ride wins a tie.
+
+    Equal stops and times are looked up once, and their steps joined back: what is sorted for each destination
+    grows with the stops and times of a day, not with those who ask. Only ids with several rows are ranked after that.
+    """
+    # Dealt by id, so that equal rows and the rows of an id are found after one shuffle.
+    asked = current.select("id", "stop", "at").repartition("id").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("id")))
+    found = _first_steps(current.select("stop", "at").distinct(), candidates).withColumnRenamed("stop", "_stop").withColumnRenamed("at", "_at")
+
+    def joined(which: str) -> DataFrame:
+        return asked.filter(which).join(found.hint("merge"), (F.col("stop") == F.col("_stop")) & F.col("at").eqNullSafe(F.col("_at"))).select("id", "d", "dep", "arr", "trip_id", "is_flex")
+
+    rank = F.row_number().over(Window.partitionBy("id", "d").orderBy(F.asc_nulls_last("arr"), "is_flex", "trip_id"))
+    return joined("_n = 1").unionByName(joined("_n > 1").withColumn("_r", rank).filter("_r = 1").drop("_r"))
+
+
+def _first_steps(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """asked (stop, at), distinct, with the step (dep, arr, trip_id, is_flex) that arrives first at each d."""
+    walk = F.struct((F.col("arr") - F.col("dep")).alias("w"), "trip_id")
+    ends = candidates.groupBy(F.col("o").alias("stop"), "d").agg(F.min(F.when(F.col("is_flex"), walk)).alias("_walk"))
+    rides = candidates.filter("not is_flex").select(F.col("o").alias("stop"), "d", F.col("dep").alias("leave"), "arr", "trip_id")
+    # By a merge join, which leaves rows of a stop together: they compress better than those of a broadcast.
+    seen = asof_next(asked.join(ends.hint("merge"), "stop"), rides, ["stop", "d"], "at", "leave", ["arr", "trip_id"], span=SPAN)
+    on_foot = F.col("at") + F.col("_walk.w")
+    step = lambda dep, arr, trip, flex: F.struct(dep.alias("dep"), arr.alias("arr"), trip.alias("trip_id"), F.lit(flex).alias("is_flex"))
+    ride, walked = step(F.col("next_leave"), F.col("next_arr"), F.col("next_trip_id"), False), step(F.col("at"), on_foot, F.col("_walk.trip_id"), True)
+    best = F.when(F.col("next_leave").isNotNull() & (F.col("_walk").isNull() | (F.col("next_arr") <= on_foot)), ride).when(F.col("_walk").isNotNull(), walked)
+    return seen.withColumn("_best", best).filter("_best is not null").select("stop", "at", "d", "_best.*")
