@@ -39,10 +39,13 @@ def asof_next(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 
 
 def _carried(both: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """For each piece of a key's times the first right row of the pieces after it, as a row at its end: one a piece."""
-    first = both.groupBy(*keys, "_piece").agg(F.min(F.when(F.col("_r").isNotNull(), F.struct("_t", *[F.col(f"_r.{c}").alias(f"_{i}") for i, c in enumerate(columns)], "_r"))).alias("_f"))
-    later = Window.partitionBy(*keys).orderBy(F.col("_piece").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    held = first.withColumn("_r", F.last("_f._r", ignorenulls=True).over(later)).filter("_r is not null and _piece is not null")
+    """For each piece of a key's times with left rows the first right row of the pieces after it, as a row at its end: one a piece."""
+    first = both.filter("_r is not null").groupBy(*keys, "_piece").agg(F.min(F.struct("_t", *[F.col(f"_r.{c}").alias(f"_{i}") for i, c in enumerate(columns)], "_r")).alias("_f"))
+    # Of left rows only the pieces count, which need no sort; a piece's own right row comes after it.
+    asked = both.filter("_l is not null").select(*keys, "_piece").distinct()
+    later = Window.partitionBy(*keys).orderBy(F.col("_piece").desc_nulls_last(), F.col("_r").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = asked.unionByName(first.select(*keys, "_piece", "_f._r"), allowMissingColumns=True)
+    held = pieces.withColumn("_next", F.last("_r", ignorenulls=True).over(later)).filter("_r is null and _next is not null and _piece is not null").withColumn("_r", F.col("_next"))
     kinds = dict(zip(both.columns, both.schema.fields, strict=True))
     # After every other row of the piece: the row's own time is that of a later one.
     return held.select(*keys, F.col("_r").getField(both.schema["_r"].dataType.fieldNames()[0]).cast(kinds["_t"].dataType).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kinds["_l"].dataType).alias("_l"), "_r", "_piece")
